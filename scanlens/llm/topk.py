@@ -77,25 +77,25 @@ def select_block(candidates: DataFrame, queries: DataFrame, k: int, largest: int
     for i, r in enumerate(got):
         block[i, : len(r.v)] = r.v
     reach = dim * largest * np.abs(block).max(axis=1) + 1  # no score of the query is larger in size
-    low, width = -reach, -(-(2 * reach + 1) // bins)
+    low, high, width = -reach, reach + 1, -(-(2 * reach + 1) // bins)
     wanted, over = np.full(len(ids), k), np.zeros(len(ids), np.int64)  # of the bins at hand; rows at or over `low`
     scorer = spark.sparkContext.broadcast((ids, block, largest))
     open_ = np.ones(len(ids), bool)
     while open_.any():
-        state = spark.sparkContext.broadcast((low, width, open_))
+        state = spark.sparkContext.broadcast((low, high, width, open_))
 
         def count(batches, scorer=scorer, state=state):
-            use, (low, width, open_) = Scorer(*scorer.value), state.value
+            use, (low, high, width, open_) = Scorer(*scorer.value), state.value
             rows = np.flatnonzero(open_)
             use.queries = use.queries[rows]
             back = np.full(len(open_), -1)
             back[rows] = np.arange(len(rows))
             total = np.zeros(len(rows) * bins, np.int64)
-            lows, widths = low[rows].astype(np.float64)[:, None], width[rows].astype(np.float64)[:, None]
+            lows, highs, widths = (x[rows].astype(np.float64)[:, None] for x in (low, high, width))
             first = np.arange(len(rows))[:, None] * bins
             for _, scores, (q, c) in use.steps(batches):
                 place = np.floor((scores - lows) / widths)
-                inside = (place >= 0) & (place < bins)
+                inside = (place >= 0) & (scores < highs)
                 mine = back[q] >= 0
                 inside[back[q[mine]], c[mine]] = False
                 total += np.bincount((place + first)[inside].astype(np.int64), minlength=len(total))
@@ -114,6 +114,7 @@ def select_block(candidates: DataFrame, queries: DataFrame, k: int, largest: int
                 open_[q] = False
                 continue
             low[q] += r.bin * width[q]
+            high[q] = min(high[q], low[q] + width[q])
             over[q] = k - wanted[q] + r.sum
             wanted[q] -= r.sum - r.n
             if width[q] == 1 or over[q] <= k + SLACK:

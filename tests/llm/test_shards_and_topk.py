@@ -105,6 +105,15 @@ def test_op4(spark, query_block, bins, copies):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
 
 
+def test_op4_down_to_one_score(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SLACK", 0)
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 2) for _ in range(20)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for bins in (7, 50, 128):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, bins=bins).collect())) == brute_top(rows, 20)
+
+
 def test_op4_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, (64 * 192 + 128 * 64))]
