@@ -33,9 +33,9 @@ from .words import NOT_BLANK, shingles, spans
 SIZE, PERCENT = 5, 80
 #: Keys that a bucket of the join holds (about), bytes of text whose keys are packed together, documents of a key whose pairs are all taken, and documents that are compared by sketches at a time.
 BUCKET_KEYS, PACK_BYTES, FEW, BLOCK = 1_000_000, 16 << 20, 6, 2048
-#: Bits of a sketch: about two for each shingle, within these bounds. Bits of the filter that says which sets are looked at again, at most.
-LEAST_BITS, MOST_BITS, FILTER_BITS = 64, 1 << 15, 1 << 26
-BAND = 1.7
+#: Bits of a sketch: at least four for each shingle, within these bounds. Bits of the filter that says which sets are looked at again, at most.
+LEAST_BITS, MOST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 26
+BAND = 1.4
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ class Plan:
     def segments(self, upper: int) -> int:
         """Segments for sets of at most `upper` shingles: enough that the filled ones outnumber those that may be spoiled."""
         d = self.most_apart(2 * upper)
-        return 4 * upper if upper <= 32 else d + 1 + max(4, d // 5)
+        return d + 1 + max(4, d // 4)
 
 
 def sets_of(part: pa.RecordBatch, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +85,13 @@ def fingerprints(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def sketch(values: np.ndarray) -> bytes:
     """The parity sketch: bit (h mod bits) flipped for every shingle hash h; bits, a power of two, follows the size."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(values)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(values) - 1).bit_length()))
     return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as words, larger ones folded to the smallest one's bits."""
-    least = min(map(len, sketches))
+def folded(sketches: list[bytes], bits: int = MOST_BITS) -> np.ndarray:
+    """Sketches as words, larger ones folded to the smallest one's bits, or to fewer."""
+    least = min(bits // 8, *map(len, sketches)) if len(sketches) > 1 else min(bits // 8, len(sketches[0]))
     out = np.empty((len(sketches), least // 8), np.uint64)
     for i, s in enumerate(sketches):
         out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, least // 8), axis=0)
@@ -284,6 +284,27 @@ def verified(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def possible(pairs: DataFrame, described: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs (a, b, n) whose sizes and sketches don't rule a link out."""
+    one = described.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    two = described.select(F.col("node").alias("b"), F.col("size").alias("k"), F.col("sketch").alias("y"))
+    near = pairs.join(one, "a").join(two, "b").where(100 * F.least("m", "k") >= plan.percent * F.greatest("m", "k"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for m, k, x, y in zip(*(column(batch, c).to_pylist() for c in ("m", "k", "x", "y")), strict=True):
+                if len(x) == len(y):
+                    apart = (int.from_bytes(x, "little") ^ int.from_bytes(y, "little")).bit_count()
+                else:
+                    both = folded([x, y])
+                    apart = int(np.bitwise_count(both[0] ^ both[1]).sum())
+                keep.append(apart <= plan.most_apart(m + k))
+            yield pa.RecordBatch.from_arrays([column(batch, c) for c in ("a", "b", "n")], ["a", "b", "n"]).filter(pa.array(keep, pa.bool_()))
+
+    return near.mapInArrow(run, "a long, b long, n long")
+
+
 def across(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """Pairs of documents of different components that share a key and whose sketches don't rule a link out. members: key, node, root; a key's documents are compared in blocks, a row for each pair of blocks."""
     mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
@@ -292,24 +313,41 @@ def across(members: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     rows = rows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "sketch")
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        words = folded(list(rows["sketch"]))
-        node, root, size = (rows[c].to_numpy() for c in ("node", "root", "size"))
-        one = rows["i"].iloc[0] == rows["j"].iloc[0]
-        block = rows["block"].to_numpy()
-        a, b = [], []
-        for x in range(len(node)):
-            y = np.flatnonzero((root != root[x]) & (node > node[x]) & (one | (block != block[x])))
-            if len(y):
-                apart = np.bitwise_count(words[y] ^ words[x]).sum(axis=1, dtype=np.int64)
-                low, high = np.minimum(size[y], size[x]), np.maximum(size[y], size[x])
-                y = y[(apart <= (100 - plan.percent) * (low + high) // (100 + plan.percent)) & (100 * low >= plan.percent * high)]
-                a.append(np.full(len(y), node[x]))
-                b.append(node[y])
-        none = [np.empty(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    def compare(batches):
+        def group(sketches, node, root, size, i, j, block):
+            most = plan.most_apart(2 * int(size.max()))
+            words = folded(sketches, max(LEAST_BITS, 1 << (4 * most).bit_length()))  # enough for most pairs; the others are looked at in full
+            for x in range(len(node)):
+                y = np.flatnonzero((root != root[x]) & (node > node[x]) & ((i == j) | (block != block[x])) & (100 * np.minimum(size, size[x]) >= plan.percent * np.maximum(size, size[x])))
+                if len(y):
+                    y = y[np.bitwise_count(words[y] ^ words[x]).sum(axis=1, dtype=np.int64) <= (100 - plan.percent) * (size[y] + size[x]) // (100 + plan.percent)]
+                for z in y.tolist():
+                    both = folded([sketches[x], sketches[z]])
+                    if int(np.bitwise_count(both[0] ^ both[1]).sum()) <= plan.most_apart(int(size[x] + size[z])):
+                        yield node[x], node[z]
+
+        def groups(table: pa.Table):
+            key, i, j, node, root, size, block = (table[c].to_numpy() for c in ("key", "i", "j", "node", "root", "size", "block"))
+            sketches = table["sketch"].to_pylist()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist(), len(key)]
+            found = [p for a, b in pairwise(edges) if b - a > 1 for p in group(sketches[a:b], node[a:b], root[a:b], size[a:b], int(i[a]), int(j[a]), block[a:b])]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # rows come sorted; the last group of a batch may go on in the next one
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([*held, batch]).combine_chunks()
+            k = [now[c].to_numpy() for c in ("key", "i", "j")]
+            open_ = np.flatnonzero((k[0] == k[0][-1]) & (k[1] == k[1][-1]) & (k[2] == k[2][-1]))[0]
+            if open_:
+                yield groups(now.slice(0, open_))
+            held = now.slice(open_).to_batches()
+        if held:
+            yield groups(pa.Table.from_batches(held))
+
+    sorted_rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return sorted_rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def freed(spark: SparkSession) -> None:
@@ -341,9 +379,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     packed = docs.select("text").mapInArrow(packer("text", size, plan, buckets), "bucket int, keys binary, places binary, nodes binary")
     met = written(packed.groupBy("bucket").applyInPandas(meet, "key long, a long, b long, n long"), "met")
     freed(spark)
-    pairs = written(met.where("key is null").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    described = written(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
+    pairs = written(possible(met.where("key is null").groupBy("a", "b").agg(F.sum("n").alias("n")), described, plan), "pairs")
     members = met.where("key is not null").select("key", F.col("a").alias("node"))
-    nodes = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "nodes")
+    freed(spark)
+    ends = lambda p: p.select(F.col("a").alias("node")).unionByName(p.select(F.col("b").alias("node"))).distinct()
+    nodes = written(ends(pairs), "nodes")
     sets = written(sets_again(docs, nodes, "text", size), "values")
     freed(spark)
     # the pair of each document that shares most keys with it first; these links make most components
@@ -351,12 +392,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     links = written(verified(best, sets, plan), "links")
     freed(spark)
     roots = components(links)
-    labels = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    labels = written(labels, "labels")
+    root = F.coalesce("root", "node").alias("root")
+    labels = nodes.join(roots, "node", "left").select("node", root)
     left, right = labels.select(F.col("node").alias("a"), F.col("root").alias("r")), labels.select(F.col("node").alias("b"), F.col("root").alias("s"))
     open_pairs = pairs.join(left, "a").join(right, "b").where("r <> s").select("a", "b")
-    described = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    more = written(open_pairs.unionByName(across(members.distinct().join(labels, "node"), described, plan)).distinct(), "pairs")
+    more = across(members.distinct().join(roots, "node", "left").select("key", "node", root), described, plan)
+    more = written(open_pairs.unionByName(more).distinct(), "pairs")
+    others = written(ends(more).join(nodes, "node", "left_anti"), "nodes")
+    sets = sets.unionByName(written(sets_again(docs, others, "text", size), "values"))
+    freed(spark)
     links = links.unionByName(written(verified(more, sets, plan), "links"))
     freed(spark)
     roots = components(links)
