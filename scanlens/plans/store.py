@@ -7,6 +7,7 @@ one is the table. Loads make a new version of the rows and then of the represent
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,17 +80,20 @@ class Store:
             for kind in ("exact", "series"):
                 self._write(f"{name}_{kind}", representatives(self.read(name), spec, kind).sortWithinPartitions(spec.time_col))
 
+    def staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """rows, written once: parsing is done once, and later plans start from plain columns."""
+        path = f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def merge_rows(self, name: str, rows: DataFrame, last_wins: bool) -> tuple[int, int, int]:
         """Bring parsed rows in; the numbers of rows, of new keys and of known ones."""
         target = self.read(name)
         order = ["raw_payload_path", "item_index"] if last_wins else ["item_index"]
-        rows = rows.withColumn("source_page", F.col("source_page").cast("int"))
         one = merge.one_per_key(rows, KEY, [c for c in (["source_page", *order]) if c in rows.columns], last_wins)
         first = (target.agg(F.max("id")).first()[0] or 0) + 1
         one = merge.numbered(one, order, first).withColumn("inserted_at", F.current_timestamp())
-        staged = f"{self.root}/_staged/{name}-v{self.version(name) + 1}"
-        one.write.mode("overwrite").parquet(staged)  # ids are given once, whatever reads them again
-        one = self.spark.read.parquet(staged)
+        one = self.staged(name, one)  # ids are given once, whatever reads them again
         distinct = one.count()
         known = merge.existing(one.select(KEY), target, KEY).count()
         self._write(name, merge.conform(merge.upsert(target, one.select(*target.columns), KEY, ["id", "inserted_at"]) if last_wins else merge.insert_or_skip(target, one.select(*target.columns), KEY), target.schema).sortWithinPartitions(modality(name).time_col))
@@ -102,7 +106,7 @@ class Store:
             items = pages.read_items(self.spark, run_root, name)
             if items is None:
                 continue
-            rows, bad = validated(parse(items, name), modality(name), quarantine=quarantine)
+            rows, bad = validated(self.staged(name, parse(items, name)), modality(name), quarantine=quarantine)
             n, new, known = self.merge_rows(name, rows, last_wins=True)
             out.modalities[name] = ModalitySummary(items.select("raw_payload_path").distinct().count(), n, new, n - new, bad.count() if bad is not None else 0)
         if refresh:
@@ -116,7 +120,7 @@ class Store:
             if names and name not in names:
                 continue
             done = merge.resume_index(self.read(name), path).first()[0]
-            rows, bad = validated(parse(dump.read_items(self.spark, path, done), name), modality(name), quarantine=quarantine)
+            rows, bad = validated(self.staged(name, parse(dump.read_items(self.spark, path, done), name)), modality(name), quarantine=quarantine)
             n, new, known = self.merge_rows(name, rows, last_wins=False)
             out.modalities[name] = ModalitySummary(1, n + done, new, n - new + done, bad.count() if bad is not None else 0)
         if refresh:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from ..spec import MODALITIES
 from .folders import exists, files
 
-#: Rows of a partition are numbered in the low bits of monotonically_increasing_id.
-ROW_BITS = (1 << 33) - 1
-
-
 def resolve_dump_root(spark: SparkSession, root: str) -> dict[str, str]:
     """The dump files <anything>.<modality>.json of a folder by modality; the folder must exist and hold one at least."""
     if not exists(spark, root):
@@ -31,9 +30,61 @@ def unwrapped(value: Column) -> Column:
     return F.when(other == "", v).otherwise(F.raise_error(F.concat(F.lit("unknown wrapper "), other)).cast("string"))
 
 
+def array_items(read, chunk: int = 1 << 20):
+    """The items of a JSON array as texts, from a function that reads so many characters: an item is in memory at a time, not the array."""
+    decoder, text, at, begun = json.JSONDecoder(), "", 0, False
+    while True:
+        while at < len(text) and text[at] in " \t\r\n,":
+            at += 1
+        if not begun and at < len(text):
+            if text[at] != "[":
+                raise ValueError("a dump is a JSON array")
+            begun, at = True, at + 1
+            continue
+        if begun and at < len(text):
+            if text[at] == "]":
+                return
+            try:
+                _, end = decoder.raw_decode(text, at)
+                if end < len(text) and text[end] in " \t\r\n,]":  # else a number could go on
+                    yield text[at:end]
+                    at = end
+                    continue
+            except ValueError:
+                pass  # the item isn't all there yet
+        more = read(chunk)
+        if not more:
+            raise ValueError("the array doesn't end")
+        text, at = text[at:] + more, 0
+
+
+class DumpReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.after = options["path"], int(options.get("after", 0))
+
+    def read(self, partition):
+        with open(self.path.removeprefix("file:"), encoding="utf-8") as f:
+            for i, text in enumerate(array_items(f.read), 1):
+                if i > self.after:
+                    yield i, text
+
+
+class DumpSource(DataSource):
+    """Options: path (of a file that the executors see), after (items to leave out)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "json_array"
+
+    def schema(self) -> str:
+        return "item_index long, value string"
+
+    def reader(self, schema):
+        return DumpReader(dict(self.options))
+
+
 def read_items(spark: SparkSession, path: str, start_after: int = 0) -> DataFrame:
-    """(value, raw_payload_path, source_page, item_index) of the items of one dump file, item_index from 1. The array is parsed as a stream, in one task for a file; lineage is <path>#item=N."""
-    items = spark.read.option("multiLine", True).option("singleVariantColumn", "item").json(path)
-    items = items.select(F.to_json("item").alias("value"), (F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS)) + 1).alias("item_index"))
-    items = items.where(F.col("item_index") > start_after)
+    """(value, raw_payload_path, source_page, item_index) of the items of one dump file, item_index from 1. The array is read as a stream by one task; lineage is <path>#item=N."""
+    spark.dataSource.register(DumpSource)
+    items = spark.read.format("json_array").option("path", path).option("after", str(start_after)).load()
     return items.select(unwrapped(F.col("value")).alias("value"), F.concat(F.lit(f"{path}#item="), F.col("item_index")).alias("raw_payload_path"), F.lit(None).cast("int").alias("source_page"), "item_index")

@@ -22,7 +22,7 @@ def ingest(store: Store, run_root: str, name: str, checkpoint: str) -> Streaming
         pages = batch.select("value", F.col("path"))
         items = pages.select("path", F.posexplode(page_items(F.col("value"))).alias("i", "item"))
         items = items.select(F.col("item").alias("value"), F.col("path").alias("raw_payload_path"), page_number(F.col("path")).alias("source_page"), (F.col("i") + 1).cast("long").alias("item_index"))
-        rows, _bad = validated(parse(items, name), modality(name))
+        rows, _bad = validated(store.staged(name, parse(items, name)), modality(name))
         if not rows.isEmpty():
             store.merge_rows(name, rows, last_wins=True)
             store.refresh([name])
