@@ -107,7 +107,7 @@ def segment_keys(values: np.ndarray, firsts: np.ndarray, plan: Plan) -> tuple[np
     for step in (0, 1):
         band = own + step
         first_size = uppers[band - 1] + 1 if step else 0
-        takes = (n >= plan.least_partner(5) - 0) & ((n >= -(-plan.percent * first_size // 100)) if step else True)
+        takes = (n >= plan.least_partner(5)) & ((n >= -(-plan.percent * first_size // 100)) if step else True)
         docs = np.flatnonzero(takes)
         if not len(docs):
             continue
