@@ -22,6 +22,8 @@ SHINGLE, PERCENT, LEAST_CHARS = 10, 80, 20
 #: (most shingles of a line, bins, rounds): ten bands of ROWS bins for every class. None: no bound.
 CLASSES = [(32, 4, 10), (64, 8, 5), (160, 20, 2), (None, 40, 1)]
 ROWS, SLOTS = 4, 64
+#: Centres of a key (about) in the first of the rounds after the star, by how much their number grows in each round, members of a key that meet its centres at a time.
+CENTRES, FAN, BLOCK = 64, 8, 2048
 #: Keys up to which a list of lines, or line numbers up to which the lists of dropped lines, are broadcast (8 bytes each); longer ones are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -42,28 +44,27 @@ def units(line: str) -> Column:
     return F.encode(F.col(line), "UTF-16BE")
 
 
+def shingle_set(line: str) -> Column:
+    """The distinct shingles of a line, as hashes. (The lambda binds the units, or they would be made for every shingle.)"""
+    slices = lambda u: F.transform(F.sequence(F.lit(0), (F.octet_length(u) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE))))
+    return F.array_distinct(F.get(F.transform(F.array(units(line)), slices), F.lit(0)))
+
+
 def bands(distinct: DataFrame) -> DataFrame:
-    """(key, h): the band keys of distinct lines (h, line). distinct is partitioned by h, and so nothing is shuffled here."""
-    n = (F.octet_length("units") / 2).cast("int") - (SHINGLE - 1)
+    """(key, h, n): the band keys of distinct lines (h, line), and the number of shingles. distinct is partitioned by h, and so nothing is shuffled here."""
     takes, low = [], 0
     for i, (high, bins, rounds) in enumerate(CLASSES):
         # lines a little smaller than the class are in it too, or linked lines on either side of its edge would not meet
         inside = (F.col("n") > low * PERCENT // 100) & (F.col("n") <= high if high else F.lit(True))
         takes += [F.when(inside, F.struct(F.lit(100 * i + r).alias("salt"), F.lit(bins).alias("bins"))) for r in range(rounds)]
         low = high
-    rows = distinct.select("h", units("line").alias("units")).withColumn("n", n).where("n > 0")
-    rows = rows.withColumn("take", F.explode(F.array_compact(F.array(*takes)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    hashed = rows.select("h", F.col("take.salt").alias("salt"), F.col("take.bins").alias("bins"), F.expr(f"xxhash64(substring(units, 2 * i + 1, {2 * SHINGLE}), take.salt)").alias("x"))
+    rows = distinct.select("h", shingle_set("line").alias("shingles"), ((F.octet_length(units("line")) / 2).cast("int") - (SHINGLE - 1)).alias("n")).where("n > 0")
+    rows = rows.withColumn("take", F.explode(F.array_compact(F.array(*takes)))).select("h", "n", "take", F.explode("shingles").alias("shingle"))
+    hashed = rows.select("h", "n", F.col("take.salt").alias("salt"), F.col("take.bins").alias("bins"), F.expr("xxhash64(shingle, take.salt)").alias("x"))
     # a slot is a round's bin; a round has SLOTS of them, a band ROWS neighbours
-    least = hashed.groupBy("h", (F.col("salt") * SLOTS + F.pmod("x", F.col("bins"))).cast("int").alias("slot")).agg(F.min("x").alias("x"))
-    keys = least.groupBy("h", F.expr(f"slot div {ROWS}").cast("int").alias("band")).agg(F.bit_xor(F.xxhash64("slot", "x")).alias("body"))
-    return keys.select(F.xxhash64("band", "body").alias("key"), "h")
-
-
-def shingle_set(line: str) -> Column:
-    """The distinct shingles of a line, as hashes. (The lambda binds the units, or they would be made for every shingle.)"""
-    slices = lambda u: F.transform(F.sequence(F.lit(0), (F.octet_length(u) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE))))
-    return F.array_distinct(F.get(F.transform(F.array(units(line)), slices), F.lit(0)))
+    least = hashed.groupBy("h", (F.col("salt") * SLOTS + F.pmod("x", F.col("bins"))).cast("int").alias("slot")).agg(F.min("x").alias("x"), F.first("n").alias("n"))
+    keys = least.groupBy("h", F.expr(f"slot div {ROWS}").cast("int").alias("band")).agg(F.bit_xor(F.xxhash64("slot", "x")).alias("body"), F.first("n").alias("n"))
+    return keys.select(F.xxhash64("band", "body").alias("key"), "h", "n")
 
 
 def similar(a: str, b: str) -> Column:
@@ -76,23 +77,69 @@ def similar(a: str, b: str) -> Column:
     return F.get(F.transform(F.array(F.struct(shingle_set(a).alias("x"), shingle_set(b).alias("y"))), decide), F.lit(0))
 
 
+def near(m: str, n: str) -> Column:
+    """Whether sets of so many shingles can link."""
+    return 100 * 2 * F.least(m, n) >= PERCENT * F.greatest(m, n)
+
+
+def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines that link."""
+    wanted = written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_KEYS
+    texts = written(lines.select("h", "line").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
+    return written(both.where(similar("x", "y")).select("a", "b"), "links")
+
+
+def rest_of_pairs(members: DataFrame, level: int, top: int) -> DataFrame:
+    """Pairs (a, b) of a key's members (key, h, n, root, blocks) of different components, one of them a centre of the level and the other of no higher level."""
+    at = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(FAN**top))
+    centres = members.where(at % FAN**level == 0).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))
+    others = members.select("key", F.pmod("h", "blocks").cast("int").alias("block"), "h", "n", "root", (at % FAN**level == 0).alias("centre"))
+    pairs = centres.join(others, ["key", "block"]).where((F.col("r") != F.col("root")) & near("m", "n") & (~F.col("centre") | (F.col("c") < F.col("h"))))
+    return pairs.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
+
+
 def line_links(lines: DataFrame) -> DataFrame:
-    """(a, b): links between distinct lines (h, line). Of the lines with a key in common, each is compared with the least one."""
+    """(a, b): links between distinct lines (h, line) that make all components.
+
+    The lines with a key in common are compared with the least one; those of different components are then compared
+    with each other: first with a few of them as centres, at last with all, so that groups that become one component
+    on the way are not compared pair by pair.
+    """
     distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
     entries = written(bands(distinct), "bands")
     freed(entries.sparkSession)
     shared = written(entries.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key", "a"), "shared")
     freed(entries.sparkSession)
-    pairs = entries.join(shared, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
+    members = written(entries.join(shared, "key").select("key", "h", "n", "a"), "members")
     freed(entries.sparkSession)
-    wanted = written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_KEYS
-    texts = written(lines.select("h", "line").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    low, high = F.least(F.length("x"), F.length("y")), F.greatest(F.length("x"), F.length("y"))
-    both = both.where(100 * 2 * low >= PERCENT * (high - SHINGLE))  # far from any link; spares the sets
-    return written(both.where(similar("x", "y")).select("a", "b"), "links")
+    least = members.where("h = a").select("key", "a", F.col("n").alias("m"))
+    members = members.where("h <> a").select("key", "h", "n")
+    pairs = written(members.join(least, "key").where(near("m", "n")).select("a", F.col("h").alias("b")).distinct(), "pairs")
+    freed(entries.sparkSession)
+    links, level, top = verified(pairs, lines), None, 0
+    while level is None or level > 0:
+        roots = components(links).select(F.col("node").alias("h"), "root")
+        rows = members.join(roots, "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+        mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.bit_xor(F.xxhash64("h")).alias("same")).where("r <> s")
+        mixed = mixed.groupBy("same", "many").agg(F.min("key").alias("key"))  # keys of the same members are one key
+        mixed = written(mixed.select("key", "many", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "mixed")
+        most = mixed.agg(F.max("many")).first()[0]
+        if most is None:
+            break
+        members = written(rows.join(mixed.drop("many"), "key"), "members")
+        if level is None:
+            while most > CENTRES * FAN**top:
+                top += 1
+            level = top + 1
+        level -= 1
+        pairs = written(rest_of_pairs(members, level, top), "pairs")
+        links = links.unionByName(verified(pairs, lines))
+        # who was a centre has met all others of its keys
+        members = members.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(FAN**top)) % FAN**level != 0).select("key", "h", "n")
+        freed(entries.sparkSession)
+    return links
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:

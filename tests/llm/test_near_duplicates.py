@@ -197,6 +197,33 @@ def test_op6_documents(spark):
     assert len(got) == len(want) and sum(got[i] != want[i] for i in want) <= 1  # candidates are found with high probability
 
 
+def variants(rng, line, changes, count):
+    out = [line]
+    for _ in range(count):
+        x = list(line)
+        for at in rng.sample(range(len(x)), changes):
+            x[at] = rng.choice("ABCDEFGH")
+        out.append("".join(x))
+    return out
+
+
+@pytest.mark.parametrize("centres, fan, block", [(64, 8, 2048), (2, 3, 7)])
+def test_op6_families_at_the_threshold(spark, monkeypatch, centres, fan, block):
+    """Lines that share keys are all compared, not with the least one only."""
+    monkeypatch.setattr(line_dedup, "CENTRES", centres)
+    monkeypatch.setattr(line_dedup, "FAN", fan)
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    lines = [x for length, changes, count in ((110, 1, 20), (400, 3, 120), (300, 2, 60)) for x in variants(rng, say(length), changes, count)]
+    rng.shuffle(lines)
+    docs = list(enumerate(lines))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    kept = lambda rows: {r[0] for r in rows if r[-1]}
+    want = kept(brute_lines(docs))
+    assert len(want) < 20 and len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ want) <= 3  # candidates are found with high probability
+
+
 def test_op6_plan_has_no_python(spark):
     plan = line_dedup.op6_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
