@@ -51,14 +51,14 @@ def shingle_set(line: str) -> Column:
 
 
 def bands(distinct: DataFrame) -> DataFrame:
-    """(key, h, n): the band keys of distinct lines (h, line), and the number of shingles. distinct is partitioned by h, and so nothing is shuffled here."""
+    """(key, h, n): the band keys of distinct lines (h, line), and the number of distinct shingles. distinct is partitioned by h, and so nothing is shuffled here."""
     takes, low = [], 0
     for i, (high, bins, rounds) in enumerate(CLASSES):
         # lines a little smaller than the class are in it too, or linked lines on either side of its edge would not meet
         inside = (F.col("n") > low * PERCENT // 100) & (F.col("n") <= high if high else F.lit(True))
         takes += [F.when(inside, F.struct(F.lit(100 * i + r).alias("salt"), F.lit(bins).alias("bins"))) for r in range(rounds)]
         low = high
-    rows = distinct.select("h", shingle_set("line").alias("shingles"), ((F.octet_length(units("line")) / 2).cast("int") - (SHINGLE - 1)).alias("n")).where("n > 0")
+    rows = distinct.select("h", shingle_set("line").alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
     rows = rows.withColumn("take", F.explode(F.array_compact(F.array(*takes)))).select("h", "n", "take", F.explode("shingles").alias("shingle"))
     hashed = rows.select("h", "n", F.col("take.salt").alias("salt"), F.col("take.bins").alias("bins"), F.expr("xxhash64(shingle, take.salt)").alias("x"))
     # a slot is a round's bin; a round has SLOTS of them, a band ROWS neighbours
@@ -79,7 +79,7 @@ def similar(a: str, b: str) -> Column:
 
 def near(m: str, n: str) -> Column:
     """Whether sets of so many shingles can link."""
-    return 100 * 2 * F.least(m, n) >= PERCENT * F.greatest(m, n)
+    return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -224,6 +224,14 @@ def test_op6_families_at_the_threshold(spark, monkeypatch, centres, fan, block):
     assert len(want) < 20 and len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ want) <= 3  # candidates are found with high probability
 
 
+def test_op6_repeated_signs(spark):
+    """Sizes are numbers of distinct shingles, which lines of any length can share."""
+    docs = [(1, "=" * 40), (2, "=" * 300), (3, "ab " * 20), (4, "ab " * 200), (5, "word " * 2000), (6, "word " * 9)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    rows = sorted((r.doc_id, r.text, r.n_lines, r.n_kept) for r in got.collect())
+    assert rows == brute_lines(docs) and [r[0] for r in rows if r[-1]] == [1, 3, 5]
+
+
 def test_op6_plan_has_no_python(spark):
     plan = line_dedup.op6_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
