@@ -35,7 +35,7 @@ SIZE, PERCENT = 5, 80
 BUCKET_KEYS, PACK_BYTES, FEW, BLOCK = 1_000_000, 16 << 20, 6, 2048
 #: Bits of a sketch: at least four for each shingle, within these bounds. Bits of the filter that says which sets are looked at again, at most.
 LEAST_BITS, MOST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 26
-BAND = 1.4
+BAND = 1.4  # at least; wider for thresholds under 72 percent
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,15 @@ class Plan:
 
     percent: int = PERCENT
 
+    def __post_init__(self):
+        if not 1 <= self.percent <= 100:
+            raise ValueError("percent must be from 1 to 100")
+
+    @property
+    def least_size(self) -> int:
+        """The fewest shingles of a set that can link with another set."""
+        return -(-self.percent // max(1, 100 - self.percent))
+
     def most_apart(self, sizes: int) -> int:
         """The most shingles in which two linked sets of so many shingles together differ."""
         return (100 - self.percent) * sizes // (100 + self.percent)
@@ -52,10 +61,10 @@ class Plan:
         return -(-self.percent * n // 100)
 
     def uppers(self, largest: int) -> list[int]:
-        """Upper bounds of the bands."""
+        """Upper bounds of the bands, one beyond the largest set's: linked sets are of the same band or of neighbours."""
         out = [4]
-        while out[-1] < largest:
-            out.append(max(out[-1] + 1, int(out[-1] * BAND)))
+        while len(out) < 2 or out[-2] < largest:
+            out.append(max(out[-1] + 1, int(out[-1] * BAND), 100 * out[-1] // self.percent))
         return out
 
     def segments(self, upper: int) -> int:
@@ -101,13 +110,13 @@ def folded(sketches: list[bytes], bits: int = MOST_BITS) -> np.ndarray:
 def segment_keys(values: np.ndarray, firsts: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """All join keys of sets, and the set of each. A set takes part in its own band, and in the next one if that has sets near enough in size."""
     n = np.diff(firsts)
-    uppers = np.array(plan.uppers(int(n.max(initial=0)) * 2 + 8))
+    uppers = np.array(plan.uppers(int(n.max(initial=0))))
     keys, owners = [], []
     own = np.searchsorted(uppers, n)
     for step in (0, 1):
         band = own + step
         first_size = uppers[band - 1] + 1 if step else 0
-        takes = (n >= plan.least_partner(5)) & ((n >= -(-plan.percent * first_size // 100)) if step else True)
+        takes = (n >= plan.least_size) & ((n >= -(-plan.percent * first_size // 100)) if step else True)
         docs = np.flatnonzero(takes)
         if not len(docs):
             continue

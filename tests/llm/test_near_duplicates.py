@@ -133,6 +133,26 @@ def test_every_linked_pair_shares_a_key():
         assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
 
 
+@pytest.mark.parametrize("percent", [10, 34, 50, 65, 80, 90, 99])
+def test_linked_pairs_share_a_key_at_any_percent(percent):
+    rng = random.Random(percent)
+    plan = jaccard_join.Plan(percent)
+    for n in [*range(1, 30), 60, 100, 150] * 3:
+        m = rng.randrange(n, 100 * n // percent + 1)  # the set of m holds the set of n: as far apart in size as links go
+        if m == n:
+            continue
+        b = rng.sample(range(1 << 62), m)
+        values = [np.array(sorted(s), np.uint64) for s in (b[:n], b)]
+        keys, owners = jaccard_join.segment_keys(np.concatenate(values), np.array([0, n, n + m]), plan)
+        assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
+
+
+def test_percent_out_of_range():
+    for percent in (0, 101):
+        with pytest.raises(ValueError, match="percent"):
+            jaccard_join.Plan(percent)
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000)]
