@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import Scratch
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -13,20 +13,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round hands each node the least root among its own and its neighbours', hooks the old root to the
     new one, and then shortens paths (root of root). A round is written to the shared folder, so lost executors
-    cost one round at most. Links may repeat, go both ways, or lead from a node to itself; no link is no row.
+    cost one round at most; older rounds are deleted. Links may repeat, go both ways, or lead from a node to
+    itself; no link is no row.
     """
+    scratch = Scratch(links.sparkSession, "components")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct(), "links")
-    roots = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    both = scratch.written(both.distinct(), "links")
+    now = scratch.written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
     for _ in range(most_rounds):
+        roots = now.select("node", "root")
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("near")).select(F.col("a").alias("node"), "near")
         seen = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("best"))
         hooks = seen.where(F.col("best") < F.col("root")).groupBy("root").agg(F.min("best").alias("hook")).select(F.col("root").alias("node"), "hook")
         moved = seen.join(hooks, "node", "left").select("node", F.col("root").alias("was"), F.least("best", F.coalesce("hook", "best")).alias("to"))
         up = roots.select(F.col("node").alias("to"), F.col("root").alias("up"))
-        after = written(moved.join(up, "to").select("node", "was", F.least("to", "up").alias("root")), "roots")
+        after = scratch.written(moved.join(up, "to").select("node", "was", F.least("to", "up").alias("root")), "roots")
         changed = after.where(F.col("root") != F.col("was")).limit(1).count()
-        roots = after.select("node", "root")
+        scratch.drop(now)
+        now = after
         if not changed:
-            return roots
+            scratch.drop(both)
+            return now.select("node", "root")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -10,15 +10,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step looks at; a longer single text is a step of its own.
 PIECE_BYTES = 2 << 20
+#: Rows (16 bytes or so) up to which a table whose rows have been counted is broadcast.
+BROADCAST_ROWS = 1_000_000
+#: Spark's setting that deletes the shuffle files of a query at its end.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of our own; on a cluster that's an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: it names the folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -31,11 +39,47 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet. Spark deletes the shuffle files of the write as soon as it's done, on all executors."""
+    conf = df.sparkSession.conf
+    before = conf.get(FILE_CLEANUP, None)
+    conf.set(FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(FILE_CLEANUP) if before is None else conf.set(FILE_CLEANUP, before)
+
+
+def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """Write df in the shared folder and read it again: cuts the lineage, and every later reader sees the same rows whatever executor is lost."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path)
+    return read(df.sparkSession, path, df.schema)
+
+
+class Scratch:
+    """Tables of one job in the shared folder, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder, self.n, self.paths = spark, new_folder(spark, what), 0, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a written table; an older table of the same name stays until it's dropped."""
+        self.n += 1
+        path = f"{self.folder}/{name}-{self.n}"
+        write(df, path)
+        out = read(self.spark, path, df.schema)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t))
+            drop_folder(self.spark, path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -86,3 +130,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows (it's counted: use written tables)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -1,31 +1,34 @@
 """Operator 6: fuzzy line deduplication by MinHash, with DataFrame functions only.
 
-Distinct lines of all texts are sets of character shingles. One hash of each shingle picks a bin and stands for
-it there if it is the bin's least (one-permutation hashing); short lines, whose shingles would leave bins empty,
-have fewer bins and more rounds with other hashes. ROWS bins make a band; lines that share a band's key are
-candidates, their exact Jaccard similarity decides, and connected components of the links keep one line each:
-the first one by document id and line number.
+A line is the set of its character shingles. A signature has MINS values: the hash of a shingle that comes
+nearest (by XOR) to each of as many fixed masks, as chance picks one of the line's shingles for each. Signatures
+are made without a shuffle of texts: a row for each chunk of CHUNK shingles, whose hashes are columns, and a
+minimum per line. Four values make a band; the bands are the lines of the plane of order 4, so that any two
+values are together in one band. Lines that share a band's key are candidates.
+
+Candidates are compared by bit sketches first (a bit for each shingle's hash; bits that differ are at most the
+shingles that differ), then exactly: each line of a key with the key's least one, and, for keys whose lines are
+still of different components, all those with each other, in blocks. Connected components of the links keep one
+line each: the first one by document id and line number. Lines that are equal are one line from the start.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
 from .components import components
-from .frames import written
-from .jaccard_join import freed
+from .frames import BROADCAST_ROWS, Scratch, small
 
-#: Characters (UTF-16 units) of a shingle, similarity in percent, characters below which a line is never a duplicate.
-SHINGLE, PERCENT, LEAST_CHARS = 10, 80, 20
-#: (most shingles of a line, bins, rounds): ten bands of ROWS bins for every class. None: no bound.
-CLASSES = [(32, 4, 10), (64, 8, 5), (160, 20, 2), (None, 40, 1)]
-ROWS, SLOTS = 4, 64
-#: Centres of a key (about) in the first of the rounds after the star, by how much their number grows in each round, members of a key that meet its centres at a time.
-CENTRES, FAN, BLOCK = 64, 8, 2048
-#: Keys up to which a list of lines, or line numbers up to which the lists of dropped lines, are broadcast (8 bytes each); longer ones are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Characters (UTF-16 units) of a shingle, similarity in percent.
+SHINGLE, PERCENT = 7, 80
+#: Values of a signature (the points of a plane of order 4), longs of a sketch, lines of a block, shingles of a chunk.
+MINS, WORDS, BLOCK, CHUNK = 16, 32, 128, 16
+#: What a blank line is made of.
+BLANK = " \t\r\f\v"
 
 
 def row_key(id_col: str, text: str) -> Column:
@@ -33,147 +36,211 @@ def row_key(id_col: str, text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
-def lines_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, row, at, line, h) of the lines that can be duplicates."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
-    return rows.where(F.length("line") >= LEAST_CHARS).withColumn("h", F.xxhash64("line"))
+def masks() -> list[int]:
+    """Two halves of masks, as signed longs; in each half they differ in the first three bits."""
+    out = []
+    for k in range(MINS):
+        tail = int.from_bytes(hashlib.sha256(f"mask {k}".encode()).digest()[:8], "big") >> 3
+        value = (k % (MINS // 2)) << 61 | tail
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
+
+
+def plane() -> list[list[int]]:
+    """The 20 lines of the affine plane of order 4 on the points 0 to 15: each pair of points is on one of them."""
+    times = [[0, 0, 0, 0], [0, 1, 2, 3], [0, 2, 3, 1], [0, 3, 1, 2]]  # the field of four elements; its sum is XOR
+    slopes = [[4 * x + (times[m][x] ^ c) for x in range(4)] for m in range(4) for c in range(4)]
+    return slopes + [[4 * x + y for y in range(4)] for x in range(4)]
 
 
-def units(line: str) -> Column:
+def units(line: Column) -> Column:
     """The line as 2 bytes a unit, so that a shingle is a slice at a known place."""
-    return F.encode(F.col(line), "UTF-16BE")
+    return F.encode(line, "UTF-16BE")
 
 
-def shingle_set(line: str) -> Column:
-    """The distinct shingles of a line, as hashes. (The lambda binds the units, or they would be made for every shingle.)"""
-    slices = lambda u: F.transform(F.sequence(F.lit(0), (F.octet_length(u) / 2).cast("int") - SHINGLE), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * SHINGLE))))
-    return F.array_distinct(F.get(F.transform(F.array(units(line)), slices), F.lit(0)))
+def shingle_at(u: Column, at: Column, last: Column) -> Column:
+    """The hash of the shingle at a byte (from 1), or of the last one."""
+    return F.xxhash64(F.substring(u, F.least(at, last), F.lit(2 * SHINGLE)))
 
 
-def bands(distinct: DataFrame) -> DataFrame:
-    """(key, h, n): the band keys of distinct lines (h, line), and the number of distinct shingles. distinct is partitioned by h, and so nothing is shuffled here."""
-    takes, low = [], 0
-    for i, (high, bins, rounds) in enumerate(CLASSES):
-        # lines a little smaller than the class are in it too, or linked lines on either side of its edge would not meet
-        inside = (F.col("n") > low * PERCENT // 100) & (F.col("n") <= high if high else F.lit(True))
-        takes += [F.when(inside, F.struct(F.lit(100 * i + r).alias("salt"), F.lit(bins).alias("bins"))) for r in range(rounds)]
-        low = high
-    rows = distinct.select("h", shingle_set("line").alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0")
-    rows = rows.withColumn("take", F.explode(F.array_compact(F.array(*takes)))).select("h", "n", "take", F.explode("shingles").alias("shingle"))
-    hashed = rows.select("h", "n", F.col("take.salt").alias("salt"), F.col("take.bins").alias("bins"), F.expr("xxhash64(shingle, take.salt)").alias("x"))
-    # a slot is a round's bin; a round has SLOTS of them, a band ROWS neighbours
-    least = hashed.groupBy("h", (F.col("salt") * SLOTS + F.pmod("x", F.col("bins"))).cast("int").alias("slot")).agg(F.min("x").alias("x"), F.first("n").alias("n"))
-    keys = least.groupBy("h", F.expr(f"slot div {ROWS}").cast("int").alias("band")).agg(F.bit_xor(F.xxhash64("slot", "x")).alias("body"), F.first("n").alias("n"))
-    return keys.select(F.xxhash64("band", "body").alias("key"), "h", "n")
+def chunks(lines: DataFrame, size: int) -> DataFrame:
+    """(h, x0, x1, ...): the hashes of `size` shingles of a line (h, line) in each row; the last ones repeat at its end."""
+    rows = lines.select("h", units(F.col("line")).alias("u")).withColumn("last", F.octet_length("u") - 2 * SHINGLE + 1).where("last > 0")
+    rows = rows.select("h", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * size))).alias("at"))
+    return rows.select("h", *[shingle_at(F.col("u"), F.col("at") + 2 * j, F.col("last")).alias(f"x{j}") for j in range(size)])
 
 
-def similar(a: str, b: str) -> Column:
-    """Whether two lines link: 100 * |A and B| >= PERCENT * |A or B| of their shingle sets. (Both sets are bound, and so made once.)"""
+def lines_of(docs: DataFrame, text: str) -> DataFrame:
+    """(line, h) of all documents."""
+    return docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).withColumn("h", F.xxhash64("line"))
 
-    def decide(p: Column) -> Column:
-        common = F.size(F.array_intersect(p["x"], p["y"]))
-        return 100 * common >= PERCENT * (F.size(p["x"]) + F.size(p["y"]) - common)
 
-    return F.get(F.transform(F.array(F.struct(shingle_set(a).alias("x"), shingle_set(b).alias("y"))), decide), F.lit(0))
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, m0, m1, ...) of the lines (h, line) that have a shingle."""
+    turned = [F.expr(f"shiftleft(x{j}, 32) | shiftrightunsigned(x{j}, 32)").alias(f"y{j}") for j in range(CHUNK)]
+    rows = chunks(lines, CHUNK).select("h", *[f"x{j}" for j in range(CHUNK)], *turned)
+    near = lambda k, mask: F.min(F.least(*[F.col(f"{'xy'[k >= MINS // 2]}{j}").bitwiseXOR(F.lit(mask)) for j in range(CHUNK)]))
+    return rows.groupBy("h").agg(*[near(k, mask).alias(f"m{k}") for k, mask in enumerate(masks())])
+
+
+def bands(signed: DataFrame) -> DataFrame:
+    """(key, h): a key for each band of a line."""
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in points]) for b, points in enumerate(plane())])
+    return signed.select(F.explode(keys).alias("key"), "h")
+
+
+def sketches(lines: DataFrame) -> DataFrame:
+    """(h, n, w0, w1, ...): the number of shingles (repeated ones count) and the sketch of distinct lines (h, line)."""
+    size = CHUNK // 2
+    words = [F.col(f"x{j}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{j}") for j in range(size)]
+    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x{j}, 8) & 63 AS int))").alias(f"b{j}") for j in range(size)]
+    rows = chunks(lines, size).select("h", *words, *bits)
+
+    def word(k: int) -> Column:
+        out = F.when(F.col("w0") == k, F.col("b0")).otherwise(F.lit(0).cast("long"))
+        for j in range(1, size):
+            out = out.bitwiseOR(F.when(F.col(f"w{j}") == k, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")))
+        return F.bit_or(out)
 
+    return rows.groupBy("h").agg(*[word(k).alias(f"w{k}") for k in range(WORDS)])
 
-def near(m: str, n: str) -> Column:
-    """Whether sets of so many shingles can link."""
-    return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
 
+def shingle_set(line: Column) -> Column:
+    """The shingles of a line, as hashes; some may repeat. (The lambda binds the units, or they would be made for every chunk.)"""
 
-def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of lines that link."""
-    wanted = written(pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_KEYS
-    texts = written(lines.select("h", "line").join(F.broadcast(wanted) if few else wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-    return written(both.where(similar("x", "y")).select("a", "b"), "links")
+    def hashes(u: Column) -> Column:
+        last = F.octet_length(u) - 2 * SHINGLE + 1
+        return F.flatten(F.transform(F.sequence(F.lit(1), last, F.lit(2 * CHUNK)), lambda at: F.array(*[shingle_at(u, at + 2 * j, last) for j in range(CHUNK)])))
 
+    return F.get(F.transform(F.array(units(line)), hashes), F.lit(0))
 
-def rest_of_pairs(members: DataFrame, level: int, top: int) -> DataFrame:
-    """Pairs (a, b) of a key's members (key, h, n, root, blocks) of different components, one of them a centre of the level and the other of no higher level."""
-    at = F.pmod(F.xxhash64("h", F.lit(5)), F.lit(FAN**top))
-    centres = members.where(at % FAN**level == 0).select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("h").alias("c"), F.col("n").alias("m"), F.col("root").alias("r"))
-    others = members.select("key", F.pmod("h", "blocks").cast("int").alias("block"), "h", "n", "root", (at % FAN**level == 0).alias("centre"))
-    pairs = centres.join(others, ["key", "block"]).where((F.col("r") != F.col("root")) & near("m", "n") & (~F.col("centre") | (F.col("c") < F.col("h"))))
-    return pairs.select(F.least("c", "h").alias("a"), F.greatest("c", "h").alias("b")).distinct()
 
+def similar(a: Column, b: Column) -> Column:
+    """Whether two lines link: 100 * |A and B| >= PERCENT * |A or B| of their shingle sets. (Both sets are bound, and so made once.)"""
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """(a, b): links between distinct lines (h, line) that make all components.
+    def decide(p: Column) -> Column:
+        common = F.size(F.array_intersect(p["x"], p["y"]))
+        return 100 * common >= PERCENT * (F.size(F.array_distinct(p["x"])) + F.size(F.array_distinct(p["y"])) - common)
 
-    The lines with a key in common are compared with the least one; those of different components are then compared
-    with each other: first with a few of them as centres, at last with all, so that groups that become one component
-    on the way are not compared pair by pair.
+    return F.get(F.transform(F.array(F.struct(shingle_set(a).alias("x"), shingle_set(b).alias("y"))), decide), F.lit(0))
+
+
+def near(a, b) -> Column:
+    """Whether the sketches of two lines (fields n, w0, w1, ...) don't rule a link out: linked sets differ in (100 - PERCENT) / (100 + PERCENT) of their sizes at most."""
+    apart = F.lit(0)
+    for k in range(WORDS):
+        apart = apart + F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}")))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (a("n") + b("n"))
+
+
+def star_links(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links of the lines of each key with its least one."""
+    least = members.groupBy("key").agg(F.min("h").alias("a"))
+    pairs = scratch.written(members.join(least, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
+    named = lambda side: nodes.select(F.col("h").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "h"])
+    one = named("b").join(small(pairs), "b")
+    two = named("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
+    close = one.join(two, "a").where(near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    links = scratch.written(close.where(similar(F.col("a_line"), F.col("b_line"))).select("a", "b"), "links")
+    scratch.drop(pairs)
+    return links
+
+
+def block_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, everyone: bool) -> DataFrame:
+    """(key, a, b): links between lines of different components that share a key, from the members (key, h, open) that are open.
+
+    The lines of a key are taken in blocks, a row for each pair of blocks; a pair of lines is looked at in the
+    least key that they share. An open line gives one link for each pair of blocks or, with everyone, all.
     """
-    distinct = lines.groupBy("h").agg(F.first("line").alias("line"))
-    entries = written(bands(distinct), "bands")
-    freed(entries.sparkSession)
-    shared = written(entries.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("key", "a"), "shared")
-    freed(entries.sparkSession)
-    members = written(entries.join(shared, "key").select("key", "h", "n", "a"), "members")
-    freed(entries.sparkSession)
-    least = members.where("h = a").select("key", "a", F.col("n").alias("m"))
-    members = members.where("h <> a").select("key", "h", "n")
-    pairs = written(members.join(least, "key").where(near("m", "n")).select("a", F.col("h").alias("b")).distinct(), "pairs")
-    freed(entries.sparkSession)
-    links, level, top = verified(pairs, lines), None, 0
-    while level is None or level > 0:
-        roots = components(links).select(F.col("node").alias("h"), "root")
-        rows = members.join(roots, "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
-        mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.bit_xor(F.xxhash64("h")).alias("same")).where("r <> s")
-        mixed = mixed.groupBy("same", "many").agg(F.min("key").alias("key"))  # keys of the same members are one key
-        mixed = written(mixed.select("key", "many", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "mixed")
-        most = mixed.agg(F.max("many")).first()[0]
-        if most is None:
-            break
-        members = written(rows.join(mixed.drop("many"), "key"), "members")
-        if level is None:
-            while most > CENTRES * FAN**top:
-                top += 1
-            level = top + 1
-        level -= 1
-        pairs = written(rest_of_pairs(members, level, top), "pairs")
-        links = links.unionByName(verified(pairs, lines))
-        # who was a centre has met all others of its keys
-        members = members.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(FAN**top)) % FAN**level != 0).select("key", "h", "n")
-        freed(entries.sparkSession)
+    rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("open").alias("some")).where("r <> s and some")
+    rows = rows.join(mixed.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "key")
+    keys = rows.groupBy("h").agg(F.collect_list("key").alias("keys"))
+    line = F.struct("h", "root", "open", "keys", *[c for c in nodes.columns if c != "h"]).alias("line")
+    full = rows.join(nodes.join(keys, "h"), "h").select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line)
+    block = full.groupBy("key", "block").agg(F.collect_list("line").alias("lines"), F.max("blocks").alias("blocks"))
+    # (i, j) and (j, i) are one pair, i of the one side and j of the other
+    left = block.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("lines").alias("one"))
+    both = left.join(block.select("key", F.col("block").alias("j"), F.col("lines").alias("two")), ["key", "j"])
+
+    def linked(a: Column, b: Column) -> Column:
+        apart = (a["root"] != b["root"]) & (a["open"] | b["open"]) & ((F.col("i") != F.col("j")) | (a["h"] < b["h"]))
+        return apart & near(lambda c: a[c], lambda c: b[c]) & (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key")) & similar(a["line"], b["line"])
+
+    if everyone:
+        links = lambda a: F.transform(F.filter("two", lambda b: linked(a, b)), lambda b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
+        found = F.flatten(F.transform("one", links))
+    else:
+        first = lambda a: F.aggregate("two", F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(linked(a, b), b["h"]))
+        found = F.filter(F.transform("one", lambda a: F.struct(a["h"].alias("a"), first(a).alias("b"))), lambda p: p["b"].isNotNull())
+    return both.select("key", F.explode(found).alias("p")).select("key", "p.a", "p.b")
+
+
+def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
+    """(a, b): links between distinct lines (by h) that make all components."""
+    signed = scratch.written(signatures(lines_of(docs, text)), "signatures")
+    shared = scratch.written(bands(signed).groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
+    entries = scratch.written(bands(signed).join(small(shared), "key"), "entries")
+    scratch.drop(signed, shared)
+    # keys of the same lines are one key
+    one = entries.groupBy("key").agg(F.max("many").alias("many"), F.bit_xor(F.xxhash64("h")).alias("same")).groupBy("many", "same").agg(F.min("key").alias("key"))
+    members = scratch.written(entries.select("key", "h").join(one.select("key"), "key", "left_semi"), "members")
+    scratch.drop(entries)
+    wanted = scratch.written(members.select("h").distinct(), "wanted")
+    lines = scratch.written(lines_of(docs, text).join(small(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
+    n = ((F.octet_length(units(F.col("line"))) / 2).cast("int") - SHINGLE + 1).alias("n")
+    nodes = scratch.written(lines.select("h", "line", n).join(sketches(lines), "h"), "nodes")
+    scratch.drop(wanted, lines)
+    links = star_links(members, nodes, scratch)
+    rows = members.withColumn("open", F.lit(True))
+    found = scratch.written(block_links(rows, nodes, components(links), False), "found")
+    links = links.unionByName(found.select("a", "b"))
+    if found.limit(1).count():  # a line that gave one link may have others, to other components
+        again = found.select("key", F.col("a").alias("h")).distinct()
+        rows = members.join(found.select("key").distinct(), "key", "left_semi").join(again.withColumn("gave", F.lit(True)), ["key", "h"], "left")
+        more = block_links(rows.select("key", "h", F.coalesce("gave", F.lit(False)).alias("open")), nodes, components(links), True)
+        links = links.unionByName(scratch.written(more.select("a", "b"), "links"))
     return links
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, drop): the numbers (from 0) of the lines that go, for every document (`row_key`) with any."""
-    lines = lines_of(docs, id_col, text)
-    roots = components(line_links(lines))
-    places = written(lines.select("id", "row", "at", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("id", "row", "at", F.coalesce("root", "h").alias("line")), "places")
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    roots = scratch.written(components(line_links(docs, text, scratch)).where("node <> root").select(F.col("node").alias("h"), "root"), "roots")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
+    rows = rows.where(F.btrim("line", F.lit(BLANK)) != "").select("id", "row", "at", F.xxhash64("line").alias("h"))
+    places = scratch.written(rows.join(small(roots), "h", "left").select("id", "row", "at", F.coalesce("root", "h").alias("line")), "places")
     kept = places.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = written(kept.select("line", F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at")), "kept")
-    gone = written(places.join(kept, "line").where("row <> kept_row or at <> kept_at").select("row", "at").distinct(), "gone")
-    return written(gone.groupBy("row").agg(F.collect_list("at").alias("drop")), "drops")
+    kept = scratch.written(kept.select("line", F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at")), "kept")
+    gone = places.join(small(kept), "line").where("row <> kept_row or at <> kept_at")
+    drops = scratch.written(gone.groupBy("row").agg(F.collect_set("at").alias("drop")), "drops")
+    scratch.drop(roots, places, kept)
+    return drops
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the text's kept lines, and n_lines and n_kept.
 
     A line goes if a line of its component stands earlier (by id, then by line number; rows without id last).
-    Lines under LEAST_CHARS characters always stay. Null texts stay null with 0 lines; an empty text has one
-    empty line; rows of the same id and text are one document and get the same result; other columns stay; an
-    empty table stays empty. Lines are known by 64-bit hashes.
+    Lines shorter than a shingle go if they're repeated exactly; blank ones always stay. Null texts stay null
+    with 0 lines; an empty text has one empty line; rows of the same id and text are one document and get the
+    same result; other columns stay (n_lines and n_kept are replaced); an empty table stays empty. Long lines
+    are sets of all their shingles. Lines are known by 64-bit hashes. Of ties (lines of one id and number, in
+    texts that differ) the one of the smaller hash of its document counts as first.
     """
     drops = dropped_lines(docs, id_col=id_col, text=text)
-    names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
-    few = (drops.agg(F.sum(F.size("drop") + 1)).first()[0] or 0) <= BROADCAST_KEYS
+    few = (drops.agg(F.sum(F.size("drop") + 1)).first()[0] or 0) <= BROADCAST_ROWS
     drops = F.broadcast(drops) if few else drops
-    freed(docs.sparkSession)
-    rows = docs.withColumn("__row", row_key(id_col, text)).join(drops.select(F.col("row").alias("__row"), F.col("drop").alias("__drop")), "__row", "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    rows = rows.withColumn("__lines", lines)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    kept = F.when(F.col("__drop").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    n = F.coalesce(F.size("__lines"), F.lit(0))
-    n_lines = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(n).cast("long")
-    return rows.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), (n_lines - F.coalesce(F.size("__drop"), F.lit(0)) * F.col("__drop").isNotNull().cast("int")).cast("long").alias("n_kept"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
+    body = F.col(f"`{text}`")
+    # columns of our own are behind one struct, so that no name of the documents can clash with theirs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), row_key(id_col, text).alias("row"), F.split(body, "\n").alias("lines")).join(drops, "row", "left")
+    body = F.col("doc")[text]
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    kept = F.when(F.col("drop").isNull(), body).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
+    n_lines = F.when(body.isNull(), F.lit(0)).otherwise(F.coalesce(F.size("lines"), F.lit(0))).cast("long")
+    n_kept = (n_lines - F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size("drop"))).cast("long")
+    return rows.select(*[(kept if c == text else F.col("doc")[c]).alias(c) for c in names], n_lines.alias("n_lines"), n_kept.alias("n_kept"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

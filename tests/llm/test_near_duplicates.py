@@ -1,7 +1,9 @@
 """Operators 5 and 6 and components against direct computation."""
 
+import itertools
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -82,11 +84,13 @@ def cases(seed=4):
     return docs
 
 
-@pytest.mark.parametrize("block, few, bucket", [(2048, 6, 1_000_000), (7, 3, 3000)])
-def test_op5(spark, monkeypatch, block, few, bucket):
+@pytest.mark.parametrize("block, few, bucket, frequent, pack", [(2048, 6, 1_000_000, 256, 16 << 20), (7, 3, 3000, 256, 16 << 20), (7, 3, 3000, 5, 10_000), (2048, 6, 1_000_000, 12, 16 << 20)])
+def test_op5(spark, monkeypatch, block, few, bucket, frequent, pack):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", bucket)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "PACK_BYTES", pack)
     docs = cases()
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in docs], "doc_id long, text string, node string, size int").repartition(3)
     got = jaccard_join.near_duplicates(df)
@@ -129,7 +133,7 @@ def test_every_linked_pair_shares_a_key():
         if a == b or 100 * len(a & b) < 80 * len(a | b):
             continue
         values = [np.array(sorted(s), np.uint64) for s in (a, b)]
-        keys, owners = jaccard_join.segment_keys(np.concatenate(values), np.array([0, len(a), len(a) + len(b)]), plan)
+        keys, owners, _ = jaccard_join.segment_keys(np.concatenate(values), np.array([0, len(a), len(a) + len(b)]), plan)
         assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
 
 
@@ -143,7 +147,7 @@ def test_linked_pairs_share_a_key_at_any_percent(percent):
             continue
         b = rng.sample(range(1 << 62), m)
         values = [np.array(sorted(s), np.uint64) for s in (b[:n], b)]
-        keys, owners = jaccard_join.segment_keys(np.concatenate(values), np.array([0, n, n + m]), plan)
+        keys, owners, _ = jaccard_join.segment_keys(np.concatenate(values), np.array([0, n, n + m]), plan)
         assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
 
 
@@ -163,27 +167,34 @@ def test_components(spark):
 
 
 def line_shingles(line):
-    units = line.encode("utf-16-be")
-    return {units[2 * i : 2 * i + 20] for i in range(len(units) // 2 - 9)}
+    units, k = line.encode("utf-16-be"), line_dedup.SHINGLE
+    return {units[2 * i : 2 * (i + k)] for i in range(len(units) // 2 - k + 1)}
+
+
+def line_pairs(names):
+    """All pairs of lines that link, by counting the shingles that they share."""
+    sets = [line_shingles(x) for x in names]
+    holders = defaultdict(list)
+    for i, own in enumerate(sets):
+        for g in own:
+            holders[g].append(i)
+    common = Counter(p for own in holders.values() for p in itertools.combinations(own, 2))
+    return [(names[i], names[j]) for (i, j), c in common.items() if 100 * c >= line_dedup.PERCENT * (len(sets[i]) + len(sets[j]) - c)]
 
 
 def brute_lines(docs):
-    places, lines = [], {}
+    places = []
     for i, t in sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0)):
-        for at, line in enumerate(t.split("\n") if t is not None else ()):
-            if len(line) >= 20:
-                places.append((i is None, i or 0, at, (i, t), line))
-                lines[line] = line_shingles(line)
-    names = sorted(lines)
-    links = [(x, y) for k, x in enumerate(names) for y in names[:k] if 100 * len(lines[x] & lines[y]) >= 80 * len(lines[x] | lines[y])]
-    root = union_find(names, links)
+        places += [(i is None, i or 0, at, (i, t), line) for at, line in enumerate(t.split("\n") if t is not None else ()) if line.strip(line_dedup.BLANK)]
+    names = sorted({p[4] for p in places})
+    root = union_find(names, line_pairs(names))
     first = {}
     for p in sorted(places, key=lambda p: p[:3]):
         first.setdefault(root[p[4]], (p[3], p[2]))
     out = []
     for i, t in docs:
         own = t.split("\n") if t is not None else []
-        keep = [x for at, x in enumerate(own) if len(x) < 20 or first[root[x]] == ((i, t), at)]
+        keep = [x for at, x in enumerate(own) if not x.strip(line_dedup.BLANK) or first[root[x]] == ((i, t), at)]
         out.append((i, None if t is None else "\n".join(keep), len(own), len(keep)))
     return sorted(out, key=str)
 
@@ -202,7 +213,7 @@ def test_op6(spark):
                 line = line[:at] + "é漢" + line[at + 3 :]
             own.append(line if rng.random() < 0.8 else say(20))
         docs.append((i, "\n".join(own + ["short", ""])))
-    docs += [(50, None), (51, ""), (52, "short\nshort"), (None, docs[3][1]), (53, "a line of its own, at the end\r\nx"), (7, docs[7][1])]
+    docs += [(50, None), (51, ""), (52, "short\nshort"), (54, " \n \n\t\n\r"), (55, "short \nshor"), (None, docs[3][1]), (53, "a line of its own, at the end\r\nx"), (7, docs[7][1])]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, n_lines int, h string").repartition(3)
     got = line_dedup.dedup_lines(df)
     assert got.columns == ["doc_id", "text", "h", "n_lines", "n_kept"]
@@ -227,11 +238,9 @@ def variants(rng, line, changes, count):
     return out
 
 
-@pytest.mark.parametrize("centres, fan, block", [(64, 8, 2048), (2, 3, 7)])
-def test_op6_families_at_the_threshold(spark, monkeypatch, centres, fan, block):
+@pytest.mark.parametrize("block", [128, 7])
+def test_op6_families_at_the_threshold(spark, monkeypatch, block):
     """Lines that share keys are all compared, not with the least one only."""
-    monkeypatch.setattr(line_dedup, "CENTRES", centres)
-    monkeypatch.setattr(line_dedup, "FAN", fan)
     monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(3)
     say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
@@ -252,6 +261,36 @@ def test_op6_repeated_signs(spark):
     assert rows == brute_lines(docs) and [r[0] for r in rows if r[-1]] == [1, 3, 5]
 
 
+def test_op6_edits_of_medium_lines(spark):
+    """One character or one word changed in lines of 30 to 200 characters: those that link by their shingles are found."""
+    rng = random.Random(12)
+    lines = []
+    for n in (30, 45, 60, 70, 80, 100, 140, 200):
+        for _ in range(4):
+            line = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))[:n]
+            words = line.split(" ")
+            words[rng.randrange(len(words))] = "other"
+            lines += [line, line[:-1] + "X", "Y" + line[1:], line[: n // 2] + "Z" + line[n // 2 + 1 :], " ".join(words)]
+    docs = list(enumerate(lines))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    kept = lambda rows: {r[0] for r in rows if r[-1]}
+    want = kept(brute_lines(docs))
+    assert 32 <= len(want) < 100 and len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ want) <= 1
+
+
+def test_op6_recall(spark):
+    """Links of an exact join of all lines whose ends come into one component."""
+    docs = frames.table(spark, "/root/testdata/sf0.01", "documents")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.btrim("line", F.lit(line_dedup.BLANK)) != "").distinct()
+    hashes = {r.line: r.h for r in lines.withColumn("h", F.xxhash64("line")).collect()}
+    links = line_pairs(sorted(hashes))
+    scratch = frames.Scratch(spark, "recall")
+    root = {r.node: r.root for r in components(line_dedup.line_links(docs, "text", scratch)).collect()}
+    found = sum(root.get(hashes[a], a) == root.get(hashes[b], b) for a, b in links)
+    print(f"recall: {found} of {len(links)} links")
+    assert len(links) > 100 and found >= 0.99 * len(links)
+
+
 def test_op6_plan_has_no_python(spark):
     plan = line_dedup.op6_line_dedup(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
