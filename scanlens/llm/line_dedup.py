@@ -25,8 +25,8 @@ from .frames import BROADCAST_ROWS, Scratch, small
 
 #: Characters (UTF-16 units) of a shingle, similarity in percent.
 SHINGLE, PERCENT = 7, 80
-#: Values of a signature (the points of a plane of order 4), longs of a sketch, lines of a block, shingles of a chunk.
-MINS, WORDS, BLOCK, CHUNK = 16, 32, 128, 16
+#: Values of a signature (the points of a plane of order 4), longs of a sketch, shingles of a chunk, lines of a key whose pairs are all listed, lines of a block of a larger key.
+MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 16, 20, 128
 #: What a blank line is made of.
 BLANK = " \t\r\f\v"
 
@@ -106,12 +106,9 @@ def sketches(lines: DataFrame) -> DataFrame:
 
 
 def shingle_set(line: Column) -> Column:
-    """The shingles of a line, as hashes; some may repeat. (The lambda binds the units, or they would be made for every chunk.)"""
-
-    def hashes(u: Column) -> Column:
-        last = F.octet_length(u) - 2 * SHINGLE + 1
-        return F.flatten(F.transform(F.sequence(F.lit(1), last, F.lit(2 * CHUNK)), lambda at: F.array(*[shingle_at(u, at + 2 * j, last) for j in range(CHUNK)])))
-
+    """The shingles of a line, as hashes; some may repeat. (The outer lambda binds the units, or they would be made for every shingle.)"""
+    places = lambda u: F.sequence(F.lit(1), F.octet_length(u) - 2 * SHINGLE + 1, F.lit(2))
+    hashes = lambda u: F.transform(places(u), lambda at: F.xxhash64(F.substring(u, at, F.lit(2 * SHINGLE))))
     return F.get(F.transform(F.array(units(line)), hashes), F.lit(0))
 
 
@@ -133,28 +130,45 @@ def near(a, b) -> Column:
     return (100 + PERCENT) * apart <= (100 - PERCENT) * (a("n") + b("n"))
 
 
-def star_links(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links of the lines of each key with its least one."""
-    least = members.groupBy("key").agg(F.min("h").alias("a"))
-    pairs = scratch.written(members.join(least, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct(), "pairs")
+def linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines, a written table, that link."""
     named = lambda side: nodes.select(F.col("h").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "h"])
     one = named("b").join(small(pairs), "b")
     two = named("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
     close = one.join(two, "a").where(near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
-    links = scratch.written(close.where(similar(F.col("a_line"), F.col("b_line"))).select("a", "b"), "links")
-    scratch.drop(pairs)
-    return links
+    # the sets go through explode() so that each is made once, and compared by generated code
+    both = close.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("a_line")).alias("x"), shingle_set(F.col("b_line")).alias("y")))).alias("p"))
+    return both.where(100 * F.size(F.array_intersect("p.x", "p.y")) >= PERCENT * F.size(F.array_union("p.x", "p.y"))).select("a", "b")
 
 
-def block_links(members: DataFrame, nodes: DataFrame, roots: DataFrame, everyone: bool) -> DataFrame:
-    """(key, a, b): links between lines of different components that share a key, from the members (key, h, open) that are open.
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Each line of a key with the key's least one."""
+    least = members.groupBy("key").agg(F.min("h").alias("a"))
+    return members.join(least, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct()
 
-    The lines of a key are taken in blocks, a row for each pair of blocks; a pair of lines is looked at in the
-    least key that they share. An open line gives one link for each pair of blocks or, with everyone, all.
-    """
+
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, h, root, open, many): the members (key, h, open) of keys that have lines of different components, open ones among them."""
     rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("open").alias("some")).where("r <> s and some")
-    rows = rows.join(mixed.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "key")
+    return rows.join(mixed.select("key", "many"), "key").select("key", "h", "root", "open", "many")
+
+
+def few_pairs(mixed: DataFrame) -> DataFrame:
+    """The pairs of lines of different components in keys of at most FEW lines."""
+    rows = mixed.where(F.col("many") <= FEW)
+    both = rows.select("key", F.col("h").alias("a"), F.col("root").alias("r")).join(rows.select("key", F.col("h").alias("b"), F.col("root").alias("s")), "key")
+    return both.where("a < b and r <> s").select("a", "b").distinct()
+
+
+def block_links(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
+    """(key, a, b): links between lines of different components in keys of more than FEW lines, from mixed_members().
+
+    The lines of a key are taken in blocks, a row for each pair of blocks; a pair of lines is looked at in the
+    least of these keys that they share. An open line gives one link for each pair of blocks or, with everyone,
+    all.
+    """
+    rows = mixed.where(F.col("many") > FEW).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
     keys = rows.groupBy("h").agg(F.collect_list("key").alias("keys"))
     line = F.struct("h", "root", "open", "keys", *[c for c in nodes.columns if c != "h"]).alias("line")
     full = rows.join(nodes.join(keys, "h"), "h").select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line)
@@ -191,15 +205,19 @@ def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     n = ((F.octet_length(units(F.col("line"))) / 2).cast("int") - SHINGLE + 1).alias("n")
     nodes = scratch.written(lines.select("h", "line", n).join(sketches(lines), "h"), "nodes")
     scratch.drop(wanted, lines)
-    links = star_links(members, nodes, scratch)
-    rows = members.withColumn("open", F.lit(True))
-    found = scratch.written(block_links(rows, nodes, components(links), False), "found")
-    links = links.unionByName(found.select("a", "b"))
+    stars = scratch.written(star_pairs(members), "stars")
+    links = scratch.written(linked_pairs(stars, nodes), "links")
+    # keys with lines of different components: all pairs of small ones, blocks of large ones
+    mixed = scratch.written(mixed_members(members.withColumn("open", F.lit(True)), components(links)), "mixed")
+    pairs = scratch.written(few_pairs(mixed).join(stars, ["a", "b"], "left_anti"), "pairs")
+    found = scratch.written(block_links(mixed, nodes, False), "found")
+    links = links.unionByName(scratch.written(linked_pairs(pairs, nodes), "links")).unionByName(found.select("a", "b"))
     if found.limit(1).count():  # a line that gave one link may have others, to other components
-        again = found.select("key", F.col("a").alias("h")).distinct()
-        rows = members.join(found.select("key").distinct(), "key", "left_semi").join(again.withColumn("gave", F.lit(True)), ["key", "h"], "left")
-        more = block_links(rows.select("key", "h", F.coalesce("gave", F.lit(False)).alias("open")), nodes, components(links), True)
+        gave = found.select("key", F.col("a").alias("h")).distinct().withColumn("gave", F.lit(True))
+        rows = members.join(found.select("key").distinct(), "key", "left_semi").join(gave, ["key", "h"], "left").select("key", "h", F.coalesce("gave", F.lit(False)).alias("open"))
+        more = block_links(mixed_members(rows, components(links)), nodes, True)
         links = links.unionByName(scratch.written(more.select("a", "b"), "links"))
+    scratch.drop(stars, mixed, pairs)
     return links
 
 
