@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def named(name: str) -> Column:
+    """The column of that name, whatever signs it's made of."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, text: str, made: list[str], *, keep_text: bool = True) -> tuple[DataFrame, list[T.StructField], list[str]]:
+    """docs as an operator on Arrow batches takes them: columns c0, c1, ... (all but those it makes, and the text unless keep_text) and `body`, the text; the fields of the first; their own names, which no inner name can clash with."""
+    own = [f for f in docs.schema.fields if f.name not in made and (keep_text or f.name != text)]
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)]
+    rows = docs.select(*[named(f.name).alias(c.name) for f, c in zip(own, fields, strict=True)], named(text).cast("string").alias("body"))
+    return rows, fields, [f.name for f in own]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

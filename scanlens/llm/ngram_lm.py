@@ -1,10 +1,16 @@
 """Operator 3: language-model scoring from a log-frequency Bloom filter.
 
-Counts of word pairs are quantised to levels, level = 1 + floor(log2 count); a pair of level q is put into a
-Bloom filter as (pair, 1) ... (pair, q), and its count is read back by probing (pair, 1), (pair, 2), ... until
-one is missing. The probability of a word after another is an interpolation of that count with the exact
-add-one unigram probability. Filter and unigram counts are made in buckets (by hash) on the executors. Workers
-get them by broadcast, in as many slices as the size bound asks for: one as a rule, else slice after slice.
+Counts of n-grams of two words and more are quantised to levels, level = 1 + floor(log2 count); an n-gram of
+level q is put into a Bloom filter as (n-gram, 1) ... (n-gram, q), and its level is read back by probing (n-gram,
+1), (n-gram, 2), ... until one is missing. No probe is needed where the exact counts of the words, or the levels
+of the shorter n-grams, say that there can't be one. The probability of a word is an interpolation, order by
+order: the least count of the n-gram's level over the largest count of its context's level (for pairs: the exact
+count), and below that the exact add-one unigram probability. So the probabilities after a context add up to 1
+at most; what quantisation leaves of 1 is given to no word.
+
+Filter and unigram counts are made in buckets (by hash) on the executors. A model of up to BROADCAST_BYTES is
+broadcast. A larger one stays where it is: the distinct words and n-grams of each pack of texts go to the
+buckets, and the counts come back to the pack.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +30,12 @@ from .words import NOT_BLANK, spans
 
 #: The token after the last word of a text; it's also what stands before the first.
 END = np.uint64(0x2545F4914F6CDD1D)
-#: Probes for each level (a missing level is found with probability 1 - 2**-PROBES), the pairs' share of a probability.
-PROBES, PAIR_WEIGHT = 6, 0.4
-#: Bytes of text for each bucket, bytes of text that are counted together, and bytes that are broadcast at once.
-BUCKET_BYTES, PACK_BYTES, SLICE_BYTES = 8 << 20, 16 << 20, 160 << 20
+#: Words of the longest n-grams, probes for their first level (a missing n-gram is found with probability 2**-PROBES; further levels take half as many), the share of each order in a probability.
+ORDER, PROBES, WEIGHT = 2, 12, 0.4
+#: Bytes of text for each bucket, bytes of text that are counted together, bytes of a model that's broadcast, bytes of texts or model that are looked up in one place.
+BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES = 8 << 20, 16 << 20, 96 << 20, 64 << 20
 MODEL = "bucket int, buckets int, tokens long, distinct long, words binary, counts binary, bits long, filter binary"
+MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens_of(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -42,11 +50,18 @@ def tokens_of(part: pa.RecordBatch, text: str) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def pairs_of(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A hash of each token and the one before it."""
-    before = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
-    before[starts[:-1]] = END
-    return mix(before * np.uint64(0x9FB21C651E98DF25) + tokens)
+def grams_of(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """For n = 2 to order, a hash of each token and the n - 1 before it; ends stand before a text."""
+    turn = np.uint64(0x9FB21C651E98DF25)
+    out, last, pad = [], tokens, END
+    for _ in range(order - 1):
+        before = np.concatenate([[pad], last[:-1]]).astype(np.uint64)
+        before[starts[:-1]] = pad
+        out.append(mix(before * turn + tokens))
+        with np.errstate(over="ignore"):
+            pad = mix(np.array([pad * turn + END]))[0]
+        last = out[-1]
+    return out
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -58,21 +73,30 @@ def low_bits(pairs: np.ndarray) -> np.ndarray:
     return pairs & np.uint64(0xFFFFFFFFFF)
 
 
-def filter_bits(keys: int, probes: int) -> int:
-    return max(64, int(keys * probes / np.log(2)))
+def probes_of(level: int, probes: int) -> int:
+    return probes if level == 1 else max(1, probes // 2)
 
 
-def positions(pairs: np.ndarray, level: int, bits: np.ndarray | int, probes: int):
-    """The probes' places of (pair, level) in a filter, one probe after the other."""
-    h = mix(pairs + np.uint64((level * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
-    step = mix(h) | np.uint64(1)
-    for i in range(probes):
-        yield ((h + step * np.uint64(i)) >> np.uint64(8)) % np.uint64(bits) if np.isscalar(bits) else ((h + step * np.uint64(i)) >> np.uint64(8)) % bits
+def filter_bits(levels: np.ndarray, probes: int) -> int:
+    """Bits for n-grams of these levels, half of them set at the end."""
+    keys = len(levels) * probes + int((levels - 1).sum()) * probes_of(2, probes)
+    return max(64, int(keys / np.log(2)))
 
 
-def build(train: DataFrame, *, text: str = "text", probes: int = PROBES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The model of the texts of train as a written table, a row for each bucket: token counts, exact unigram counts (sorted word hashes) and the filter of its pairs. Null texts are empty; no rows give an empty table."""
-    size = train.agg(F.sum(F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)) + 1)).first()[0] or 0
+def hashed(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (n-gram, level) begin, and their step."""
+    h = mix(grams + np.uint64((level * 0xC2B2AE3D27D4EB4F) & (2**64 - 1)))
+    return h, mix(h) | np.uint64(1)
+
+
+def place(h: np.ndarray, step: np.ndarray, i: int, bits: np.ndarray | int) -> np.ndarray:
+    return (((h + step * np.uint64(i)) >> np.uint64(8)) % np.asarray(bits, np.uint64)).astype(np.int64)
+
+
+def build(train: DataFrame, *, text: str = "text", order: int = ORDER, probes: int = PROBES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The model of the texts of train as a written table, a row for each bucket: token counts, exact unigram counts (sorted word hashes) and the filter of its n-grams. Null texts are empty; no rows give an empty table."""
+    train = train.select(frames.named(text).cast("string").alias("body"))
+    size = train.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + 1)).first()[0] or 0
     buckets = int(size // bucket_bytes) + 1
 
     def count(batches):
@@ -92,9 +116,9 @@ def build(train: DataFrame, *, text: str = "text", probes: int = PROBES, bucket_
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (w.astype("<u8").tobytes(), c.tobytes(), packed, q.tobytes()))], ["bucket", "words", "counts", "pairs", "times"])
 
         found, held = [], 0
-        for part in pieces(batches, text):
-            tokens, starts = tokens_of(part, text)
-            found.append((tokens, pairs_of(tokens, starts)))
+        for part in pieces(batches, "body"):
+            tokens, starts = tokens_of(part, "body")
+            found.append((tokens, np.concatenate([END[None][:0], *grams_of(tokens, starts, order)])))
             held += part.nbytes
             if held >= PACK_BYTES:
                 yield from pack(found)
@@ -117,14 +141,15 @@ def build(train: DataFrame, *, text: str = "text", probes: int = PROBES, bucket_
             keys.append(np.frombuffer(x, "<u4", n).astype(np.uint64) | np.frombuffer(x, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
         pairs, times = total(keys, [np.frombuffer(x, "<u4") for x in rows["times"]])
         level = np.frexp(times.astype(np.float64))[1]  # 1 + floor(log2)
-        bits = filter_bits(int(level.sum()), probes)
+        bits = filter_bits(level, probes)
         on = np.zeros(bits, np.uint8)
         for j in range(1, int(level.max(initial=0)) + 1):
-            for at in positions(pairs[level >= j], j, bits, probes):
-                on[at.astype(np.int64)] = 1
+            h, step = hashed(pairs[level >= j], j)
+            for i in range(probes_of(j, probes)):
+                on[place(h, step, i, bits)] = 1
         return pd.DataFrame([{"bucket": rows["bucket"].iloc[0], "buckets": buckets, "tokens": int(counts.sum()), "distinct": len(words), "words": words.tobytes(), "counts": counts.astype("<i8").tobytes(), "bits": bits, "filter": np.packbits(on, bitorder="little").tobytes()}])
 
-    counted = train.select(F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(count, "bucket int, words binary, counts binary, pairs binary, times binary")
+    counted = train.mapInArrow(count, "bucket int, words binary, counts binary, pairs binary, times binary")
     return written(counted.groupBy("bucket").applyInPandas(merge, MODEL), "language-model")
 
 
@@ -153,111 +178,174 @@ class Slice:
         at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
         return np.where(self.words[at] == distinct, self.counts[at], 0)[inverse]
 
-    def level(self, pairs: np.ndarray) -> np.ndarray:
-        """The level of each pair: how many probes in a row are answered; 0 for those that other buckets hold."""
-        out = np.zeros(len(pairs), np.int8)
-        bucket = bucket_of(pairs, self.buckets)
-        open_ = np.flatnonzero(self.here[bucket])
-        key, bits, first = low_bits(pairs), self.bits[bucket], self.first[bucket]
+    def level(self, grams: np.ndarray, caps: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, its cap at most: how many levels in a row are found; 0 for those that other buckets hold."""
+        out = np.zeros(len(grams), np.int8)
+        bucket = bucket_of(grams, self.buckets)
+        at = np.flatnonzero(self.here[bucket] & (caps > 0))
         j = 0
-        while len(open_):
+        while len(at):
             j += 1
-            hit = open_
-            k, b, f = key[hit], bits[hit], first[hit]
-            yes = np.ones(len(hit), bool)
-            for at in positions(k, j, b, self.probes):
-                at = at.astype(np.int64)
-                yes &= (self.filter[f + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-            open_ = hit[yes]
-            out[open_] = j
+            h, step = hashed(low_bits(grams[at]), j)
+            bits, first = self.bits[bucket[at]], self.first[bucket[at]]
+            for i in range(probes_of(j, self.probes)):
+                p = place(h, step, i, bits)
+                yes = (self.filter[first + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 == 1
+                at, h, step, bits, first = at[yes], h[yes], step[yes], bits[yes], first[yes]
+            out[at] = j
+            at = at[caps[at] > j]
         return out
 
 
-def end_count(model: DataFrame, buckets: int) -> int:
-    """How often the end was counted: how many texts the model was made of."""
-    own = int(bucket_of(np.array([END]), buckets)[0])
-    return sum(int(Slice([r], buckets, 1).count(np.array([END]))[0]) for r in model.where(F.col("bucket") == own).toLocalIterator())
-
-
-def slices(model: DataFrame, slice_bytes: int) -> list[list[int]]:
-    """The model's buckets in groups of at most slice_bytes (or one bucket)."""
-    out, held = [], 0
-    for r in model.select("bucket", (F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")).alias("n")).orderBy("bucket").toLocalIterator():
-        if not out or held + r.n > slice_bytes:
-            out.append([])
-            held = 0
-        out[-1].append(r.bucket)
-        held += r.n
-    return out or [[]]
-
-
-def score(docs: DataFrame, model: DataFrame, *, text: str = "text", probes: int = PROBES, pair_weight: float = PAIR_WEIGHT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def levels_of(grams: list[np.ndarray], starts: np.ndarray, counts: np.ndarray, look) -> list[np.ndarray]:
+    """The levels of the n-grams of each order. look(k, grams, caps): what the filter says, with its caps kept or not."""
+    if not len(counts):
+        return [np.zeros(0, np.int8) for _ in grams]
+    most = lambda n: np.frexp(n.astype(np.float64))[1]  # the level of a count
+    ends = int(most(counts[starts[1:2] - 1])[0])
+    own, out = most(counts), []
+    for k, g in enumerate(grams):
+        before = np.concatenate([[0], own[:-1]])
+        before[starts[:-1]] = ends
+        caps = np.minimum(before, own)
+        own = np.minimum(look(k, g, caps), caps)
+        out.append(own)
+    return out
+
+
+def scored(part: pa.RecordBatch | pa.Table, tokens: np.ndarray, starts: np.ndarray, counts: np.ndarray, levels: list[np.ndarray], total: int, distinct: int, weight: float) -> list[pa.Array]:
+    """The columns of MADE."""
+    one = (counts + 1) / (total + distinct + 1)
+    p = one
+    if len(tokens):
+        ends = counts[starts[1] - 1]
+        largest = counts.astype(np.float64)
+        for level in levels:
+            context = np.concatenate([[0.0], largest[:-1]])
+            context[starts[:-1]] = ends
+            share = np.where(context > 0, weight, 0.0)
+            least = np.where(level > 0, np.exp2(level.astype(np.float64) - 1), 0.0)
+            p = share * np.minimum(least / np.maximum(context, 1), 1.0) + (1 - share) * p
+            largest = np.where(level > 0, np.exp2(level.astype(np.float64)) - 1, 0.0)
+    add = lambda x: np.add.reduceat(x, starts[:-1]) if len(x) else np.zeros(0)
+    known = add((counts > 0).astype(np.int64)).astype(np.int64)
+    return [pa.array(np.diff(starts)), pa.array(known), pa.array(np.full(part.num_rows, total, np.int64)), pa.array(add(np.log10(one)).astype(np.float64)), pa.array(add(np.log10(p)).astype(np.float64))]
+
+
+def score(
+    docs: DataFrame, model: DataFrame, *, text: str = "text", order: int = ORDER, probes: int = PROBES, weight: float = WEIGHT, broadcast_bytes: int = BROADCAST_BYTES, route_bytes: int = ROUTE_BYTES
+) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    model: what build() gave, with the same probes. Null texts are empty: one token, the end. An empty model
-    knows nothing: base_score is 0 and score too. A model over slice_bytes is looked up slice by slice, with
-    what was found for each token written in between, so that a worker holds one slice at most. Repeated rows
-    and other columns stay; an empty table stays empty.
+    model: what build() gave, with the same order and probes. Null and empty texts are one token, the end. An
+    empty model knows nothing: base_score is 0 and score too. Very long texts are scored as a whole. Repeated
+    rows and other columns stay (those of the names above are replaced); an empty table stays empty. A model
+    over broadcast_bytes isn't sent to the workers: texts ask for what they need, with the same results.
     """
-    spark = docs.sparkSession
-    made = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    own = [f for f in docs.schema.fields if f.name not in (*made, text)]
-    names = [f.name for f in own]
-    known = model.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.max("buckets").alias("b")).first()
+    made = T.StructType.fromDDL(MADE).fields
+    rows, fields, names = frames.carried(docs, text, [f.name for f in made], keep_text=False)
+    schema = T.StructType([*fields, *made])
+    size = F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")
+    known = model.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.max("buckets").alias("b"), F.sum(size.cast("long")).alias("size")).first()
     total, distinct, buckets = known.n or 0, known.v or 0, known.b or 1
-    groups = slices(model, slice_bytes)
-    ends = end_count(model, buckets)
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text"))
-    found = T.StructType.fromDDL("__counts array<long>, __levels array<byte>").fields
-    for k, group in enumerate(groups):
-        part = Slice(list(model.where(F.col("bucket").isin(group)).toLocalIterator()) if group else [], buckets, probes)
-        sent = spark.sparkContext.broadcast(part)
-        last = k == len(groups) - 1
-        if last:
-            schema = T.StructType([*own, *T.StructType.fromDDL("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
-        else:
-            schema = T.StructType([*own, T.StructField("__text", T.StringType()), *found])
-        rows = rows.mapInArrow(looker(sent, names, k > 0, last, (total, distinct, ends), pair_weight), schema)
-        if not last:
-            rows = written(rows, "language-model-counts")
-    return rows
-
-
-def looker(sent, names: list[str], more: bool, last: bool, sizes: tuple[int, int, int], pair_weight: float):
-    total, distinct, ends = sizes
+    finish = lambda part, tokens, starts, counts, levels: [*(part.column(f.name) for f in fields), *scored(part, tokens, starts, counts, levels, total, distinct, weight)]
+    if (known.size or 0) > broadcast_bytes:
+        out = routed(rows, model, schema, finish, order, probes, buckets, int(known.size), route_bytes)
+        return out.toDF(*names, *[f.name for f in made])
+    sent = docs.sparkSession.sparkContext.broadcast(Slice(list(model.toLocalIterator()), buckets, probes))
 
     def run(batches):
         use = sent.value
-        for part in pieces(batches, "__text"):
-            tokens, starts = tokens_of(part, "__text")
-            counts, levels = use.count(tokens), use.level(pairs_of(tokens, starts))
-            if more:
-                counts = counts + column(part, "__counts").flatten().to_numpy()
-                levels = levels + column(part, "__levels").flatten().to_numpy()
-            kept = [column(part, c) for c in names]
-            if not last:
-                edges = pa.array(starts.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*kept, column(part, "__text"), pa.ListArray.from_arrays(edges, pa.array(counts)), pa.ListArray.from_arrays(edges, pa.array(levels.astype(np.int8)))], [*names, "__text", "__counts", "__levels"])
-                continue
-            one = (counts + 1) / (total + distinct + 1)
-            before = np.concatenate([counts[:1] * 0, counts[:-1]])
-            before[starts[:-1]] = ends
-            top = np.exp2(levels.astype(np.float64))
-            seen = np.where(levels > 0, (top / 2 + top - 1) / 2, 0.0)
-            share = np.where(before > 0, pair_weight, 0.0)
-            p = share * np.minimum(seen / np.maximum(before, 1), 1.0) + (1 - share) * one
-            add = lambda x: np.add.reduceat(x, starts[:-1]) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(np.diff(starts)), pa.array(add((counts > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(part.num_rows, total, np.int64)), pa.array(add(np.log10(one)).astype(np.float64)), pa.array(add(np.log10(p)).astype(np.float64))],
-                [*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return run
+        for part in pieces(batches, "body"):
+            tokens, starts = tokens_of(part, "body")
+            counts = use.count(tokens)
+            levels = levels_of(grams_of(tokens, starts, order), starts, counts, lambda k, g, caps: use.level(g, caps))
+            yield pa.RecordBatch.from_arrays(finish(part, tokens, starts, counts, levels), schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*names, *[f.name for f in made])
+
+
+def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, order: int, probes: int, buckets: int, model_bytes: int, route_bytes: int) -> DataFrame:
+    """score() for a model that's too large to be broadcast. Packs of texts are rows; routes are groups of buckets."""
+
+    def pack(batches):
+        def row(held):
+            nonlocal n
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for x in held:
+                    out.write_batch(x)
+            n += 1
+            name = TaskContext.get().partitionId() << 32 | n
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "body"])
+
+        n, held, size = 0, [], 0
+        for part in pieces(batches, "body"):
+            held.append(part)
+            size += part.nbytes
+            if size >= PACK_BYTES:
+                yield row(held)
+                held, size = [], 0
+        if held:
+            yield row(held)
+
+    def opened(body: bytes):
+        part = pa.ipc.open_stream(body).read_all().combine_chunks()
+        tokens, starts = tokens_of(part.to_batches()[0], "body")
+        return part, tokens, starts, grams_of(tokens, starts, order)
+
+    packs = written(rows.mapInArrow(pack, "pack long, body binary"), "language-model-packs")
+    size = packs.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
+    routes = min(buckets, int(max(size, model_bytes) // route_bytes) + 1)
+
+    def ask(batches):
+        for batch in batches:
+            for name, body in zip(column(batch, "pack").to_pylist(), column(batch, "body").to_pylist(), strict=True):
+                _, tokens, _, grams = opened(body)
+                parts = []
+                for values in (np.unique(tokens), np.unique(np.concatenate(grams)) if grams else tokens[:0]):
+                    route = bucket_of(values, buckets) % routes
+                    by = np.argsort(route, kind="stable")
+                    parts.append((values[by], np.searchsorted(route[by], np.arange(routes + 1))))
+                (words, a), (grams, b) = parts
+                for r in range(routes):
+                    w, g = words[a[r] : a[r + 1]], grams[b[r] : b[r + 1]]
+                    if len(w) or len(g):
+                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], ["route", "pack", "words", "grams"])
+
+    answers = ["pack", "words", "counts", "grams", "levels"]
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        use, out = Slice(list(held.itertuples()), buckets, probes), []
+        for r in asked.itertuples():
+            w, g = np.frombuffer(r.words, np.uint64), np.frombuffer(r.grams, np.uint64)
+            out.append((r.pack, r.words, use.count(w).astype(np.int64).tobytes(), r.grams, use.level(g, np.full(len(g), 64)).tobytes()))
+        return pd.DataFrame(out, columns=answers)
+
+    def together(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, tokens, starts, grams = opened(left["body"][0].as_py())
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right[name].to_pylist()])
+
+        def found(keys, keys_kind, values, values_kind):
+            k, v = read(keys, keys_kind), read(values, values_kind)
+            order_ = np.argsort(k)
+            k, v = k[order_], v[order_]
+            return lambda x: v[np.searchsorted(k, x)]  # every one that's needed has been asked for
+
+        counts = found("words", np.uint64, "counts", np.int64)(tokens)
+        level = found("grams", np.uint64, "levels", np.int8)
+        levels = levels_of(grams, starts, counts, lambda k, g, caps: level(g))
+        return pa.Table.from_arrays(finish(part, tokens, starts, counts, levels), schema.names)
+
+    asked = packs.mapInArrow(ask, "route int, pack long, words binary, grams binary")
+    held = model.withColumn("route", F.col("bucket") % routes)
+    answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInPandas(answer, "pack long, words binary, counts binary, grams binary, levels binary")
+    return packs.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema)
 
 
 def held_out(id_col: str, n: int = 7, part: int = 2) -> Column:
     """Whether crc32 of the id as text leaves `part`; false for a null id."""
-    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % n == part, F.lit(False))
+    return F.coalesce(F.crc32(frames.named(id_col).cast("string").cast("binary")) % n == part, F.lit(False))
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
