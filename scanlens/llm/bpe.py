@@ -194,39 +194,40 @@ def encode(docs: DataFrame, *, ranks_path: str = RANKS, text: str = "text", ids:
     Null and empty texts get an empty array; other columns, repeated rows and the row order within a
     partition stay as they are. One pass without a shuffle; a task holds a piece of texts at a time.
     """
-    fields = [f for f in docs.schema.fields if f.name != ids]
-    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    names = [f.name for f in fields]
+    rows, fields, names = frames.carried(docs, text, [ids])
+    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         use = coder(ranks_path)
-        for part in pieces(batches, text):
-            got, counts = use.encode(column(part, text).fill_null("").to_pylist())
+        for part in pieces(batches, "body"):
+            got, counts = use.encode(column(part, "body").fill_null("").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(got.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), lists], [*names, ids])
+            yield pa.RecordBatch.from_arrays([*(column(part, f.name) for f in fields), lists], schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, ids)
 
 
 def decode(encoded: DataFrame, *, ranks_path: str = RANKS, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """encoded with a binary column of the bytes that its ids stand for; a null list gives null. Ids outside the vocabulary are an error."""
-    fields = [f for f in encoded.schema.fields if f.name != text]
-    names = [f.name for f in fields]
-    schema = T.StructType([*fields, T.StructField(text, T.BinaryType())])
+    own = [f for f in encoded.schema.fields if f.name != text]
+    names = [f.name for f in own]
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)]
+    at_ids = names.index(ids)
+    schema = T.StructType([*fields, T.StructField("text", T.BinaryType())])
 
     def run(batches):
         use = coder(ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = column(part, ids)
+                lists = part.column(at_ids)
                 counts = np.array([0 if n is None else n for n in lists.value_lengths().to_pylist()], np.int64)
                 data, lengths = use.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
                 ends = np.cumsum(lengths)
                 out = [None if null else data[e - n : e] for null, e, n in zip(lists.is_null().to_pylist(), ends.tolist(), lengths.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(column(part, c) for c in names), pa.array(out, pa.binary())], [*names, text])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], schema.names)
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.select(*[frames.named(n).alias(f.name) for n, f in zip(names, fields, strict=True)]).mapInArrow(run, schema).toDF(*names, text)
 
 
 def round_trip(docs: DataFrame, *, ranks_path: str = RANKS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,23 +240,24 @@ def round_trip(docs: DataFrame, *, ranks_path: str = RANKS, id_col: str = "doc_i
 
     def run(batches):
         use = coder(ranks_path)
-        for part in pieces(batches, text):
-            ids, counts = use.encode(column(part, text).fill_null("").to_pylist())
+        for part in pieces(batches, "body"):
+            ids, counts = use.encode(column(part, "body").fill_null("").to_pylist())
             data, lengths = use.decode(ids, counts)
             raw = ids.astype("<u4").tobytes()
             a, b = np.cumsum(counts), np.cumsum(lengths)
             sha = lambda x: hashlib.sha256(x).hexdigest()
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(part, id_col),
+                    column(part, "id"),
                     pa.array(counts),
                     pa.array([sha(raw[4 * (e - n) : 4 * e]) for e, n in zip(a.tolist(), counts.tolist(), strict=True)]),
                     pa.array([sha(data[e - n : e]) for e, n in zip(b.tolist(), lengths.tolist(), strict=True)]),
                 ],
-                [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col(id_col), F.col(text)).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(frames.named(id_col).alias("id"), frames.named(text).cast("string").alias("body"))
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

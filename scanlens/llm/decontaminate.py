@@ -24,6 +24,8 @@ from .words import ALNUM, spans
 WINDOW = 10
 #: Bytes of item texts that are sent to all workers at once; more items are taken in blocks of this size.
 ITEM_BYTES = 32 << 20
+#: Bytes of text in a shard, whose suffix array all item suffixes are looked up in; a longer single text is a shard of its own.
+SHARD_BYTES = 8 << 20
 SPAN = "array<struct<item:string,item_word:int,doc_word:int,length:int>>"
 
 
@@ -130,31 +132,29 @@ def contamination(
     columns and repeated rows stay; an empty table on either side is fine.
     """
     made = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    rows = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item_id"), F.col(f"`{item_text}`").alias("text"))
-    own = [f for f in docs.schema.fields if f.name not in made]
-    names = [f.name for f in own]
+    rows = items.select(F.coalesce(frames.named(item_id).cast("string"), F.lit("")).alias("item_id"), frames.named(item_text).cast("string").alias("text"))
+    out, fields, names = frames.carried(docs, text, made)
     parts = blocks(rows, item_bytes)
-    out = docs.select(*[F.col(f"`{c}`") for c in names])
     for k, part in enumerate(parts):
         got = part.collect()  # item_bytes bounds it
         last, more = k == len(parts) - 1, k > 0
         keep = with_spans or not last
         schema = T.StructType(
-            [*own, *T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields, *([T.StructField("spans", T._parse_datatype_string(SPAN))] if keep else [])]
+            [*fields, *([] if last else [T.StructField("body", T.StringType())]), *T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean").fields, *([T.StructField("spans", T._parse_datatype_string(SPAN))] if keep else [])]
         )
         sent = docs.sparkSession.sparkContext.broadcast(([r.item_id for r in got], [r.text for r in got]))
-        out = out.mapInArrow(searcher(sent, names, text, window, keep, more), schema)
+        out = out.mapInArrow(searcher(sent, [f.name for f in fields] + ["body"] * (not last), window, keep, more), schema)
         if not last:
             out = frames.written(out, "contamination")
-    return out
+    return out.toDF(*names, *schema.names[len(fields) :])
 
 
-def searcher(sent, names: list[str], text: str, window: int, keep: bool, more: bool):
+def searcher(sent, names: list[str], window: int, keep: bool, more: bool):
     def run(batches):
         ids, texts = sent.value
         items = Items(ids, texts, window)
-        for part in pieces(batches, text):
-            data, offsets = text_bytes(column(part, text))
+        for part in pieces(batches, "body", SHARD_BYTES):
+            data, offsets = text_bytes(column(part, "body"))
             _, _, hashes, firsts = spans(data, offsets, ALNUM)
             docs, counts = part.num_rows, np.diff(firsts)
             starts = firsts[:-1] + np.arange(docs)
@@ -200,7 +200,7 @@ def searcher(sent, names: list[str], text: str, window: int, keep: bool, more: b
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents in which an item's window occurs; the columns stay as they are."""
     marked = contamination(docs, items, with_spans=False, **options)
-    return marked.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.where(~F.col("contaminated")).select(*[frames.named(c) for c in docs.columns])
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

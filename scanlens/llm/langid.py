@@ -21,10 +21,8 @@ from . import frames
 from .frames import column, pieces
 from .pretoken import LETTER, classes, mix, run_hashes
 
-#: Labelled rows that a model is fitted on at most (about; picked by a hash of the id), and the largest of them in bytes.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 1 << 16
-#: Words of the sample that are used for training at most, and words that a worker remembers.
-TRAIN_WORDS, MEMO_WORDS = 150_000, 500_000
+#: Labelled rows of each language that a model is fitted on (about; picked by a hash of id and text, whole texts), and words that a worker remembers.
+SAMPLE_ROWS, MEMO_WORDS = 80, 500_000
 FEATURES = 1 << 17
 UNKNOWN = "und"
 
@@ -152,7 +150,6 @@ def train(texts: list[str], languages: list[str], *, rounds: int = 40, rate: flo
     cuts = np.flatnonzero((rng.random(len(word)) < 1 / 8) | (np.append(True, doc[1:] != doc[:-1])))
     stretch = np.diff(np.append(cuts, len(word)))
     order = rng.permutation(len(cuts))
-    order = order[: max(1, int(np.searchsorted(np.cumsum(stretch[order]), TRAIN_WORDS)))]
     tokens = frames.ragged(cuts[order], stretch[order])
     word, y = word[tokens], y[tokens]
     used, word = np.unique(word, return_inverse=True)
@@ -236,13 +233,25 @@ def labeller(sent) -> Labeller:
     return _LABELLERS[name]
 
 
-def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Fit a model to about sample_rows of the rows for which `labelled` holds and text and lang aren't null; which ones, a hash of id and text says. Texts over sample_bytes aren't in the sample. Without any such row the model has no labels."""
-    rows = docs.where(labelled & F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & (F.octet_length(f"`{text}`") <= sample_bytes))
-    n = rows.select(F.lit(1)).count()
-    part = min(1.0, sample_rows / max(n, 1))
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(part * 1_000_000))
-    got = drawn.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).limit(4 * sample_rows).collect()
+def threshold(count: int, wanted: int) -> int:
+    """The signed 64-bit hash up to which (itself included) rows are in a sample of about `wanted` of `count` rows."""
+    return (1 << 63) - 1 if wanted >= count else -(1 << 63) + wanted * (1 << 64) // count
+
+
+def fit(docs: DataFrame, labelled: Column, *, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fit a model to about sample_rows rows of each language, of those for which `labelled` holds and text and lang aren't null.
+
+    Which rows, a hash of id and text says, so that neither partitions nor the order of rows matter; equal texts
+    of a language count once. Rows for each language that the labels have, with whole texts, are what comes to
+    the driver. Without any such row the model has no labels.
+    """
+    rows = docs.where(labelled).select(frames.named(id_col).cast("string").alias("id"), frames.named(text).cast("string").alias("text"), frames.named(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return train([], [])
+    edges = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, threshold(r.n, sample_rows))])
+    drawn = rows.where(F.xxhash64(F.lit("sample"), "id", "text") <= F.element_at(edges, F.col("lang")))
+    got = drawn.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("n")).select("text", "lang").collect()
     got.sort(key=lambda r: (r.text, r.lang))
     return train([r.text for r in got], [r.lang for r in got])
 
@@ -254,24 +263,22 @@ def detect(docs: DataFrame, model: Model, *, text: str = "text", with_words: boo
     by name), score that mean. Null texts, texts without a letter, and models without labels give 'und' and 0.
     Other columns, repeated rows and extra columns stay; an empty table stays empty. No shuffle.
     """
-    made = ["lang_pred", "score", "words"]
-    own = [f for f in docs.schema.fields if f.name not in made]
-    names = [f.name for f in own]
-    schema = T.StructType([*own, *T.StructType.fromDDL("lang_pred string, score double" + ", words array<struct<word:string,lang:string,p:double>>" * with_words).fields])
+    rows, fields, names = frames.carried(docs, text, ["lang_pred", "score", "words"])
+    schema = T.StructType([*fields, *T.StructType.fromDDL("lang_pred string, score double" + ", words array<struct<word:string,lang:string,p:double>>" * with_words).fields])
     name = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
     sent = docs.sparkSession.sparkContext.broadcast((model, name))
 
     def run(batches):
         use = labeller(sent)
         labels = use.model.labels
-        for part in pieces(batches, text):
-            texts = column(part, text).fill_null("").to_pylist()
+        for part in pieces(batches, "body"):
+            texts = column(part, "body").fill_null("").to_pylist()
             posterior, doc, starts, lengths = use.label(texts)
             n = np.bincount(doc, minlength=len(texts))
             mass = np.stack([np.bincount(doc, posterior[:, j], len(texts)) for j in range(len(labels))], axis=1) if labels else np.zeros((len(texts), 1))
             best = mass.argmax(axis=1)
             score = np.clip(mass[np.arange(len(texts)), best] / np.maximum(n, 1), 0.0, 1.0)
-            cols = [*(column(part, c) for c in names), pa.array([labels[b] if w else UNKNOWN for b, w in zip(best.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(score)]
+            cols = [*(column(part, f.name) for f in fields), pa.array([labels[b] if w else UNKNOWN for b, w in zip(best.tolist(), n.tolist(), strict=True)], pa.string()), pa.array(score)]
             if with_words:
                 joined, at, out = "\n".join(texts), 0, []
                 top = posterior.argmax(axis=1) if len(posterior) else np.empty(0, np.int64)
@@ -279,14 +286,14 @@ def detect(docs: DataFrame, model: Model, *, text: str = "text", with_words: boo
                     out.append([{"word": joined[starts[i] : starts[i] + lengths[i]], "lang": labels[top[i]], "p": float(posterior[i, top[i]])} for i in range(at, at + w)])
                     at += w
                 cols.append(pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", *["words"] * with_words])
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, *schema.names[len(fields) :])
 
 
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, mod n."""
-    return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % n
+    return F.crc32(frames.named(id_col).cast("string").cast("binary")) % n
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

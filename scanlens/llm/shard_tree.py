@@ -9,6 +9,7 @@ rack and shard) changes no other weight, so rows move into it only.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-#: Rows of a shard that get their slots in one group (about).
-GROUP_ROWS = 200_000
+#: Rows of a shard that get their slots in one group (about), equal rows that are dealt out together.
+GROUP_ROWS, SPAN = 200_000, 100_000
 HEX = 13  # hex digits of a draw's hash: 52 bits, exact as a double
+TREE = "array<struct<path:string,weight:double,racks:array<struct<path:string,weight:double,shards:array<struct<path:string,weight:double,shard:int>>>>>>"
 
 
 @dataclass(frozen=True)
@@ -49,70 +51,68 @@ def check(tree: list[Shard]) -> None:
         raise ValueError("weights are positive and finite")
 
 
-def draw(key: Column, path: str, weight: float) -> Column:
+def literal(tree: list[Shard]) -> Column:
+    """The tree as one constant: regions of racks of shards, each with its path and weight. It's as large as the tree, but the plan isn't."""
+    levels: dict[str, dict[str, list[Shard]]] = {}
+    for s in sorted(tree, key=lambda s: (s.region, s.rack, s.shard)):
+        levels.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
+    weigh = lambda shards: sum(s.weight for s in shards)
+    nodes = []
+    for region, racks in levels.items():
+        inner = [{"path": f"{region}/{rack}", "weight": float(weigh(own)), "shards": [{"path": f"{region}/{rack}/{s.shard}", "weight": float(s.weight), "shard": s.shard} for s in own]} for rack, own in racks.items()]
+        nodes.append({"path": region, "weight": float(sum(map(weigh, racks.values()))), "racks": inner})
+    return F.from_json(F.lit(json.dumps(nodes)), TREE)
+
+
+def draw(key: Column, child: Column) -> Column:
     """ln(u) / weight, u from the MD5 of key and path."""
-    number = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"/{path}")).cast("binary")), 1, HEX), 16, 10).cast("double")
-    return F.ln((number + 0.5) / F.lit(float(16**HEX))) / F.lit(float(weight))
+    number = F.conv(F.substring(F.md5(F.concat(key, F.lit("/"), child["path"]).cast("binary")), 1, HEX), 16, 10).cast("double")
+    return F.ln((number + 0.5) / F.lit(float(16**HEX))) / child["weight"]
 
 
-def best(key: Column, children: dict[str, tuple[str, float]]) -> Column:
-    """The child (by its place in order) with the largest draw; equal draws go to the later one. children: name to (path, weight)."""
-    draws = [F.struct(draw(key, path, w).alias("draw"), F.lit(i).alias("child")) for i, (path, w) in enumerate(children.values())]
-    return F.array_max(F.array(*draws))["child"] if len(draws) > 1 else F.lit(0)
+def best(key: Column, children: Column) -> Column:
+    """The child with the largest draw; equal draws go to the later one."""
+    return F.array_max(F.transform(children, lambda child, i: F.struct(draw(key, child).alias("draw"), i.alias("place"), child.alias("child"))))["child"]
 
 
 def descend(key: Column, tree: list[Shard]) -> Column:
-    """The shard of a key (a string Column): the region's draw, then the rack's in it, then the shard's."""
+    """The shard of a key (a string Column): the region's draw, then the rack's in it, then the shard's. Draws are made for the children of the chosen nodes only."""
     check(tree)
-    levels: dict[str, dict[str, list[Shard]]] = {}
-    for s in sorted(tree, key=lambda s: (s.region, s.rack, s.shard)):
-        levels.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
-    weigh = lambda shards: sum(s.weight for s in shards)
-
-    def pick(number: Column, results: list[Column]) -> Column:
-        out = results[-1]
-        for i in range(len(results) - 2, -1, -1):
-            out = F.when(number == i, results[i]).otherwise(out)
-        return out
-
-    in_region = []
-    for region, racks in levels.items():
-        in_rack = []
-        for rack, shards in racks.items():
-            numbers = F.array(*[F.lit(s.shard) for s in shards])
-            in_rack.append(F.element_at(numbers, best(key, {str(s.shard): (f"{region}/{rack}/{s.shard}", s.weight) for s in shards}) + 1))
-        in_region.append(pick(best(key, {rack: (f"{region}/{rack}", weigh(shards)) for rack, shards in racks.items()}), in_rack))
-    return pick(best(key, {r: (r, sum(map(weigh, racks.values()))) for r, racks in levels.items()}), in_region)
+    return best(key, best(key, best(key, literal(tree))["racks"])["shards"])["shard"]
 
 
 def place(docs: DataFrame, tree: list[Shard], *, grown: list[Shard] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the id, size, text_crc32, law, shard, slot and grown_shard (its shard in the tree `grown`).
 
-    The id and the tree alone decide the shard. slot counts a shard's rows from 0 without gaps, by the MD5 of
-    the id; it's the row's number in its group (a prefix of the MD5) and the sizes of the groups before, so no
-    shard is sorted in one task. Null ids are one key; null texts have size 16 and the checksum of nothing;
-    repeated rows follow each other; other columns aren't kept; an empty table gives an empty one.
+    The id and the tree alone decide the shard. slot counts a shard's rows from 0 without gaps, in an order that
+    hashes of id and text give; it's the row's number in its group (a prefix of the hash) and the sizes of the
+    groups before, so no shard is sorted in one task, and no id's rows are. Rows that agree in all of this are
+    counted before they're shuffled and follow each other. Ties of hashes go by id, checksum and size. Null ids
+    are one key; null texts have size 16 and the checksum of nothing; texts may be of any length; other columns
+    aren't kept; an empty table gives an empty one.
     """
     check(tree)
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     groups = max(1, docs.count() // (len(tree) * GROUP_ROWS))
     digits = max(1, math.ceil(math.log(groups, 16) - 1e-9)) if groups > 1 else 1
-    body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
-    rows = docs.select(
-        F.col(f"`{id_col}`"),
-        (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        descend(key, tree).alias("shard"),
-        (descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.md5(key.cast("binary")).alias("order"),
-    ).withColumn("group", F.substring("order", 1, digits))
-    sizes = rows.groupBy("shard", "group").agg(F.count(F.lit(1)).alias("n"))
+    body = F.coalesce(frames.named(text), F.lit("")).cast("binary")
+    rows = docs.select(frames.named(id_col).alias("id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
+    rows = rows.groupBy("id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    key = F.coalesce(F.col("id").cast("string"), F.lit("null"))
+    order = F.md5(F.concat_ws("/", key, "text_crc32", "size").cast("binary"))
+    rows = rows.select("*", descend(key, tree).alias("shard"), (descend(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"), order.alias("order"))
+    rows = frames.written(rows.withColumn("group", F.substring("order", 1, digits)), "placed")
+    sizes = rows.groupBy("shard", "group").agg(F.sum("n").alias("rows"))
     before = Window.partitionBy("shard").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("shard", "group", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("shard", "group").orderBy("order", F.col(f"`{id_col}`"), "text_crc32", "size")
-    out = rows.join(sizes, ["shard", "group"]).withColumn("slot", F.col("before") + F.row_number().over(within) - 1)
-    return out.select(F.col(f"`{id_col}`"), "size", "text_crc32", "law", "shard", F.col("slot").cast("long"), "grown_shard")
+    sizes = sizes.select("shard", "group", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("shard", "group").orderBy("order", "id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("before") + F.coalesce(F.sum("n").over(within), F.lit(0))
+    out = rows.join(sizes, ["shard", "group"]).withColumn("first", first)
+    # equal rows come apart again; very many of them in spans that are dealt out
+    spans = out.where(F.col("n") > SPAN).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SPAN).cast("long")))).repartition("id", "at")
+    spans = spans.withColumn("first", F.col("first") + F.col("at")).withColumn("n", F.least(F.col("n") - F.col("at"), F.lit(SPAN))).drop("at")
+    out = out.where(F.col("n") <= SPAN).unionByName(spans) if rows.where(F.col("n") > SPAN).limit(1).count() else out
+    out = out.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)))
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
 def op1_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def count_tokens(docs: DataFrame, cache_path: str, *, tokenizer_path: str = TOKE
     append the same digests at once leave equal entries, which are read as one.
     """
     spark, version = docs.sparkSession, file_digest(tokenizer_path)
-    body = whole(F.col(f"`{text}`"))
+    body = whole(frames.named(text))
     texts = docs.select(F.sha2(body.cast("binary"), 256).alias("content"), body.alias("body"))
     misses = texts.groupBy("content").agg(F.first("body").alias("body"))
     known = read_cache(spark, cache_path)
@@ -64,10 +64,10 @@ def count_tokens(docs: DataFrame, cache_path: str, *, tokenizer_path: str = TOKE
     if known is not None:
         stored = stored.dropDuplicates(["content"])
     own = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    digest = "__content"
-    narrow = docs.select(*[F.col(f"`{c}`") for c in own], F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias(digest))
-    stored = stored.select(F.col("content").alias(digest), "n_tokens")
-    return narrow.join(stored, digest, "left").select(*[F.col(f"`{c}`") for c in own], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # the documents' columns are in one struct, so that no name of theirs can clash with ours
+    narrow = docs.select(F.struct(*[frames.named(c) for c in own]).alias("doc"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("content"))
+    out = narrow.join(stored.select("content", "n_tokens"), "content", "left")
+    return out.select(*[F.col("doc")[c].alias(c) for c in own], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 2 << 20
+#: Keys of a segment are less than this apart, so that what is encoded of them fits a signed long.
+REACH = 1 << 62
 SEGMENT = "stripe int, seq int, n_docs long, n_ids long, width int, ids binary, ends binary, n_null long, base long, keys binary"
 
 
@@ -36,7 +38,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "te
     ids at a time, however the keys are spread. Null and empty texts have the end id alone; null keys come
     first; repeated rows are kept; other columns are not looked at; no rows make a dataset without segments.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
+    rows = docs.select(frames.named(id_col).cast("long").alias("key"), frames.named(text).cast("string").alias("text"))
 
     def run(batches):
         use = encoder(tokenizer_path)
@@ -54,7 +56,12 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "te
                 schema=pa.schema([("stripe", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("ends", pa.binary()), ("n_null", pa.int64()), ("base", pa.int64()), ("keys", pa.binary())]),
             )
 
-        for part in pieces(batches, "text"):
+        for part in (x for piece in pieces(batches, "text") for x in within_reach(piece)):
+            own = column(part, "key").drop_null()
+            if len(own) and any(map(len, keys)) and own[-1].as_py() - int(next(k for k in keys if len(k))[0]) >= REACH:
+                yield close()
+                seq += 1
+                keys, nulls, ids, counts, held = [], 0, [], [], 0
             got, n = use.encode(column(part, "text").fill_null("").to_pylist())
             if end_id is not None:
                 got, n = np.insert(got, np.cumsum(n), end_id), n + 1
@@ -71,7 +78,23 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text: str = "te
         if counts:
             yield close()
 
-    rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text").mapInArrow(run, SEGMENT).write.parquet(path)
+    by = F.col("key").asc_nulls_first()
+    # the beginning of a text spreads the rows of one key, in the order of whole texts
+    dealt = rows.repartitionByRange(by, F.substring("text", 1, 64)).sortWithinPartitions(by, "text")
+    frames.write(dealt.mapInArrow(run, SEGMENT), path)
+
+
+def within_reach(part: pa.RecordBatch):
+    """Rows, sorted by key, in slices whose keys are less than REACH apart."""
+    keys, at = column(part, "key"), 0
+    nulls = keys.null_count  # null keys come first
+    while at < part.num_rows:
+        first = max(at, nulls)
+        to = part.num_rows
+        if first < to and keys[to - 1].as_py() - keys[first].as_py() >= REACH:
+            to = first + int(np.searchsorted(keys[first:].to_numpy(), keys[first].as_py() + REACH - 1, "right")) if keys[first].as_py() < (1 << 63) - REACH else to
+        yield part.slice(at, to - at)
+        at = to
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -83,7 +106,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     within = Window.partitionBy("stripe").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     heads = segs.select("stripe", "seq", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("within"))
     firsts = heads.join(stripes, "stripe").select("stripe", "seq", (F.col("stripe_first") + F.col("within")).alias("first"))
-    return segs.join(firsts, ["stripe", "seq"])
+    return segs.join(frames.small(firsts), ["stripe", "seq"])  # a row for each segment of about SEGMENT_IDS ids
 
 
 class Segment:
@@ -125,6 +148,28 @@ def read(spark: SparkSession, path: str, *, id_col: str = "doc_id", with_ids: bo
     return segments(spark, path).select("width", "n_docs", "ids", "ends", "n_null", "base", "keys", "first").mapInArrow(run, kinds)
 
 
+def lookup(spark: SparkSession, path: str, wanted: list[int], *, id_col: str = "doc_id") -> DataFrame:
+    """(id, start, ids) of the documents of some ids (a list as long as a message to all workers may be), by select: a binary search among a segment's keys and one look at its boundaries, with nothing else decoded."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                segment, found = Segment(row), []
+                for key in wanted:
+                    low, high = segment.n_null, segment.n_docs
+                    while low < high:
+                        middle = (low + high) // 2
+                        low, high = (middle + 1, high) if segment.key(middle) < key else (low, middle)
+                    while low < segment.n_docs and segment.key(low) == key:
+                        found.append((key, row["first"] + (segment.ends.select(low - 1) if low else 0), segment.document(low).tolist()))
+                        low += 1
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["id", "start", "ids"])
+
+    rows = segments(spark, path).where(F.col("n_docs") > F.col("n_null")).where(F.col("base") <= max(wanted, default=0))
+    return rows.select("width", "n_docs", "ids", "ends", "n_null", "base", "keys", "first").mapInArrow(run, "id long, start long, ids array<long>").withColumnRenamed("id", id_col)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as binary segments and read back where each document lies and what its ids are."""
     path = frames.new_folder(spark, "token-files")

@@ -76,6 +76,8 @@ def select_block(candidates: DataFrame, queries: DataFrame, k: int, largest: int
     ids, block = np.array([r.id for r in got], np.int64), np.zeros((len(got), dim), np.int64)
     for i, r in enumerate(got):
         block[i, : len(r.v)] = r.v
+    if dim * largest * int(np.abs(block.astype(object)).max()) >= 1 << 62:
+        raise ValueError("inner products of these vectors don't fit 64-bit integers")
     reach = dim * largest * np.abs(block).max(axis=1) + 1  # no score of the query is larger in size
     low, high, width = -reach, reach + 1, -(-(2 * reach + 1) // bins)
     wanted, over = np.full(len(ids), k), np.zeros(len(ids), np.int64)  # of the bins at hand; rows at or over `low`

@@ -65,3 +65,40 @@ def test_odd_rows(spark, model):
     assert langid.detect(df.limit(0), model).count() == 0
     empty = langid.fit(df.limit(0).withColumn("lang", F.lit("en")), F.lit(True))
     assert {r.lang_pred for r in langid.detect(df, empty).collect()} == {"und"}
+
+
+def test_sample_of_very_many_rows():
+    """About as many rows as are wanted, from 10 billion rows as from ten."""
+    n, wanted = 10**10, 80
+    share = (langid.threshold(n, wanted) + (1 << 63)) / (1 << 64)
+    assert abs(share * n - wanted) < 1e-3 and langid.threshold(10, wanted) == langid.threshold(80, wanted) == (1 << 63) - 1
+    assert langid.threshold(10**18, wanted) > -(1 << 63)
+
+
+def test_sample_is_whole_and_takes_rare_languages(spark):
+    rows = [(i, "the and of that " * 20_000 if i == 0 else f"the and of that {i}", "en") for i in range(3000)] + [(9000 + i, f"les des et que {i}", "fr") for i in range(3)] + [(None, "the same", "en")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    a, b = langid.fit(df, F.lit(True)), langid.fit(df.coalesce(1), F.lit(True))
+    assert a.labels == b.labels == ["en", "fr"] and (a.weights == b.weights).all()
+
+
+def test_detect_against_enumeration(spark, model):
+    """lang_pred and score of short texts by all labellings of their words."""
+    texts = ["the cat", "les des und", "word of the day", "und die", "a", "que es la casa", "12 34", "the les der que"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.detect(df, model).collect()}
+    k = len(model.labels)
+    for i, t in enumerate(texts):
+        letters, lengths, doc, _, _ = langid.words_of([t])
+        if not len(lengths):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        emit = np.exp(model.scores(letters, np.cumsum(lengths) - lengths, lengths))
+        moves, n = np.exp(model.moves), len(lengths)
+        mass = np.zeros((n, k))
+        for path in itertools.product(range(k), repeat=n):
+            w = np.prod([emit[j, x] for j, x in enumerate(path)]) * np.prod([moves[x, y] for x, y in itertools.pairwise(path)])
+            for j, x in enumerate(path):
+                mass[j, x] += w
+        mean = (mass / mass.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert got[i].lang_pred == model.labels[mean.argmax()] and got[i].score == pytest.approx(mean.max(), rel=1e-6)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scanlens.llm import frames, langid
+from scanlens.llm import frames, langid, line_dedup
 
 from .test_decontaminate import brute as brute_windows
 from .test_near_duplicates import brute_components, brute_lines
@@ -29,7 +29,7 @@ def test_pipeline(spark):
             seen[name] = sorted((r.doc_id, r.text) for r in docs.collect())
     kept = dict(seen["language"])
     assert all(kept[i] == t for i, t in now if i in kept) and len(kept) >= 0.95 * len(now)
-    want = sorted((i, t) for i, t, n, k in brute_lines(seen["language"]) if n == k or t.strip(" "))
+    want = sorted((i, t) for i, t, n, k in brute_lines(seen["language"]) if n == k or t.strip(line_dedup.BLANK + "\n"))
     assert sum(a != b for a, b in zip(seen["lines"], want, strict=True)) <= 1
     want = [(i, t) for (i, t), c in zip(seen["lines"], sorted(brute_components(seen["lines"]), key=lambda r: r[0]), strict=True) if c[0] == c[2]]
     assert seen["near_duplicates"] == want
@@ -59,9 +59,17 @@ def test_odd_documents(spark):
 
 
 def test_language_rejects_mixed_text(spark):
-    docs = frames.table(spark, SF, "documents")
-    model = langid.fit(docs, F.lit(True))
-    assert model.labels == sorted({r.lang for r in docs.collect()})
+    """A text with stretches of several languages goes, its parts alone stay; columns with clashing names stay as they are."""
+    docs = frames.table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.lang: r.text.split()[:60] for r in docs.where("n_chars > 600").collect()}
+    some = sorted(texts)[:4]
+    mixed = " ".join(" ".join(texts[x][at : at + 15]) for at in range(0, 60, 15) for x in some)
+    rows = [(10**6, mixed, "en", "s", 1)] + [(10**6 + 1 + i, " ".join(texts[x]), x, "s", 1) for i, x in enumerate(some)]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumn("score", F.lit("own")).withColumn("a.b", F.lit(7))
+    got = corpus_pipeline.language(spark, more, SF)
+    assert got.columns == more.columns
+    kept = {r.doc_id: (r.score, r["a.b"]) for r in got.where("doc_id >= 1000000").collect()}
+    assert set(kept) == {10**6 + 1 + i for i in range(len(some))} and set(kept.values()) == {("own", 7)}
 
 
 @pytest.fixture(scope="module", autouse=True)

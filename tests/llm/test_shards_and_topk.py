@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -64,6 +65,33 @@ def test_op1_odd_rows_and_weights(spark):
         shard_tree.place(df, [])
 
 
+def test_op1_large_tree(spark):
+    """2048 shards: the plan is as small as for a few. An inner weight moves rows within its region and rack only."""
+    tree = shard_tree.even_tree(8, 16, 16)
+    heavier = [shard_tree.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 700 else 1.0) for s in tree]
+    df = frames.table(spark, SF, "documents")
+    began = time.perf_counter()
+    got = shard_tree.place(df, tree, grown=heavier).collect()
+    assert time.perf_counter() - began < 30
+    check_placed(got, tree, heavier)
+    where = {s.shard: (s.region, s.rack) for s in tree}
+    changed = where[700]
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in shard_tree.place(many, tree, grown=heavier).where("shard <> grown_shard").collect():
+        # a heavier shard makes its rack and region heavier: rows come into the region, its rack, or the shard, and no other rows move
+        assert where[r.grown_shard] == changed or (where[r.grown_shard][0] == changed[0] != where[r.shard][0])
+
+
+def test_op1_many_equal_rows(spark, monkeypatch):
+    """One id or no id for most rows: they come apart in spans, slots stay without gaps."""
+    monkeypatch.setattr(shard_tree, "SPAN", 7)
+    rows = [(None, "a")] * 100 + [(5, "b")] * 50 + [(None, f"text {i}") for i in range(60)] + [(i, "c") for i in range(40)]
+    tree = shard_tree.even_tree(1, 2, 2)
+    got = shard_tree.place(spark.createDataFrame(rows, "`doc.id` long, text string"), tree, id_col="doc.id")
+    assert got.columns[0] == "doc.id" and got.count() == len(rows)
+    check_placed(got.collect(), tree, None, "doc.id")
+
+
 def test_op1_slots_in_many_groups(spark, monkeypatch):
     monkeypatch.setattr(shard_tree, "GROUP_ROWS", 3)
     tree = shard_tree.even_tree(1, 1, 2)

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scanlens.llm import bpe, elias_fano, frames, library, token_counts, token_files
+from scanlens.llm import bpe, decontaminate, elias_fano, frames, langid, library, line_dedup, token_counts, token_files
 
 SF = "/root/testdata/sf0.001"
 ODD = ["", None, "a", "it's 'tis we're they'll I'd x'sabc ''s 's", "  two  spaces\n\n x", " \n", "\n a\tb", "x" * 300, "日本語 テスト 123abc ½ é", "a'", "'re'r", "  ", " x 　y", "🙂🙂 !! ?", "ab" * 3000, "'ll", "x<|endoftext|>y", "a\x1cb \x85c", "same", "same", "long " * 5000]
@@ -129,6 +129,34 @@ def test_op7(spark, docs, segment_ids):
         assert [segment.key(i) for i in range(segment.n_docs)] == sorted((segment.key(i) for i in range(segment.n_docs)), key=lambda k: (k is not None, k or 0))
 
 
+def test_op7_lookup_and_extreme_ids(spark):
+    keys = [-(1 << 63), -(1 << 63), -5, 0, 3, 3, (1 << 62) + 1, (1 << 63) - 1, None]
+    rows = [(k, f"text {i}") for i, k in enumerate(keys)]
+    path = frames.new_folder(spark, "files")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path)
+    got = token_files.read(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    want = {(r.doc_id, r.start, tuple(r.ids)) for r in got}
+    some = token_files.lookup(spark, path, [3, -(1 << 63), (1 << 63) - 1, 4]).collect()
+    assert {(r.doc_id, r.start, tuple(r.ids)) for r in some} == {w for w in want if w[0] in (3, -(1 << 63), (1 << 63) - 1)} and len(some) == 5
+
+
+def test_names_that_clash(spark):
+    """Columns with dots, and with names that operators use themselves."""
+    df = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], "doc_id long, text string, `a.b` int, body int, c0 int, content int")
+    assert bpe.encode(df).columns == [*df.columns, "ids"] and [len(r.ids) for r in bpe.encode(df).orderBy("doc_id").collect()] == [3, 0]
+    assert [r["a.b"] for r in bpe.decode(bpe.encode(df)).collect()] == [1, 1]
+    out = token_counts.count_tokens(df, frames.new_folder(spark, "cache"))
+    assert out.columns == ["doc_id", "a.b", "body", "c0", "content", "n_bytes", "n_tokens", "over_limit"] and out.count() == 2
+    items = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    marked = decontaminate.contamination(df, items, item_bytes=1)
+    assert marked.columns[:6] == df.columns and sorted((r.doc_id, r.n_hit, r["a.b"]) for r in marked.collect()) == [(1, 3, 1), (2, 0, 1)]
+    assert decontaminate.decontaminate(df, items).columns == df.columns
+    model = langid.fit(df.withColumn("lang", F.lit("x")), F.lit(True))
+    assert langid.detect(df, model).columns == [*df.columns, "lang_pred", "score"] and langid.detect(df, model).count() == 2
+    assert line_dedup.dedup_lines(df).columns == [*df.columns, "n_lines", "n_kept"] and line_dedup.dedup_lines(df).count() == 2
+
+
 def test_op7_of_nothing(spark, docs):
     path = frames.new_folder(spark, "files")
     token_files.write(docs.where(F.lit(False)), path)
