@@ -6,7 +6,7 @@ next one's docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanlens.llm import bpe, decontaminate, frames, jaccard_join, langid, line_dedup
@@ -15,32 +15,41 @@ from scanlens.llm import bpe, decontaminate, frames, jaccard_join, langid, line_
 LEAST_SCORE = 0.5
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text): the documents' own columns in one struct, so that no name of theirs clashes with an operator's."""
+    return docs.select(F.struct(*[frames.named(c).alias(c) for c in docs.columns]).alias("doc"), "doc_id", "text")
+
+
+def unwrapped(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    return rows.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in names])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose words are of one language for the most part. Texts that are null or without a letter go, and texts in which no language has LEAST_SCORE."""
     model = langid.fit(docs, F.lit(True))
-    seen = langid.detect(docs, model)
-    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    seen = langid.detect(wrapped(docs), model)
+    return unwrapped(seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line resembles; documents of which nothing is left go. n_chars follows the text."""
-    left = line_dedup.dedup_lines(docs)
-    left = left.where((F.col("n_kept") == F.col("n_lines")) | (F.trim(F.col("text")) != ""))
-    return left.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    left = line_dedup.dedup_lines(wrapped(docs))
+    left = left.where((F.col("n_kept") == F.col("n_lines")) | (F.btrim("text", F.lit(line_dedup.BLANK + "\n")) != ""))
+    return unwrapped(left, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest id. Rows of the same id and text are one document."""
-    row = line_dedup.row_key("doc_id", "text")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), row.alias("row"))
-    groups = jaccard_join.near_duplicates(docs.select(key.alias("id"), "text"), id_col="id")
-    firsts = frames.written(groups.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("__row")).distinct(), "firsts")
-    return docs.withColumn("__row", row).join(firsts, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    rows = wrapped(docs).withColumn("row", line_dedup.row_key("doc_id", "text"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row")
+    groups = jaccard_join.near_duplicates(rows.select(key.alias("id"), "text"), id_col="id")
+    firsts = frames.written(groups.where(F.col("id") == F.col("component_id")).select(F.col("id.row").alias("row")).distinct(), "firsts")
+    return unwrapped(rows.join(firsts, "row", "left_semi").dropDuplicates(["row"]), docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item stands."""
-    return decontaminate.decontaminate(docs, frames.table(spark, sf_dir, "benchmark"))
+    return unwrapped(decontaminate.decontaminate(wrapped(docs), frames.table(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
