@@ -32,8 +32,8 @@ from .words import NOT_BLANK, spans
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Words of the longest n-grams, probes for their first level (a missing n-gram is found with probability 2**-PROBES; further levels take half as many), the share of each order in a probability.
 ORDER, PROBES, WEIGHT = 2, 12, 0.4
-#: Bytes of text for each bucket, bytes of text that are counted together, bytes of a model that's broadcast, bytes of texts or model that are looked up in one place.
-BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES = 8 << 20, 16 << 20, 96 << 20, 64 << 20
+#: Bytes of text for each bucket, bytes of text that are counted together, bytes of a model that's broadcast, bytes of texts or model that are looked up in one place, bytes of text that ask together.
+BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES, ASK_BYTES = 8 << 20, 16 << 20, 96 << 20, 64 << 20, 8 << 20
 MODEL = "bucket int, buckets int, tokens long, distinct long, words binary, counts binary, bits long, filter binary"
 MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -265,82 +265,76 @@ def score(
     return rows.mapInArrow(run, schema).toDF(*names, *[f.name for f in made])
 
 
+def dealt(values: np.ndarray, buckets: int, routes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values route by route, and where each route begins (one more)."""
+    values = np.unique(values)
+    route = bucket_of(values, buckets) % routes
+    by = np.argsort(route, kind="stable")
+    return values[by], np.searchsorted(route[by], np.arange(routes + 1))
+
+
 def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, order: int, probes: int, buckets: int, model_bytes: int, route_bytes: int) -> DataFrame:
-    """score() for a model that's too large to be broadcast. Packs of texts are rows; routes are groups of buckets."""
+    """score() for a model that's too large to be broadcast. Routes are groups of buckets; a pack's texts ask each route once, and get counts and levels in the order in which they asked."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"))).first()[0] or 0
+    routes = min(buckets, int(max(size, model_bytes) // route_bytes) + 1)
+    whole = T.StructType([*T.StructType.fromDDL("pack long, route int").fields, *rows.schema.fields, *T.StructType.fromDDL("words binary, grams binary").fields])
+    every = lambda grams: np.concatenate([np.empty(0, np.uint64), *grams])
 
     def pack(batches):
-        def row(held):
-            nonlocal n
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as out:
-                for x in held:
-                    out.write_batch(x)
-            n += 1
+        def ask(held):
             name = TaskContext.get().partitionId() << 32 | n
-            return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["pack", "body"])
-
-        n, held, size = 0, [], 0
+            found = [tokens_of(x, "body") for x in held]
+            for x in held:
+                yield pa.RecordBatch.from_arrays([pa.array([name] * x.num_rows, pa.int64()), pa.nulls(x.num_rows, pa.int32()), *x.columns, pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.binary())], whole.names)
+            words, a = dealt(np.concatenate([t for t, _ in found]), buckets, routes)
+            grams, b = dealt(np.concatenate([every(grams_of(t, s, order)) for t, s in found]), buckets, routes)
+            for r in range(routes):
+                w, g = words[a[r] : a[r + 1]], grams[b[r] : b[r + 1]]
+                if len(w) or len(g):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([r], pa.int32()), *(pa.nulls(1, c.type) for c in held[0].columns), pa.array([w.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], whole.names)
+
+        n, held, bytes_ = 0, [], 0
         for part in pieces(batches, "body"):
             held.append(part)
-            size += part.nbytes
-            if size >= PACK_BYTES:
-                yield row(held)
-                held, size = [], 0
+            bytes_ += part.nbytes
+            if bytes_ >= ASK_BYTES:
+                yield from ask(held)
+                n, held, bytes_ = n + 1, [], 0
         if held:
-            yield row(held)
-
-    def opened(body: bytes):
-        part = pa.ipc.open_stream(body).read_all().combine_chunks()
-        tokens, starts = tokens_of(part.to_batches()[0], "body")
-        return part, tokens, starts, grams_of(tokens, starts, order)
-
-    packs = written(rows.mapInArrow(pack, "pack long, body binary"), "language-model-packs")
-    size = packs.agg(F.sum(F.octet_length("body").cast("long"))).first()[0] or 0
-    routes = min(buckets, int(max(size, model_bytes) // route_bytes) + 1)
-
-    def ask(batches):
-        for batch in batches:
-            for name, body in zip(column(batch, "pack").to_pylist(), column(batch, "body").to_pylist(), strict=True):
-                _, tokens, _, grams = opened(body)
-                parts = []
-                for values in (np.unique(tokens), np.unique(np.concatenate(grams)) if grams else tokens[:0]):
-                    route = bucket_of(values, buckets) % routes
-                    by = np.argsort(route, kind="stable")
-                    parts.append((values[by], np.searchsorted(route[by], np.arange(routes + 1))))
-                (words, a), (grams, b) = parts
-                for r in range(routes):
-                    w, g = words[a[r] : a[r + 1]], grams[b[r] : b[r + 1]]
-                    if len(w) or len(g):
-                        yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([name], pa.int64()), pa.array([w.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], ["route", "pack", "words", "grams"])
-
-    answers = ["pack", "words", "counts", "grams", "levels"]
+            yield from ask(held)
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         use, out = Slice(list(held.itertuples()), buckets, probes), []
         for r in asked.itertuples():
             w, g = np.frombuffer(r.words, np.uint64), np.frombuffer(r.grams, np.uint64)
-            out.append((r.pack, r.words, use.count(w).astype(np.int64).tobytes(), r.grams, use.level(g, np.full(len(g), 64)).tobytes()))
-        return pd.DataFrame(out, columns=answers)
+            out.append((r.pack, r.route, use.count(w).astype(np.int64).tobytes(), use.level(g, np.full(len(g), 64)).tobytes()))
+        return pd.DataFrame(out, columns=["pack", "route", "counts", "levels"])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        part, tokens, starts, grams = opened(left["body"][0].as_py())
-        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in right[name].to_pylist()])
-
-        def found(keys, keys_kind, values, values_kind):
-            k, v = read(keys, keys_kind), read(values, values_kind)
-            order_ = np.argsort(k)
-            k, v = k[order_], v[order_]
-            return lambda x: v[np.searchsorted(k, x)]  # every one that's needed has been asked for
-
-        counts = found("words", np.uint64, "counts", np.int64)(tokens)
-        level = found("grams", np.uint64, "levels", np.int8)
+        tokens, starts = tokens_of(left.combine_chunks().to_batches()[0], "body")
+        grams = grams_of(tokens, starts, order)
+
+        def found(values, name, kind):
+            keys, edges = dealt(values, buckets, routes)
+            out = np.zeros(len(keys), kind)
+            for r, x in zip(right["route"].to_pylist(), right[name].to_pylist(), strict=True):
+                out[edges[r] : edges[r + 1]] = np.frombuffer(x, kind)
+            by = np.argsort(keys)
+            keys, out = keys[by], out[by]
+            return lambda x: out[np.searchsorted(keys, x)]
+
+        counts = found(tokens, "counts", np.int64)(tokens)
+        level = found(every(grams), "levels", np.int8)
         levels = levels_of(grams, starts, counts, lambda k, g, caps: level(g))
-        return pa.Table.from_arrays(finish(part, tokens, starts, counts, levels), schema.names)
+        return pa.Table.from_arrays(finish(left, tokens, starts, counts, levels), schema.names)
 
-    asked = packs.mapInArrow(ask, "route int, pack long, words binary, grams binary")
+    packs = written(rows.mapInArrow(pack, whole), "language-model-packs")
+    asked = packs.where("route is not null").select("route", "pack", "words", "grams")
     held = model.withColumn("route", F.col("bucket") % routes)
-    answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInPandas(answer, "pack long, words binary, counts binary, grams binary, levels binary")
-    return packs.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema)
+    answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInPandas(answer, "pack long, route int, counts binary, levels binary")
+    answered = written(answered, "language-model-answers")
+    texts = packs.where("route is null").drop("route", "words", "grams")
+    return texts.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema)
 
 
 def held_out(id_col: str, n: int = 7, part: int = 2) -> Column:
