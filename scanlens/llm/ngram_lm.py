@@ -277,7 +277,7 @@ def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, orde
     """score() for a model that's too large to be broadcast. Routes are groups of buckets; a pack's texts ask each route once, and get counts and levels in the order in which they asked."""
     size = rows.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"))).first()[0] or 0
     routes = min(buckets, int(max(size, model_bytes) // route_bytes) + 1)
-    whole = T.StructType([*T.StructType.fromDDL("pack long, route int").fields, *rows.schema.fields, *T.StructType.fromDDL("words binary, grams binary").fields])
+    whole = T.StructType([*T.StructType.fromDDL("pack long, route int").fields, *[T.StructField(f.name, f.dataType) for f in rows.schema.fields], *T.StructType.fromDDL("words binary, grams binary").fields])
     every = lambda grams: np.concatenate([np.empty(0, np.uint64), *grams])
 
     def pack(batches):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from scanlens.llm import frames, ngram_lm
 
@@ -67,6 +68,8 @@ def test_op3_small(spark, broadcast_bytes, bucket_bytes, route_bytes, order):
     got = ngram_lm.score(df, model, order=order, probes=30, broadcast_bytes=broadcast_bytes, route_bytes=route_bytes)
     assert got.columns == ["doc_id", "bucket", "a.b", "__text", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     compare(got.collect(), brute([r.text for r in train.collect()], DOCS, order=order))
+    never_null = df.withColumn("flag", F.lit(True))
+    assert ngram_lm.score(never_null, model, order=order, probes=30, broadcast_bytes=broadcast_bytes, route_bytes=route_bytes).where("flag").count() == len(DOCS)
     assert ngram_lm.score(df.limit(0), model, order=order, probes=30, broadcast_bytes=broadcast_bytes).count() == 0
 
 
