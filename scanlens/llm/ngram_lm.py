@@ -18,7 +18,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,15 +177,14 @@ class Slice:
         at = np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)
         return np.where(self.words[at] == distinct, self.counts[at], 0)[inverse]
 
-    def level(self, grams: np.ndarray, caps: np.ndarray) -> np.ndarray:
-        """The level of each n-gram, its cap at most: how many levels in a row are found; 0 for those that other buckets hold."""
-        out = np.zeros(len(grams), np.int8)
-        bucket = bucket_of(grams, self.buckets)
+    def level(self, low: np.ndarray, bucket: np.ndarray, caps: np.ndarray) -> np.ndarray:
+        """The level of each n-gram (its low bits and its bucket), its cap at most: how many levels in a row are found; 0 for those that other buckets hold."""
+        out = np.zeros(len(low), np.int8)
         at = np.flatnonzero(self.here[bucket] & (caps > 0))
         j = 0
         while len(at):
             j += 1
-            h, step = hashed(low_bits(grams[at]), j)
+            h, step = hashed(low[at], j)
             bits, first = self.bits[bucket[at]], self.first[bucket[at]]
             for i in range(probes_of(j, self.probes)):
                 p = place(h, step, i, bits)
@@ -259,7 +257,7 @@ def score(
         for part in pieces(batches, "body"):
             tokens, starts = tokens_of(part, "body")
             counts = use.count(tokens)
-            levels = levels_of(grams_of(tokens, starts, order), starts, counts, lambda k, g, caps: use.level(g, caps))
+            levels = levels_of(grams_of(tokens, starts, order), starts, counts, lambda k, g, caps: use.level(low_bits(g), bucket_of(g, buckets), caps))
             yield pa.RecordBatch.from_arrays(finish(part, tokens, starts, counts, levels), schema.names)
 
     return rows.mapInArrow(run, schema).toDF(*names, *[f.name for f in made])
@@ -273,45 +271,49 @@ def dealt(values: np.ndarray, buckets: int, routes: int) -> tuple[np.ndarray, np
     return values[by], np.searchsorted(route[by], np.arange(routes + 1))
 
 
+def six_bytes(values: np.ndarray) -> bytes:
+    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n)
+
+
 def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, order: int, probes: int, buckets: int, model_bytes: int, route_bytes: int) -> DataFrame:
-    """score() for a model that's too large to be broadcast. Routes are groups of buckets; a pack's texts ask each route once, and get counts and levels in the order in which they asked."""
+    """score() for a model that's too large to be broadcast.
+
+    A row's hash says which pack it's in, so the packs are the same whenever they're read. Routes are groups of
+    buckets (bucket = route + routes * k, k under 256). A pack asks each route once, and gets counts and levels
+    in the order in which it asked.
+    """
     size = rows.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"))).first()[0] or 0
-    routes = min(buckets, int(max(size, model_bytes) // route_bytes) + 1)
-    whole = T.StructType([*T.StructType.fromDDL("pack long, route int").fields, *[T.StructField(f.name, f.dataType) for f in rows.schema.fields], *T.StructType.fromDDL("words binary, grams binary").fields])
+    packs = int(size // ASK_BYTES) + 1
+    routes = min(buckets, max(int(max(size, model_bytes) // route_bytes) + 1, -(-buckets // 256)))
+    plain = [F.col(f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType)]
+    texts = rows.withColumn("pack", F.pmod(F.xxhash64(*plain), F.lit(packs)))
     every = lambda grams: np.concatenate([np.empty(0, np.uint64), *grams])
+    tokens_in = lambda table: tokens_of(table.select(["body"]).combine_chunks().to_batches()[0], "body")
 
-    def pack(batches):
-        def ask(held):
-            name = TaskContext.get().partitionId() << 32 | n
-            found = [tokens_of(x, "body") for x in held]
-            for x in held:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * x.num_rows, pa.int64()), pa.nulls(x.num_rows, pa.int32()), *x.columns, pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.binary())], whole.names)
-            words, a = dealt(np.concatenate([t for t, _ in found]), buckets, routes)
-            grams, b = dealt(np.concatenate([every(grams_of(t, s, order)) for t, s in found]), buckets, routes)
-            for r in range(routes):
-                w, g = words[a[r] : a[r + 1]], grams[b[r] : b[r + 1]]
-                if len(w) or len(g):
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([r], pa.int32()), *(pa.nulls(1, c.type) for c in held[0].columns), pa.array([w.tobytes()], pa.binary()), pa.array([g.tobytes()], pa.binary())], whole.names)
-
-        n, held, bytes_ = 0, [], 0
-        for part in pieces(batches, "body"):
-            held.append(part)
-            bytes_ += part.nbytes
-            if bytes_ >= ASK_BYTES:
-                yield from ask(held)
-                n, held, bytes_ = n + 1, [], 0
-        if held:
-            yield from ask(held)
+    def ask(table: pa.Table) -> pa.Table:
+        tokens, starts = tokens_in(table)
+        words, a = dealt(tokens, buckets, routes)
+        grams, b = dealt(every(grams_of(tokens, starts, order)), buckets, routes)
+        known = low_bits(grams) | (bucket_of(grams, buckets) // routes).astype(np.uint64) << np.uint64(40)
+        some = [r for r in range(routes) if a[r + 1] > a[r] or b[r + 1] > b[r]]
+        columns = [pa.array(some, pa.int32()), pa.array([table["pack"][0].as_py()] * len(some), pa.int64()), pa.array([words[a[r] : a[r + 1]].tobytes() for r in some], pa.binary()), pa.array([six_bytes(known[b[r] : b[r + 1]]) for r in some], pa.binary())]
+        return pa.Table.from_arrays(columns, ["route", "pack", "words", "grams"])
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         use, out = Slice(list(held.itertuples()), buckets, probes), []
         for r in asked.itertuples():
-            w, g = np.frombuffer(r.words, np.uint64), np.frombuffer(r.grams, np.uint64)
-            out.append((r.pack, r.route, use.count(w).astype(np.int64).tobytes(), use.level(g, np.full(len(g), 64)).tobytes()))
+            g = from_six(r.grams)
+            bucket = (g >> np.uint64(40)).astype(np.int64) * routes + r.route
+            out.append((r.pack, r.route, use.count(np.frombuffer(r.words, np.uint64)).astype(np.int64).tobytes(), use.level(low_bits(g), bucket, np.full(len(g), 64)).tobytes()))
         return pd.DataFrame(out, columns=["pack", "route", "counts", "levels"])
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, starts = tokens_of(left.combine_chunks().to_batches()[0], "body")
+        tokens, starts = tokens_in(left)
         grams = grams_of(tokens, starts, order)
 
         def found(values, name, kind):
@@ -328,12 +330,10 @@ def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, orde
         levels = levels_of(grams, starts, counts, lambda k, g, caps: level(g))
         return pa.Table.from_arrays(finish(left, tokens, starts, counts, levels), schema.names)
 
-    packs = written(rows.mapInArrow(pack, whole), "language-model-packs")
-    asked = packs.where("route is not null").select("route", "pack", "words", "grams")
+    asked = texts.select("pack", "body").groupBy("pack").applyInArrow(ask, "route int, pack long, words binary, grams binary")
     held = model.withColumn("route", F.col("bucket") % routes)
     answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInPandas(answer, "pack long, route int, counts binary, levels binary")
     answered = written(answered, "language-model-answers")
-    texts = packs.where("route is null").drop("route", "words", "grams")
     return texts.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema)
 
 
