@@ -13,6 +13,16 @@ RANGES = ("full", "p01_p99", "p05_p95")
 MOST_METRICS, FILTER_OPTIONS, REPORT_BINS = 12, 24, 24
 
 
+def compared_view(view: str, uploaded: bool) -> str:
+    """An uploaded report is compared with raw observations, whatever view was asked for."""
+    return "raw" if uploaded else view
+
+
+def chosen_metrics(wanted: list[str]) -> list[str]:
+    """The metrics of a comparison, each once, MOST_METRICS at most."""
+    return list(dict.fromkeys(wanted))[:MOST_METRICS]
+
+
 def numbers(report: DataFrame, fields: list[str]) -> DataFrame:
     """A report (all texts) as numbers; columns that it lacks are null."""
     return report.select(*[strict_number(F.col(f"`{c}`")).alias(c) if c in report.columns else F.lit(None).cast("double").alias(c) for c in fields])

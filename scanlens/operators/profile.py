@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import finite, finite_or_null, fraction, missing, present
 from ..spec import DatasetSpec
 from .views import group_key
 
+#: Accuracy of a sketch of a group's values: ranks are off by 1 / SKETCH of its size at most.
+SKETCH = 20_000
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
@@ -67,17 +71,56 @@ def metric_summaries(df: DataFrame, fields: list[str]) -> DataFrame:
     return with_all_fields(found, df, fields, {"value_count": zero, "missing_count": zero, "missing_fraction": F.lit(0.0), "min": None, "max": None, "mean": None})
 
 
-def metric_stats(df: DataFrame, metric: str, by: list[str] | None = None, *, exact: bool = True) -> DataFrame:
-    """row_count, value_count, missing_count, missing_fraction, min, max, mean, stddev (of the population) and interpolated percentiles of the finite values, in one pass. exact=False takes percentiles from sketches, where a column has very many distinct values."""
-    v = "__v"
-    rows = df.select(*(by or []), finite_or_null(F.col(metric)).alias(v))
+def exact_quantiles(rows: DataFrame, by: list[str], v: str) -> DataFrame:
+    """The interpolated QUANTILES of v in each group, a column each; nulls aren't values.
+
+    A sketch of each group gives bounds between which the wanted ranks lie, or next to which; what lies below and
+    above is counted, and only the distinct values between them are sorted: no task or buffer holds a group's
+    values.
+    """
+    known = rows.where(F.col(v).isNotNull())
     points = list(QUANTILES.values())
-    quantiles = F.percentile(v, F.array(*[F.lit(p) for p in points])) if exact else F.percentile_approx(v, points, 10_000)
-    out = rows.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count(v).alias("value_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), quantiles.alias("__q")
-    )
-    gone = F.col("row_count") - F.col("value_count")
-    return out.select(*(by or []), "row_count", "value_count", gone.alias("missing_count"), fraction(gone, F.col("row_count")).alias("missing_fraction"), "min", "max", "mean", "stddev", *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)])
+    margin = 2 / SKETCH  # twice the sketch's error
+    edges = [min(1.0, max(0.0, p + d)) for p in points for d in (-margin, margin)]
+    heads = known.groupBy(*by).agg(F.count(v).alias("__n"), F.percentile_approx(v, edges, SKETCH).alias("__e"))
+    cut = lambda i, p: F.struct(F.lit(i).alias("i"), F.get("__e", F.lit(2 * i)).alias("low"), F.get("__e", F.lit(2 * i + 1)).alias("high"), (F.lit(p) * (F.col("__n") - 1)).alias("place"))
+    heads = heads.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], F.array(*[cut(i, p) for i, p in enumerate(points)]).alias("__cuts"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(by)]
+    cells = known.join(heads, reduce(lambda a, b: a & b, same)) if by else known.crossJoin(F.broadcast(heads))  # one row
+    cells = cells.select(*by, v, F.explode("__cuts").alias("__c"))
+    side = F.when(F.col(v) < F.col("__c.low"), F.lit(-1)).when(F.col(v) > F.col("__c.high"), F.lit(1)).otherwise(F.lit(0))
+    value = F.when(side == 0, F.col(v))
+    cells = cells.groupBy(*by, F.col("__c.i").alias("__i"), F.col("__c.place").alias("__place"), side.alias("__side"), value.alias("__value")).agg(F.count(F.lit(1)).alias("__n"), F.min(v).alias("__least"), F.max(v).alias("__largest"))
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__i").orderBy("__side", "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = cells.withColumn("__upto", upto)
+
+    def at(rank: Column) -> Column:
+        """The value of a rank (from 0): of the cell that it's in, or the edge of what lies below or above."""
+        first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
+        edge = F.when(rank == last, F.col("__largest")).when(rank == first, F.col("__least")).otherwise(F.raise_error(F.lit("a sketch has missed its bounds")).cast("double"))
+        inner = F.when(F.col("__side") == 0, F.col("__value")).when(F.col("__side") < 0, F.when(rank == last, F.col("__largest")).otherwise(edge)).otherwise(F.when(rank == first, F.col("__least")).otherwise(edge))
+        return F.max(F.when((rank >= first) & (rank <= last), inner))
+
+    found = cells.groupBy(*by, "__i", "__place").agg(at(F.floor("__place")).alias("__a"), at(F.ceil("__place")).alias("__b"))
+    share = F.col("__place") - F.floor("__place")
+    between = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise((1 - share) * F.col("__a") + share * F.col("__b"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("__i") == i, between)).alias(n) for i, n in enumerate(QUANTILES)])
+
+
+def metric_stats(df: DataFrame, metric: str, by: list[str] | None = None, *, exact: bool = True) -> DataFrame:
+    """row_count, value_count, missing_count, missing_fraction, min, max, mean, stddev (of the population) and interpolated percentiles of the finite values. exact=False takes percentiles from sketches alone, in one pass."""
+    v, by = "__v", by or []
+    rows = df.select(*by, finite_or_null(F.col(metric)).alias(v))
+    points, gone = list(QUANTILES.values()), F.col("row_count") - F.col("value_count")
+    sketch = [] if exact else [F.percentile_approx(v, points, SKETCH).alias("__q")]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("row_count"), F.count(v).alias("value_count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), *sketch)
+    if exact:
+        found = exact_quantiles(rows, by, v)
+        found = found.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], *QUANTILES)
+        same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(by)]
+        out = out.join(found, reduce(lambda a, b: a & b, same), "left") if by else out.crossJoin(F.broadcast(found))  # one row each
+    quantiles = [F.col(n) if exact else F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(QUANTILES)]
+    return out.select(*by, "row_count", "value_count", gone.alias("missing_count"), fraction(gone, F.col("row_count")).alias("missing_fraction"), "min", "max", "mean", "stddev", *quantiles)
 
 
 def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:

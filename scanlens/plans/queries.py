@@ -117,11 +117,10 @@ def view_raw_filtered(spark, d):
     return views.view(events(spark, d), EVENTS, "raw", ObservationFilters(tasks=TYPES, created_from=datetime(2024, 1, 10))).select("event_id", "ts", "event_type")
 
 
-@query("""SELECT event_id, sha256('event' || chr(31) || coalesce(nullif(lower(trim(regexp_replace(event_type, '\\s+', ' ', 'g'))), ''), chr(0)) || chr(31) || CAST(user_id AS DOUBLE)::VARCHAR) AS series_key FROM events WHERE user_id < 1000000""")
+@query("""SELECT event_id, sha256('event' || chr(31) || coalesce(nullif(lower(trim(regexp_replace(event_type, '\\s+', ' ', 'g'))), ''), chr(0)) || chr(31) || CAST(user_id AS DOUBLE)::VARCHAR) AS series_key FROM events""")
 def series_key(spark, d):
     """The identity of a series; its number is the same text in both engines below ten million."""
-    df = table(spark, d, "events").where("user_id < 1000000")
-    return df.select("event_id", values.series_key([(F.col("event_type"), "S"), (F.col("user_id"), "I")], "event").alias("series_key"))
+    return table(spark, d, "events").select("event_id", values.series_key([(F.col("event_type"), "S"), (F.col("user_id"), "I")], "event").alias("series_key"))
 
 
 def summary_branch(name: str, i: int, source: str, expression: str | None = None) -> str:
@@ -312,7 +311,7 @@ def pages(spark, d) -> DataFrame:
         F.col("event_id").cast("string").alias("_id"), F.col("ts").cast("string").alias("_created"),
         F.struct(F.col("event_type").alias("task_id"), F.col("user_id").cast("string").alias("subject_id"), F.expr("nullif(event_type, 'error')").alias("Manufacturer")).alias("bids_meta"), F.struct(F.md5(F.col("props").cast("binary")).alias("md5sum"), F.lit("1.0").alias("version")).alias("provenance"),
     )
-    rows = table(spark, d, "events").where("event_id < 2000").select(F.expr("cast(event_id div 10 as int)").alias("page"), "event_id", item.alias("item"))
+    rows = table(spark, d, "events").select(F.expr("cast(event_id div 10 as int)").alias("page"), "event_id", item.alias("item"))
     rows = rows.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "item"))), lambda x: x["item"]).alias("_items"))
     return rows.select("page", F.to_json(F.struct("_items")).alias("value"))
 
@@ -322,7 +321,7 @@ def items(spark, d) -> DataFrame:
     return found.select("value", F.col("page").alias("source_page"), (F.col("i") + 1).cast("long").alias("item_index"))
 
 
-ITEMS_SQL = "WITH i AS (SELECT CAST(event_id // 10 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) AS BIGINT) AS item_index, CAST(event_id AS VARCHAR) AS item_id, event_type, CAST(user_id AS VARCHAR) AS subject_id, md5(props) AS md5 FROM events WHERE event_id < 2000)"
+ITEMS_SQL = "WITH i AS (SELECT CAST(event_id // 10 AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) AS BIGINT) AS item_index, CAST(event_id AS VARCHAR) AS item_id, event_type, CAST(user_id AS VARCHAR) AS subject_id, md5(props) AS md5 FROM events)"
 
 
 @query(f"{ITEMS_SQL} SELECT page, item_index, item_id, md5, subject_id, CAST(4 AS INTEGER) AS key_count, CASE WHEN event_type = 'error' THEN 'bids_meta.Manufacturer,bids_meta.run_id' ELSE 'bids_meta.run_id' END AS missing FROM i")
@@ -431,12 +430,12 @@ def path_numbers(spark, d):
     return table(spark, d, "events").select("event_id", values.page_number(path).alias("page"), values.item_number(F.concat(path, F.lit("#item="), F.col("event_id"))).alias("item"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_api_id, CAST(o_custkey AS VARCHAR) AS subject_id, o_orderstatus AS manufacturer, round(o_totalprice, 6) AS cjv, CAST(o_orderkey % 90 AS INTEGER) AS flip_angle, 'Extra,' || 'custom' AS extra_keys, CAST(3 AS INTEGER) AS lacking FROM orders WHERE o_orderkey % 2 = 0")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS source_api_id, CAST(o_custkey AS VARCHAR) AS subject_id, o_orderstatus AS manufacturer, round(o_totalprice, 6) AS cjv, CAST(o_orderkey % 90 AS INTEGER) AS flip_angle, 'Extra,' || 'custom' AS extra_keys, CAST(3 AS INTEGER) AS lacking FROM orders")
 def parsed_observations(spark, d):
     """Observations parsed from JSON: renamed, typed, with what has no column in the extras."""
     from .parse import missing_required, parse
 
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    o = table(spark, d, "orders")
     item = F.struct(
         F.col("o_orderkey").cast("string").alias("_id"), F.round("o_totalprice", 6).alias("cjv"), F.lit("x").alias("custom"),
         F.struct(F.col("o_custkey").cast("string").alias("subject_id"), F.col("o_orderstatus").alias("Manufacturer"), (F.col("o_orderkey") % 90).cast("double").alias("FlipAngle"), F.lit(1).alias("Extra")).alias("bids_meta"),

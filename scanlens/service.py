@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import threading
 import time
-from collections import OrderedDict
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 
 from .functions import labels
 from .operators import duplicates, profile, views
 from .operators.filters import ObservationFilters, apply_filters
-from .plans.files import run_id, write_json
+from .plans.files import Folder, stamp
 from .plans.store import Store
 from .spec import MODALITIES, modality
 
@@ -30,32 +29,42 @@ def rows(df: DataFrame) -> list[dict]:
     return [{k: plain(v) for k, v in r.asDict().items()} for r in df.collect()]
 
 
-class TimedCache:
-    """Answers for `seconds`, the least recently used of more than `entries` dropped. None is no answer."""
+@dataclass
+class Kept:
+    answer: object
+    until: float
+    used: int
 
-    def __init__(self, seconds: float = 300, entries: int = 256, clock: Callable[[], float] = time.monotonic):
-        self.seconds, self.entries, self.clock = seconds, entries, clock
-        self._lock, self._kept = threading.Lock(), OrderedDict()
 
-    def get_or_set(self, key, make: Callable):
-        """(answer, whether it was kept)."""
-        with self._lock:
-            found = self._kept.get(key)
-            if found and self.clock() - found[0] < self.seconds:
-                self._kept.move_to_end(key)
-                return found[1], True
-        value = make()
-        if value is not None:
-            with self._lock:
-                self._kept[key] = (self.clock(), value)
-                self._kept.move_to_end(key)
-                while len(self._kept) > self.entries:
-                    self._kept.popitem(last=False)
-        return value, False
+class Answers:
+    """Answers that stay good for a while. There is room for so many; beyond it those go first that are out of date, then the one that was wanted longest ago. A missing answer isn't kept."""
 
-    def clear(self) -> None:
-        with self._lock:
-            self._kept.clear()
+    def __init__(self, good_for: float = 300, room: int = 256, now: Callable[[], float] = time.monotonic):
+        self.good_for, self.room, self.now = good_for, room, now
+        self.guard, self.kept, self.turn = threading.Lock(), {}, 0
+
+    def recall(self, question) -> Kept | None:
+        with self.guard:
+            self.turn += 1
+            one = self.kept.get(question)
+            if one is None or one.until <= self.now():
+                return None
+            one.used = self.turn
+            return one
+
+    def keep(self, question, answer) -> None:
+        with self.guard:
+            self.turn += 1
+            self.kept[question] = Kept(answer, self.now() + self.good_for, self.turn)
+            if len(self.kept) > self.room:
+                now = self.now()
+                self.kept = {q: k for q, k in self.kept.items() if k.until > now}
+            while len(self.kept) > self.room:
+                del self.kept[min(self.kept, key=lambda q: self.kept[q].used)]
+
+    def forget(self) -> None:
+        with self.guard:
+            self.kept = {}
 
 
 class Profiler:
@@ -128,14 +137,13 @@ class Profiler:
             for m, s in MODALITIES.items()
         ]
 
-    def write_profile(self, folder: str, names: list[str] | None = None, view: str = "raw", filters: ObservationFilters = NO_FILTERS) -> Path:
-        """The overview and a profile of each modality as JSON files in <folder>/db-profiles/<run>."""
-        root = Path(folder) / "db-profiles" / run_id()
-        write_json(root / "config.json", {"view": view, "filters": filters.echo(), "modalities": names or list(MODALITIES)})
-        write_json(root / "overview.json", self.overview(filters))
-        for name in names or list(MODALITIES):
-            write_json(root / f"{name}.json", self.modality_profile(name, view, filters))
-        return root
+    def write_profile(self, folder: str, names: list[str] | None = None, view: str = "raw", filters: ObservationFilters = NO_FILTERS) -> str:
+        """The overview and a profile of each modality as JSON files in <folder>/db-profiles/<run>; that folder's name."""
+        names, out = names or list(MODALITIES), Folder(str(folder)) / "db-profiles" / stamp()
+        answers = {"config": {"view": view, "filters": filters.echo(), "modalities": names}, "overview": self.overview(filters)}
+        for name, answer in (answers | {m: self.modality_profile(m, view, filters) for m in names}).items():
+            out.put_json(f"{name}.json", answer)
+        return out.name
 
 
 #: Bounds of the parameters of a question (fixed values).
@@ -145,8 +153,8 @@ BOUNDS = {"top_n": (1, 100), "group_limit": (1, 100), "member_limit": (1, 25), "
 class Api:
     """Questions by path, as a web server would route them: answer(path, parameters) gives (status, body, whether the answer was kept)."""
 
-    def __init__(self, profiler: Profiler, cache: TimedCache | None = None):
-        self.profiler, self.cache = profiler, cache or TimedCache()
+    def __init__(self, profiler: Profiler, answers: Answers | None = None):
+        self.profiler, self.answers = profiler, answers or Answers()
 
     def answer(self, path: str, filters: ObservationFilters = NO_FILTERS, **parameters) -> tuple[int, object, bool]:
         for name, value in parameters.items():
@@ -155,7 +163,7 @@ class Api:
         p, parts = self.profiler, path.strip("/").split("/")
         match parts:
             case ["health"]:
-                return 200, {"status": "ok", "rows": p.store.spark.range(1).count()}, False
+                return 200, {"status": "ok", "tables": sum(v > 0 for v in p.store.versions())}, False  # asks the storage
             case ["modalities"]:
                 make = p.modalities
             case ["overview"]:
@@ -178,7 +186,11 @@ class Api:
                 return 404, {"detail": "no such path"}, False
         try:
             key = (path, tuple(sorted(parameters.items())), filters, p.store.versions())
-            body, kept = self.cache.get_or_set(key, make)
-            return 200, body, kept
+            if old := self.answers.recall(key):
+                return 200, old.answer, True
+            body = make()
+            if body is not None:
+                self.answers.keep(key, body)
+            return 200, body, False
         except ValueError as e:
             return 404, {"detail": str(e)}, False

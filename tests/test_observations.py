@@ -1,16 +1,19 @@
 """Parsing, loading, profiling and serving of observations."""
 
 import json
+import random
 from datetime import UTC, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scanlens import cli
+from scanlens.operators import profile
 from scanlens.operators.filters import ObservationFilters
 from scanlens.plans.parse import parse, validated
 from scanlens.plans.store import Store
-from scanlens.service import Api, Profiler, TimedCache
+from scanlens.service import Answers, Api, Profiler
 from scanlens.sources import csv_report, dump, pages
 from scanlens.spec import MODALITIES, modality
 from scanlens.streaming.ingest import ingest
@@ -40,16 +43,16 @@ def test_spec_sizes():
 
 
 def test_parse_keeps_what_has_no_column(spark):
-    r = parse(items_df(spark, item("T1w", "x", bids={"FlipAngle": 7, "ImageType": ["ORIGINAL"]}, custom_flag=True)), "T1w").first()
+    r = parse(items_df(spark, item("T1w", "x", bids={"FlipAngle": 7, "ImageType": ["ORIGINAL"]}, spare_flag=True)), "T1w").first()
     assert (r.source_api_id, r.flip_angle, r.mr_acquisition_type, r.echo_time, r.settings_fd_thres, r.settings_testing, r.pipeline_pred) == ("x", 7, "3D", 0.002, 0.2, False, 1)
-    assert r.bids_meta_extra == {"MysteryField": "kept", "ImageType": '["ORIGINAL"]'}
-    assert set(r.payload_extra) == {"custom_metric", "custom_flag", "_links"} and r.provenance_extra == {"upstream_note": "kept"} and r.provenance_settings_extra == {"custom_setting": "true"}
-    assert r.source_created_at == datetime(2017, 6, 8, 5, 54, 47) and r.modality == "T1w" and r.dedupe_exact_key == "a" * 32 and r.dedupe_status == "pending"
+    assert r.bids_meta_extra == {"CoilRemark": "kept", "ImageType": '["ORIGINAL"]'}
+    assert set(r.payload_extra) == {"spare_metric", "spare_flag", "_links"} and r.provenance_extra == {"origin_remark": "kept"} and r.provenance_settings_extra == {"extra_switch": "true"}
+    assert r.source_created_at == datetime(2021, 3, 14, 5, 12, 5) and r.modality == "T1w" and r.dedupe_exact_key == "a" * 32 and r.dedupe_status == "pending"
 
 
 def test_parse_bold_rating_and_structural_rating(spark):
     r = parse(items_df(spark, item("bold", "x", bids={"TaskName": "rest"})), "bold").first()
-    assert (r.rating_label, r.rating_name, r.rating_comment, r.rating_extra) == ("accept", "qa", "looks good", {"rater": "kept"}) and r.task_name == "rest"
+    assert (r.rating_label, r.rating_name, r.rating_comment, r.rating_extra) == ("accept", "second reader", "sharp enough", {"rater": "kept"}) and r.task_name == "rest"
     s = item("T1w", "x")
     s["rating"] = {"rating": "lost"}
     s["bids_meta"]["TaskName"] = "x"
@@ -103,7 +106,7 @@ def test_load_and_views(loaded):
     assert summary.to_dict()["modalities"]["T1w"] == {"page_count": 2, "observation_count": 3, "inserted_count": 3, "updated_count": 0, "rejected_count": 0}
     p = Profiler(store)
     assert p.modality_overview("T1w")["row_counts"] == {"raw": 3, "exact": 2, "series": 3}
-    assert p.modality_overview("T1w")["source_created_at_range"] == {"min": "2017-06-08T05:54:47", "max": "2017-06-08T07:54:47"}
+    assert p.modality_overview("T1w")["source_created_at_range"] == {"min": "2021-03-14T05:12:05", "max": "2021-03-14T07:12:05"}
     assert {r.source_api_id for r in p.view("T1w", "exact").collect()} == {"def", "fed"}
     assert len(p.overview()["modalities"]) == 3
 
@@ -111,9 +114,9 @@ def test_load_and_views(loaded):
 def test_profile_of_a_modality(loaded):
     p = Profiler(loaded[0])
     got = p.modality_profile("T1w")
-    assert got["top_values"]["manufacturer"] == [{"value": "Siemens", "count": 2}, {"value": "GE", "count": 1}]
+    assert got["top_values"]["manufacturer"] == [{"value": "Lumen", "count": 2}, {"value": "GE", "count": 1}]
     assert next(r for r in got["missingness"] if r["field"] == "session_id") == {"field": "session_id", "missing_count": 1, "missing_fraction": pytest.approx(1 / 3)}
-    assert {"key": "custom_metric", "row_count": 3} in got["extras"]["payload_extra"]["keys"] and got["extras"]["payload_extra"]["nonempty_row_count"] == 3
+    assert {"key": "spare_metric", "row_count": 3} in got["extras"]["payload_extra"]["keys"] and got["extras"]["payload_extra"]["nonempty_row_count"] == 3
     cjv = got["metrics"][0]
     assert cjv["field"] == "cjv" and (cjv["value_count"], cjv["min"], cjv["max"]) == (3, 0.1, 0.7) and cjv["mean"] == pytest.approx(0.4)
     twins = got["duplicates"]["exact"]
@@ -134,10 +137,10 @@ def test_filters(loaded):
     p = Profiler(loaded[0])
     ge = ObservationFilters(manufacturers=("GE",))
     assert p.modality_overview("T1w", ge)["row_counts"] == {"raw": 1, "exact": 1, "series": 1}
-    siemens = ObservationFilters(manufacturers=("Siemens",), created_to=datetime(2017, 6, 8, 6, 0, tzinfo=UTC))
-    assert p.view("T1w", "exact", siemens).count() == 0  # the representative is the later one
-    assert Profiler(loaded[0], filter_first=True, snapshots=False).view("T1w", "exact", siemens).count() == 1
-    assert siemens.echo()["manufacturers"] == ["Siemens"] and p.view("T1w", "raw", ObservationFilters(tasks=("rest",))).count() == 0
+    lumen = ObservationFilters(manufacturers=("Lumen",), created_to=datetime(2021, 3, 14, 6, 0, tzinfo=UTC))
+    assert p.view("T1w", "exact", lumen).count() == 0  # the representative is the later one
+    assert Profiler(loaded[0], filter_first=True, snapshots=False).view("T1w", "exact", lumen).count() == 1
+    assert lumen.echo()["manufacturers"] == ["Lumen"] and p.view("T1w", "raw", ObservationFilters(tasks=("rest",))).count() == 0
 
 
 def test_load_again_and_update(spark, tmp_path):
@@ -164,7 +167,7 @@ def test_dump(spark, tmp_path):
     assert (s.page_count, s.inserted_count, s.updated_count) == (1, 2, 0)
     r = store.read("T1w").where("source_api_id = 'a'").first()
     assert (r.flip_angle, r.cnr, r.source_page) == (7, 0.01, None) and r.raw_payload_path.endswith("archive.T1w.json#item=1")
-    assert r.source_created_at == r.source_updated_at == datetime(2017, 6, 8, 5, 54, 47) and json.loads(r.payload_extra["nested"]) == [{"deep": 42}]
+    assert r.source_created_at == r.source_updated_at == datetime(2021, 3, 14, 5, 12, 5) and json.loads(r.payload_extra["nested"]) == [{"deep": 42}]
     s = store.load_dump(str(root)).modalities["T1w"]
     assert (s.inserted_count, s.updated_count) == (0, 2) and store.read("T1w").count() == 2
     path.write_text(json.dumps([extended(item("T1w", x)) for x in "abc"]))
@@ -230,11 +233,31 @@ def test_api_and_cache(loaded):
     assert api.answer("/modalities/T1w/metrics/cjv", bins=0)[0] == 422 and api.answer("/health")[0] == 200
     assert len(api.answer("/modalities")[1]) == 3 and api.answer("/modalities/bold/duplicates/series")[0] == 200
     now = [100.0]
-    cache = TimedCache(5, 2, clock=lambda: now[0])
-    assert cache.get_or_set("a", lambda: 1) == (1, False) and cache.get_or_set("a", lambda: 2) == (1, True)
+    answers = Answers(5, 2, now=lambda: now[0])
+    answers.keep("a", 1)
+    assert answers.recall("a").answer == 1 and answers.recall("b") is None
+    answers.keep("b", 2)
+    answers.recall("a")
+    answers.keep("c", 3)
+    assert answers.recall("b") is None and answers.recall("a").answer == 1
     now[0] += 6
-    assert cache.get_or_set("a", lambda: 2) == (2, False)
-    assert cache.get_or_set("n", lambda: None) == (None, False) and cache.get_or_set("n", lambda: 3) == (3, False)
+    assert answers.recall("a") is None
+    answers.keep("a", 4)
+    answers.forget()
+    assert answers.recall("a") is None
+
+
+def test_quantiles_of_groups(spark):
+    """Exact percentiles as a sort gives them: ties, few rows, null groups, groups without values."""
+    rng = random.Random(5)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3001)] + [("b", float(rng.randrange(4))) for _ in range(500)] + [(None, 1.5), (None, 2.5), ("c", None), ("d", float("nan")), ("e", 7.0)]
+    got = {r.g: r for r in profile.metric_stats(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", ["g"]).collect()}
+    assert set(got) == {"a", "b", None, "c", "d", "e"}
+    for g, r in got.items():
+        own = sorted(v for k, v in rows if k == g and v is not None and v == v)
+        for name, p in profile.QUANTILES.items():
+            want = None if not own else float(np.quantile(own, p))
+            assert (r[name] is None) if want is None else r[name] == pytest.approx(want, abs=1e-12)
 
 
 def test_written_profile_and_cli(spark, loaded, tmp_path, capsys):
@@ -255,7 +278,7 @@ def test_streamed_pages(spark, tmp_path):
     ingest(store, str(run), "bold", str(tmp_path / "check")).awaitTermination()
     write_page(run, "bold", 2, [item("bold", "b", md5="b" * 32), item("bold", "a", manufacturer="GE")])
     ingest(store, str(run), "bold", str(tmp_path / "check")).awaitTermination()
-    assert {r.source_api_id: r.manufacturer for r in store.read("bold").collect()} == {"a": "GE", "b": "Siemens"}
+    assert {r.source_api_id: r.manufacturer for r in store.read("bold").collect()} == {"a": "GE", "b": "Lumen"}
 
 
 def test_csv_reports(spark, tmp_path):

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from scanlens.functions import labels
 from scanlens.operators import compare
 from scanlens.plans import paging
-from scanlens.plans.files import append_jsonl, run_id, write_json
+from scanlens.plans.files import Folder, new_run, stamp
 from scanlens.plans.sample import pull
 from scanlens.sources.api import ApiError, fetch_page, page_url, read_api
 
@@ -83,7 +83,7 @@ def test_pull(spark, base, tmp_path):
     plan = json.loads((run / "plans" / "T1w.json").read_text())
     assert {p["page"] for p in plan} == {1, 2, 3, 4, 5, 6, 7, 8} and next(p for p in plan if p["page"] == 8)["reasons"] == ["linear", "probe", "tail"]
     assert got["modalities"]["T1w"]["items"] == 16 and len(list((run / "raw" / "T1w").iterdir())) == 8
-    assert len((run / "manifest" / "T1w-items.jsonl").read_text().splitlines()) == 16
+    assert spark.read.json(str(run / "manifest" / "T1w-items.jsonl")).count() == 16 and spark.read.json(str(run / "manifest" / "T1w-pages.jsonl")).count() == 8
 
 
 def test_evenly_spaced(spark):
@@ -115,12 +115,20 @@ def test_files(tmp_path):
     from datetime import UTC, datetime
     from decimal import Decimal
 
-    write_json(tmp_path / "a" / "b.json", {"z": Decimal("1.5"), "a": datetime(2020, 1, 1, tzinfo=UTC)})
-    assert (tmp_path / "a" / "b.json").read_text() == '{\n  "a": "2020-01-01T00:00:00+00:00",\n  "z": 1.5\n}\n'
-    append_jsonl(tmp_path / "m.jsonl", [{"b": 1}])
-    append_jsonl(tmp_path / "m.jsonl", [{"b": 2}])
-    assert (tmp_path / "m.jsonl").read_text() == '{"b": 1}\n{"b": 2}\n'
-    assert run_id(datetime(2026, 4, 16, 17, 59, 35, tzinfo=UTC)) == "20260416T175935Z"
+    folder = new_run(str(tmp_path), "r") / "a"
+    folder.put_json("b.json", {"z": Decimal("1.5"), "a": datetime(2020, 1, 1, tzinfo=UTC)})
+    assert folder.name == f"{tmp_path}/runs/r/a"
+    assert json.loads((tmp_path / "runs" / "r" / "a" / "b.json").read_text()) == {"z": 1.5, "a": "2020-01-01T00:00:00+00:00"}
+    Folder(tmp_path.as_uri()).put("c.txt", "é")
+    assert (tmp_path / "c.txt").read_bytes() == "é".encode()
+    with pytest.raises(TypeError):
+        folder.put_json("b.json", object())
+    assert stamp(datetime(2026, 4, 16, 17, 59, 35, tzinfo=UTC).timestamp()) == "20260416T175935Z"
+
+
+def test_view_and_metrics_of_a_comparison():
+    assert compare.compared_view("series", True) == "raw" and compare.compared_view("series", False) == "series"
+    assert compare.chosen_metrics(["a", "b", "a"]) == ["a", "b"] and len(compare.chosen_metrics([str(i) for i in range(30)])) == compare.MOST_METRICS
 
 
 def test_display_range():
