@@ -207,3 +207,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
     docs, items = frames.table(spark, sf_dir, "documents"), frames.table(spark, sf_dir, "benchmark")
     return contamination(docs.select("doc_id", "text"), items, with_spans=False).drop("text")
+
+
+#: op10_decontamination in DuckDB: a join of the windows of items with the runs of as many words of documents.
+SQL = r"""WITH d AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (SELECT DISTINCT item, size, array_to_string(w[p : p + size - 1], ' ') AS g FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM i WHERE len(w) > 0)),
+z AS (SELECT DISTINCT size FROM v),
+t AS (SELECT doc_id, p, size, array_to_string(w[p : p + size - 1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM d, z WHERE len(w) >= size)),
+h AS (SELECT t.doc_id, t.p, t.size, v.item FROM t JOIN v ON t.size = v.size AND t.g = v.g),
+k AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM h) GROUP BY 1),
+m AS (SELECT doc_id, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS sha FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items, coalesce(m.sha, sha256('')) AS items_sha256, coalesce(k.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)"""

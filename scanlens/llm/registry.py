@@ -16,4 +16,4 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-SQL: dict[str, str] = {**topk.SQL}
+SQL: dict[str, str] = {**topk.SQL, "op5_jaccard_join": jaccard_join.SQL, "op10_decontamination": decontaminate.SQL}
