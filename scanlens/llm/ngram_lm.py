@@ -32,7 +32,7 @@ END = np.uint64(0x2545F4914F6CDD1D)
 #: Words of the longest n-grams, probes for their first level (a missing n-gram is found with probability 2**-PROBES; further levels take half as many), the share of each order in a probability.
 ORDER, PROBES, WEIGHT = 2, 12, 0.4
 #: Bytes of text for each bucket, bytes of text that are counted together, bytes of a model that's broadcast, bytes of texts or model that are looked up in one place, bytes of text that ask together.
-BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES, ASK_BYTES = 8 << 20, 16 << 20, 96 << 20, 64 << 20, 8 << 20
+BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES, ASK_BYTES = 8 << 20, 16 << 20, 160 << 20, 64 << 20, 8 << 20
 MODEL = "bucket int, buckets int, tokens long, distinct long, words binary, counts binary, bits long, filter binary"
 MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -157,17 +157,17 @@ class Slice:
 
     def __init__(self, rows, buckets: int, probes: int):
         self.buckets, self.probes = buckets, probes
-        words = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r.words, "<u8") for r in rows)])
-        counts = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(r.counts, "<i8") for r in rows)])
+        words, counts, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], bytearray(1)
+        self.bits, self.first, self.here = np.ones(buckets, np.uint64), np.zeros(buckets, np.int64), np.zeros(buckets, bool)
+        for r in rows:  # one at a time: only their contents stay
+            words.append(np.frombuffer(r.words, "<u8"))
+            counts.append(np.frombuffer(r.counts, "<i8"))
+            self.bits[r.bucket], self.first[r.bucket], self.here[r.bucket] = r.bits, len(held), True
+            held += r.filter
+        self.filter = np.frombuffer(held, np.uint8)
+        words, counts = np.concatenate(words), np.concatenate(counts)
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.bits, self.first, self.here = np.ones(buckets, np.uint64), np.zeros(buckets, np.int64), np.zeros(buckets, bool)
-        parts, at = [np.zeros(1, np.uint8)], 1
-        for r in rows:
-            self.bits[r.bucket], self.first[r.bucket], self.here[r.bucket] = r.bits, at, True
-            parts.append(np.frombuffer(r.filter, np.uint8))
-            at += len(parts[-1])
-        self.filter = np.concatenate(parts)
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
         """The training count of each token, 0 for those that other buckets hold."""
@@ -250,7 +250,7 @@ def score(
     if (known.size or 0) > broadcast_bytes:
         out = routed(rows, model, schema, finish, order, probes, buckets, int(known.size), route_bytes)
         return out.toDF(*names, *[f.name for f in made])
-    sent = docs.sparkSession.sparkContext.broadcast(Slice(list(model.toLocalIterator()), buckets, probes))
+    sent = docs.sparkSession.sparkContext.broadcast(Slice(model.toLocalIterator(), buckets, probes))
 
     def run(batches):
         use = sent.value
@@ -264,11 +264,13 @@ def score(
 
 
 def dealt(values: np.ndarray, buckets: int, routes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values route by route, and where each route begins (one more)."""
-    values = np.unique(values)
-    route = bucket_of(values, buckets) % routes
-    by = np.argsort(route, kind="stable")
-    return values[by], np.searchsorted(route[by], np.arange(routes + 1))
+    """The places of values, route by route and in each by value, and where each route begins (one more)."""
+    by = np.argsort(values)
+    route = bucket_of(values[by], buckets) % routes
+    if routes <= 1 << 16:
+        route = route.astype(np.uint16)  # these are sorted by counting
+    order = np.argsort(route, kind="stable")
+    return by[order], np.searchsorted(route[order], np.arange(routes + 1))
 
 
 def six_bytes(values: np.ndarray) -> bytes:
@@ -297,15 +299,16 @@ def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, orde
 
     def ask(table: pa.Table) -> pa.Table:
         tokens, starts = tokens_in(table)
-        words, a = dealt(tokens, buckets, routes)
-        grams, b = dealt(every(grams_of(tokens, starts, order)), buckets, routes)
+        words, grams = np.unique(tokens), every(grams_of(tokens, starts, order))
+        (i, a), (j, b) = dealt(words, buckets, routes), dealt(grams, buckets, routes)
+        words, grams = words[i], grams[j]
         known = low_bits(grams) | (bucket_of(grams, buckets) // routes).astype(np.uint64) << np.uint64(40)
         some = [r for r in range(routes) if a[r + 1] > a[r] or b[r + 1] > b[r]]
         columns = [pa.array(some, pa.int32()), pa.array([table["pack"][0].as_py()] * len(some), pa.int64()), pa.array([words[a[r] : a[r + 1]].tobytes() for r in some], pa.binary()), pa.array([six_bytes(known[b[r] : b[r + 1]]) for r in some], pa.binary())]
         return pa.Table.from_arrays(columns, ["route", "pack", "words", "grams"])
 
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        use, out = Slice(list(held.itertuples()), buckets, probes), []
+        use, out = Slice(held.itertuples(), buckets, probes), []
         for r in asked.itertuples():
             g = from_six(r.grams)
             bucket = (g >> np.uint64(40)).astype(np.int64) * routes + r.route
@@ -317,17 +320,16 @@ def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, orde
         grams = grams_of(tokens, starts, order)
 
         def found(values, name, kind):
-            keys, edges = dealt(values, buckets, routes)
-            out = np.zeros(len(keys), kind)
+            places, edges = dealt(values, buckets, routes)
+            out = np.zeros(len(values), kind)
             for r, x in zip(right["route"].to_pylist(), right[name].to_pylist(), strict=True):
-                out[edges[r] : edges[r + 1]] = np.frombuffer(x, kind)
-            by = np.argsort(keys)
-            keys, out = keys[by], out[by]
-            return lambda x: out[np.searchsorted(keys, x)]
-
-        counts = found(tokens, "counts", np.int64)(tokens)
-        level = found(every(grams), "levels", np.int8)
-        levels = levels_of(grams, starts, counts, lambda k, g, caps: level(g))
+                out[places[edges[r] : edges[r + 1]]] = np.frombuffer(x, kind)
+            return out
+
+        words, word = np.unique(tokens, return_inverse=True)
+        counts = found(words, "counts", np.int64)[word]
+        raw = np.split(found(every(grams), "levels", np.int8), len(grams)) if grams else []
+        levels = levels_of(grams, starts, counts, lambda k, g, caps: raw[k])
         return pa.Table.from_arrays(finish(left, tokens, starts, counts, levels), schema.names)
 
     asked = texts.select("pack", "body").groupBy("pack").applyInArrow(ask, "route int, pack long, words binary, grams binary")
