@@ -76,9 +76,10 @@ def select_block(candidates: DataFrame, queries: DataFrame, k: int, largest: int
     ids, block = np.array([r.id for r in got], np.int64), np.zeros((len(got), dim), np.int64)
     for i, r in enumerate(got):
         block[i, : len(r.v)] = r.v
-    if dim * largest * int(np.abs(block.astype(object)).max()) >= 1 << 62:
+    sums = [sum(abs(x) for x in row) for row in block.tolist()]
+    if largest * max(sums) >= (1 << 62) - 1:
         raise ValueError("inner products of these vectors don't fit 64-bit integers")
-    reach = dim * largest * np.abs(block).max(axis=1) + 1  # no score of the query is larger in size
+    reach = np.array([largest * x + 1 for x in sums], np.int64)  # no score of the query is larger in size
     low, high, width = -reach, reach + 1, -(-(2 * reach + 1) // bins)
     wanted, over = np.full(len(ids), k), np.zeros(len(ids), np.int64)  # of the bins at hand; rows at or over `low`
     scorer = spark.sparkContext.broadcast((ids, block, largest))
@@ -93,10 +94,11 @@ def select_block(candidates: DataFrame, queries: DataFrame, k: int, largest: int
             back = np.full(len(open_), -1)
             back[rows] = np.arange(len(rows))
             total = np.zeros(len(rows) * bins, np.int64)
-            lows, highs, widths = (x[rows].astype(np.float64)[:, None] for x in (low, high, width))
+            whole = use.kind is np.int64  # floats would round these scores
+            lows, highs, widths = (x[rows].astype(np.int64 if whole else np.float64)[:, None] for x in (low, high, width))
             first = np.arange(len(rows))[:, None] * bins
             for _, scores, (q, c) in use.steps(batches):
-                place = np.floor((scores - lows) / widths)
+                place = (scores - lows) // widths if whole else np.floor((scores - lows) / widths)
                 inside = (place >= 0) & (scores < highs)
                 mine = back[q] >= 0
                 inside[back[q[mine]], c[mine]] = False
