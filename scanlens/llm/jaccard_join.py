@@ -21,6 +21,7 @@ Equal sets are one node from the start.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 from itertools import pairwise
 
 import numpy as np
@@ -195,8 +196,8 @@ def frequent(keys: np.ndarray, least: int) -> np.ndarray:
 PACKED = ["bucket", "keys", "places", "nodes", "spares", "counts", "sums"]
 
 
-def packer(text: str, size: int, plan: Plan, buckets: int):
-    """Keys of documents as rows (bucket, keys, places, nodes, spares): the nodes of a row and, for each key, which of them it's of.
+def packer(text: str, size: int, keys_of, buckets: int):
+    """Keys of documents (keys_of: sets to keys, owners, keys to spare) as rows (bucket, keys, places, nodes, spares): the nodes of a row and, for each key, which of them it's of.
 
     A frequent key is one entry (its least node) with the number and the hash of its other nodes (counts, sums).
     Its nodes go to a bucket beyond the others, which the pack picks, so that they are spread however many there are.
@@ -255,7 +256,7 @@ def packer(text: str, size: int, plan: Plan, buckets: int):
                     new.append(i)
             new = np.array(new, np.int64)
             n = np.diff(firsts)[new]
-            k, o, spare = segment_keys(values[ragged(firsts[new], n)], np.concatenate([[0], np.cumsum(n)]), plan)
+            k, o, spare = keys_of(values[ragged(firsts[new], n)], np.concatenate([[0], np.cumsum(n)]))
             found.append((k, o + base, prints[new], spare))
             base += len(new)
             held += part.nbytes
@@ -518,9 +519,11 @@ def pairs_of(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, keys=None, keys_each: int = 0) -> DataFrame:
     """Per row: the id, n_shingles and component_id (the smallest id that links reach, its own included).
 
+    keys: makes other join keys than segments, as segment_keys does, about keys_each for each row.
+
     Rows without words are linked with nothing and their own component. Rows of one text always share a
     component. Null ids can be members but name a component only if it has no other id; repeated rows stay;
     other columns aren't kept; an empty table gives an empty one. Very long texts are sets like others, in
@@ -538,10 +541,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([column(part, "id"), column(part, "hash"), pa.array(np.diff(firsts)), pa.array(fingerprints(values, firsts)), pa.array(sketches, pa.binary())], ["id", "hash", "size", "node", "sketch"])
 
     rows = scratch.written(docs.mapInArrow(describe, f"id {kind}, hash long, size long, node long, sketch binary"), "sets")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, int(0.55 * total / BUCKET_KEYS))
+    total = rows.count() * keys_each if keys else 0.55 * (rows.agg(F.sum("size")).first()[0] or 0)
+    buckets = max(1, int(total / BUCKET_KEYS))
     kinds = "bucket int, keys binary, places binary, nodes binary, spares binary, counts binary, sums binary"
-    packed = docs.select("text").mapInArrow(packer("text", size, plan, buckets), kinds)
+    packed = docs.select("text").mapInArrow(packer("text", size, keys or partial(segment_keys, plan=plan), buckets), kinds)
     met = scratch.written(packed.groupBy("bucket").applyInPandas(meeter(buckets), MET), "met")
     described = scratch.written(rows.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch")), "sketches")
     pairs = scratch.written(possible(met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")), described, plan), "pairs")
@@ -596,13 +599,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(frames.table(spark, sf_dir, "documents"))
 
 
-#: op5_jaccard_join in DuckDB: all pairs that share a shingle, and a walk from each document along the links.
-SQL = r"""WITH RECURSIVE d AS (
+#: Components in DuckDB for shingles of {size} words: all pairs that share a shingle, and a walk from each document along the links.
+COMPONENTS_SQL = r"""WITH RECURSIVE d AS (
  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + {size} - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {size} + 2, 2))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 80 * (x.n + y.n - c.c)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.m, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) m USING (doc_id)"""
+SQL = COMPONENTS_SQL.replace("{size}", str(SIZE))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, langid, line_dedup, ngram_lm, shard_tree, token_counts, token_files, topk
+from . import bpe, decontaminate, divergence, jaccard_join, langid, line_dedup, minhash_dedup, ngram_lm, shard_tree, token_counts, token_files, topk, whitening
 
 QUERIES = {
     "op1_shard_tree": shard_tree.op1_shard_tree,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_minhash_dedup": minhash_dedup.op11_minhash_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
-SQL: dict[str, str] = {**topk.SQL, "op5_jaccard_join": jaccard_join.SQL, "op10_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {**topk.SQL, "op5_jaccard_join": jaccard_join.SQL, "op10_decontamination": decontaminate.SQL, "op11_minhash_dedup": minhash_dedup.SQL, "op13_source_divergence": divergence.SQL}
