@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from . import frames
 from .frames import Scratch
 
-#: Fixed value: what a term is made of, once A-Z are lower-cased.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between terms. (A split by it gives the matches of its complement; regexp_extract_all copies the whole text for each match.)
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Documents that a kept term needs, ranks of the terms of a group, parts into which a language's terms are dealt when they are crossed with its groups.
 LEAST_DOCS, TOP, DEALT = 10, 10, 64
@@ -33,9 +33,9 @@ APART = "(p - q) * (p - q) div (p + q)"
 def term_counts(rows: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): the occurrences of each term in a group, and the group's documents with it. A row's terms are sorted, so that each one's first is known without another shuffle."""
     body = F.translate("text", UPPER, LOWER)
-    found = rows.select("lang", "source", F.sort_array(F.regexp_extract_all(body, F.lit(TERM), F.lit(0))).alias("terms"))
+    found = rows.select("lang", "source", F.sort_array(F.split(body, BETWEEN)).alias("terms"))
     marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(F.col("terms"), i - 1))).alias("first")))
-    each = found.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.first")
+    each = found.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.first").where("term <> ''")  # a split leaves empty ends
     return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
 
 
