@@ -88,3 +88,57 @@ def test_op10_documents(spark):
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows, key=str) == brute(docs, items) and any(r[-1] for r in rows)
+
+
+@pytest.mark.parametrize("item_bytes", [1 << 25, 100])
+def test_op10_repetitive_texts(spark, item_bytes):
+    """An item of one word many times, in a text of that word: no list of all pairs of places."""
+    items = [(1, "a " * 1000), (2, "a " * 1000), (3, "a " * 9), (4, "a b " * 400), (5, "b")]
+    docs = [(1, "a " * 200_000), (2, "a " * 100_000 + "b " + "a " * 8), (3, "b a " * 30_000), (4, "c " * 50_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contamination(df, bench, with_spans=False, item_bytes=item_bytes).drop("text").collect()
+    assert sorted((tuple(r) for r in rows), key=str) == brute(docs, items)
+
+
+def test_op10_spans_of_repetitive_texts():
+    """Spans are exactly the longest runs on each diagonal."""
+    import numpy as np
+
+    rng = random.Random(8)
+    for _ in range(60):
+        say = lambda n: [rng.choice("aab") for _ in range(n)]
+        docs, items, window = [say(rng.randrange(40)) for _ in range(3)], [say(rng.randrange(1, 12)) for _ in range(4)], rng.choice([1, 2, 4, 5])
+        texts = sorted({" ".join(t) for t in items})
+        own = decontaminate.Items([[t] for t in texts], texts, window)
+        data, offsets = decontaminate.text_bytes(decontaminate.pa.array([" ".join(d) for d in docs], decontaminate.pa.large_string()))
+        _, _, hashes, firsts = decontaminate.spans(data, offsets, decontaminate.ALNUM)
+        shard = decontaminate.Shard(hashes, firsts, window)
+        names = shard.item_words(own)
+        text, item_word, place, length = shard.spans(own, names, *shard.ranges(own, names))
+        got = sorted((texts[t], int(w), int(shard.doc[p]), int(p - shard.starts[shard.doc[p]]), int(n)) for t, w, p, n in zip(text, item_word, place, length, strict=True))
+        want = []
+        for t in texts:
+            w = t.split()
+            for d, x in enumerate(docs):
+                for i in range(len(w)):
+                    for j in range(len(x)):
+                        if i and j and w[i - 1] == x[j - 1] and len(w) >= window:
+                            continue
+                        n = 0
+                        while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                            n += 1
+                        if n >= window or (len(w) < window and i == 0 and n == len(w)):
+                            want.append((t, i, d, j, n))
+        assert got == sorted(want)
+
+
+def test_op10_blocks_of_items(spark):
+    """Equal items are one text; blocks follow sizes."""
+    items = [(i, "the same text of an item") for i in range(500)] + [(1000 + i, f"item number {i} " * 5) for i in range(300)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = list(decontaminate.blocks(bench, 4000, decontaminate.Scratch(spark, "test")))
+    assert [last for *_, last in got] == [False] * (len(got) - 1) + [True] and len(got) > 4
+    assert sum(len(texts) for _, texts, _ in got) == 301
+    assert sorted(i for ids, _, _ in got for own in ids for i in own) == sorted(str(i) for i, _ in items)
+    assert all(sum(len(t) + sum(map(len, own)) + 16 for own, t in zip(ids, texts, strict=True)) <= 4000 or len(texts) == 1 for ids, texts, _ in got)
