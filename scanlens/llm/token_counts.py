@@ -42,35 +42,47 @@ def count_tokens(docs: DataFrame, cache_path: str, *, tokenizer_path: str = TOKE
     cache_path: a folder in shared storage; made at the first use, appended to later. Copies are put together
     by digest before and after the shuffle, so a text that fills a third of the table is encoded once. Null
     texts count as empty ones (0 tokens); all rows stay, repeated ones too; ids aren't looked at; an empty
-    table gives an empty table. An append is one Spark job: if it fails nothing of it is seen. Two runs that
-    append the same digests at once leave equal entries, which are read as one.
+    table gives an empty table. An append is one Spark job: if it fails nothing of it is seen. Runs that append
+    the same digests at once, first runs too, leave equal entries, which are read as one.
     """
     spark, version = docs.sparkSession, file_digest(tokenizer_path)
     body = whole(frames.named(text))
-    texts = docs.select(F.sha2(body.cast("binary"), 256).alias("content"), body.alias("body"))
-    misses = texts.groupBy("content").agg(F.first("body").alias("body"))
-    known = read_cache(spark, cache_path)
-    if known is not None:
-        misses = misses.join(known.where(F.col("tokenizer") == version).select("content"), "content", "left_anti")
+    content = F.sha2(body.cast("binary"), 256).alias("content")
+    append_misses(docs.select(content, body.alias("body")), cache_path, tokenizer_path)
+    stored = read_cache(spark, cache_path)
+    stored = stored.where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+    own = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    # the documents' columns are in one struct, so that no name of theirs can clash with ours
+    narrow = docs.select(F.struct(*[frames.named(c) for c in own]).alias("doc"), F.octet_length(body).cast("long").alias("n_bytes"), content)
+    out = narrow.join(stored, "content", "left")
+    return out.select(*[F.col("doc")[c].alias(c) for c in own], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def missing(texts: DataFrame, cache_path: str, version: str) -> DataFrame:
+    """(content, body): the distinct texts that the cache lacks for a tokenizer."""
+    distinct = texts.groupBy("content").agg(F.first("body").alias("body"))
+    known = read_cache(texts.sparkSession, cache_path)
+    return distinct if known is None else distinct.join(known.where(F.col("tokenizer") == version).select("content"), "content", "left_anti")
+
+
+def append_misses(texts: DataFrame, cache_path: str, tokenizer_path: str = TOKENIZER) -> None:
+    """Encode those of the texts (content, body) that the cache lacks, and append their counts to it."""
+    version = file_digest(tokenizer_path)
 
     def run(batches):
         use = encoder(tokenizer_path)
         for part in pieces(batches, "body"):
-            counts = pa.array(use.count(column(part, "body").to_pylist()))
-            yield pa.RecordBatch.from_arrays([column(part, "content"), pa.array([version] * part.num_rows, pa.string()), counts], ["content", "tokenizer", "n_tokens"])
+            content, counts = column(part, "content"), pa.array(use.count(column(part, "body").to_pylist()))
+            yield pa.RecordBatch.from_arrays([content, pa.array([version] * part.num_rows, pa.string()), counts], ["content", "tokenizer", "n_tokens"])
 
-    misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache_path)
-    stored = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version)
-    if known is not None:
-        stored = stored.dropDuplicates(["content"])
-    own = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    # the documents' columns are in one struct, so that no name of theirs can clash with ours
-    narrow = docs.select(F.struct(*[frames.named(c) for c in own]).alias("doc"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("content"))
-    out = narrow.join(stored.select("content", "n_tokens"), "content", "left")
-    return out.select(*[F.col("doc")[c].alias(c) for c in own], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = missing(texts, cache_path, version).mapInArrow(run, CACHE)
+    counted.write.mode("append").parquet(cache_path)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, from a cache that is new for this call (so that every call encodes all distinct texts)."""
-    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return count_tokens(docs, frames.new_folder(spark, "token-cache"))
+    """Token counts of all documents, by a cache that is new for this call: a first call fills it with the texts whose digest begins with 0 to 7, a second one, on all documents, finds these there and encodes the rest."""
+    docs, cache = frames.table(spark, sf_dir, "documents").select("doc_id", "text"), frames.new_folder(spark, "token-cache")
+    body = whole(F.col("text"))
+    texts = docs.select(F.sha2(body.cast("binary"), 256).alias("content"), body.alias("body"))
+    append_misses(texts.where(F.col("content") < "8"), cache)
+    return count_tokens(docs, cache)

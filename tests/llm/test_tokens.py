@@ -161,3 +161,34 @@ def test_op7_of_nothing(spark, docs):
     path = frames.new_folder(spark, "files")
     token_files.write(docs.where(F.lit(False)), path)
     assert token_files.read(spark, path).count() == 0
+
+def test_op2_two_first_runs_at_once(spark, docs, monkeypatch):
+    """Both see no cache and append all: rows don't double."""
+    path = frames.new_folder(spark, "cache")
+    want = sorted(map(tuple, token_counts.count_tokens(docs, frames.new_folder(spark, "cache")).collect()), key=str)
+    missing = token_counts.missing
+    other = missing(docs.select(F.sha2(token_counts.whole(F.col("text")).cast("binary"), 256).alias("content"), token_counts.whole(F.col("text")).alias("body")), path, "")
+
+    def late(texts, cache_path, version):
+        out = missing(texts, cache_path, version)
+        counted = spark.createDataFrame([(r.content, version, len(library_ids([r.body])[0])) for r in other.collect()], token_counts.CACHE)
+        counted.write.mode("append").parquet(cache_path)  # the other run ends first
+        return out
+
+    monkeypatch.setattr(token_counts, "missing", late)
+    assert sorted(map(tuple, token_counts.count_tokens(docs, path).collect()), key=str) == want
+
+
+def test_op2_query_meets_hits_and_misses(spark, monkeypatch):
+    seen = []
+    missing = token_counts.missing
+
+    def watched(*args):
+        out = missing(*args)
+        seen.append("LeftAnti" in out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(token_counts, "missing", watched)
+    got = {r.doc_id: r.n_tokens for r in token_counts.op2_token_counts(spark, SF).collect()}
+    rows = frames.table(spark, SF, "documents").collect()
+    assert seen == [False, True] and got == dict(zip([r.doc_id for r in rows], map(len, library_ids([r.text for r in rows])), strict=True))
