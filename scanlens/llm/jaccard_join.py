@@ -37,8 +37,10 @@ from .pretoken import mix
 from .words import NOT_BLANK, shingles, spans
 
 SIZE, PERCENT = 5, 80
-#: Keys that a bucket of the join holds (about), bytes of text whose keys are packed together, documents of a key whose pairs are all taken, documents of a pack from which on a key is sent as one entry, and documents that are compared by sketches at a time.
-BUCKET_KEYS, PACK_BYTES, FEW, FREQUENT, BLOCK = 1_000_000, 16 << 20, 6, 256, 2048
+#: Keys that a bucket of the join holds (about), bytes of text whose keys are packed together, documents of a key whose pairs are all taken, documents of a pack from which on a key is sent as one entry.
+BUCKET_KEYS, PACK_BYTES, FEW, FREQUENT = 1_000_000, 16 << 20, 6, 256
+#: A key's documents that are compared by sketches at a time: blocks of so many, larger ones if there would be more blocks than MOST_BLOCKS (each document is sent once for each block), of so many bytes of sketches at most.
+BLOCK, MOST_BLOCKS, BLOCK_BYTES = 2048, 8, 64 << 20
 #: Bits of a sketch: at least four for each shingle, within these bounds. Bits of the filter that says which sets are looked at again, at most.
 LEAST_BITS, MOST_BITS, FILTER_BITS = 256, 1 << 16, 1 << 26
 BAND = 1.4  # at least; wider for thresholds under 72 percent
@@ -448,17 +450,24 @@ def nearest(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, d[rows].argmin(axis=1), n[rows] > 1
 
 
-def across(members: DataFrame, described: DataFrame, roots: DataFrame, plan: Plan, everyone: bool) -> DataFrame:
+def across(members: DataFrame, described: DataFrame, roots: DataFrame, plan: Plan, open_: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of documents of different components that share a key and whose sketches don't rule a link out.
 
-    members: key, node, open. A key's documents are compared in blocks, a row for each pair of blocks. Every
-    open document gives its nearest partner in each block (more: whether it has others there) or, with
-    everyone, all its partners.
+    members: key, node. A key's documents are compared in blocks, a row for each pair of blocks. Every document
+    gives its nearest partner in each block (more: whether it has others there) or, with open_ (key, node), each
+    of these gives all its partners.
     """
+    everyone = open_ is not None
+    if everyone:
+        members = members.join(small(open_.select("key").distinct()), "key", "left_semi")
     members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("open").alias("some")).where("r <> s and some")
-    mixed = mixed.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(mixed, "key").join(described.select("node", "size", "sketch"), "node")
+    mixed = members.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+    members = members.join(mixed, "key")
+    flags = open_.withColumn("open", F.lit(True)) if everyone else None
+    members = members.join(small(flags), ["key", "node"], "left").na.fill(False, ["open"]) if everyone else members.withColumn("open", F.lit(True))
+    sizes = members.join(described.select("node", F.greatest(F.lit(LEAST_BITS // 8), F.least("size", F.lit(MOST_BITS // 8))).alias("bytes")), "node").groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.sum("bytes").alias("bytes"))
+    blocks = F.greatest(F.least(F.ceil(F.col("many") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = members.join(sizes.select("key", blocks.alias("blocks")), "key").join(described.select("node", "size", "sketch"), "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "size", "sketch", "open")
 
@@ -574,15 +583,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
     left, right = roots.select(F.col("node").alias("a"), F.col("root").alias("r")), roots.select(F.col("node").alias("b"), F.col("root").alias("s"))
     apart = F.coalesce("r", "a") != F.coalesce("s", "b")
     rest = pairs.join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b")
-    found = scratch.written(across(members.withColumn("open", F.lit(True)), described, roots, plan, False), "nearest")
+    found = scratch.written(across(members, described, roots, plan), "nearest")
     next_pairs = scratch.written(rest.unionByName(pairs_of(found)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     tried, links = tried.unionByName(next_pairs), links.unionByName(linked(next_pairs))
     open_ = scratch.written(found.where("more").select("key", F.col("x").alias("node")).distinct(), "open")
     if open_.count():  # documents with more than one partner in a block: those of other components still
         roots = components(links)
-        keys = members.join(small(open_.select("key").distinct()), "key", "left_semi")
-        keys = keys.join(small(open_.withColumn("is_open", F.lit(True))), ["key", "node"], "left").select("key", "node", F.coalesce("is_open", F.lit(False)).alias("open"))
-        last = scratch.written(pairs_of(across(keys, described, roots, plan, True)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        last = scratch.written(pairs_of(across(members, described, roots, plan, open_)).join(tried, ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(linked(last))
     roots = components(links)
     scratch.drop(members, described, pairs, found, open_, *known)
