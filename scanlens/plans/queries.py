@@ -9,15 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import labels, values
 from ..operators import compare, duplicates, profile, views
 from ..operators.filters import ObservationFilters, apply_filters
+from ..sources.folders import new_shared_folder
 from ..sources.pages import item_manifest, missing_of, page_items, page_summary, sample_summary
 from ..spec import DatasetSpec, modality
 from . import merge, paging
+from .tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -450,3 +453,36 @@ def parsed_observations(spark, d):
 def filter_options(spark, d):
     """What a filter offers: the most frequent values of all rows."""
     return profile.top_values(events(spark, d), "event_type", compare.FILTER_OPTIONS)
+
+
+# A table of events through three loads: those that aren't clicks; those that aren't purchases, by users one higher (an update keeps the user, its series key is of the new one); all, of which known ones are skipped.
+LOADS_SQL = """a AS (SELECT event_id, ts, user_id, event_type, event_type <> 'click' AS one, event_type <> 'purchase' AS two FROM events),
+ f AS (SELECT event_id, ts, event_type, CASE WHEN two AND NOT one THEN user_id + 1 ELSE user_id END AS user_id, CASE WHEN two THEN 'second' WHEN one THEN 'first' ELSE 'third' END AS note,
+  CASE WHEN two THEN user_id + 1 ELSE user_id END || '|' || event_type AS series_key FROM a)"""
+LOADED = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("event_type", "note", "exact_key", "series_key"))])
+
+
+def loaded_events(spark: SparkSession, d: str) -> Tables:
+    """The three loads, into a fresh store."""
+    tables, rows = Tables(spark, new_shared_folder(spark, "loads")), table(spark, d, "events")
+    key = lambda user: F.concat(user.cast("string"), F.lit("|"), F.col("event_type"))
+
+    def load(note: str, kept: DataFrame, user: Column, last_wins: bool) -> None:
+        own = kept.select("event_id", "ts", user.alias("user_id"), "event_type", F.lit(note).alias("note"), F.md5(F.col("props").cast("binary")).alias("exact_key"), key(user).alias("series_key"))
+        tables.merge_rows(EVENTS, LOADED, own, last_wins=last_wins, keep=("user_id",))
+
+    load("first", rows.where("event_type <> 'click'"), F.col("user_id"), True)
+    load("second", rows.where("event_type <> 'purchase'"), F.col("user_id") + 1, True)
+    load("third", rows, F.col("user_id"), False)
+    return tables
+
+
+@query(f"WITH {LOADS_SQL} SELECT event_id, user_id, event_type, note, series_key FROM f")
+def loaded_rows(spark, d):
+    return loaded_events(spark, d).pin().read("events", LOADED).select("event_id", "user_id", "event_type", "note", "series_key")
+
+
+@query(f"WITH {LOADS_SQL} SELECT event_id, note, series_key FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(series_key, CAST(event_id AS VARCHAR)) ORDER BY ts DESC NULLS LAST, event_id DESC) AS rn FROM f) WHERE rn = 1")
+def refreshed_series(spark, d):
+    """The stored series view, which has followed load by load."""
+    return loaded_events(spark, d).pin().read("events_series", LOADED).select("event_id", "note", "series_key")

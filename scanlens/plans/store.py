@@ -1,8 +1,8 @@
-"""Observation tables as versioned Parquet snapshots.
+"""Observation tables and their representatives as keyed tables under one commit log (see tables.py).
 
-<root>/<table>/v=N holds the N-th version of a table; a version is one atomic write, and the largest finished
-one is the table. Loads make a new version of the rows and then of the representatives of both duplicate kinds
-(<modality>_exact, <modality>_series), which reads of a view use; until a refresh they may lag behind the rows.
+A load brings rows in and lets the representatives of both duplicate kinds (<modality>_exact, <modality>_series)
+follow in the same state, so that a reader never sees one without the other; with refresh=False they lag behind the
+rows until a refresh.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.views import representatives
 from ..sources import dump, pages
-from ..sources.folders import exists, subfolders
 from ..spec import MODALITIES, modality
 from . import merge
 from .parse import parse, validated
+from .tables import KINDS, State, Tables
 
 KEY = "source_api_id"
 
@@ -41,63 +40,66 @@ class LoadSummary:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """Reads go to the last state, or to the one that was pinned."""
+
+    def __init__(self, spark: SparkSession, root: str, pinned: State | None = None):
+        self.spark, self.root, self._pinned = spark, root.rstrip("/"), pinned
+        self.tables = Tables(spark, self.root)
+
+    def state(self) -> State:
+        return self._pinned or self.tables.pin()
+
+    def pinned(self) -> Store:
+        """A store whose reads are all of one state, whatever is loaded meanwhile."""
+        return Store(self.spark, self.root, self.state())
 
     def version(self, table: str) -> int:
-        """The largest finished version, 0 for none."""
-        found = [int(v[2:]) for v in subfolders(self.spark, f"{self.root}/{table}") if v.startswith("v=") and exists(self.spark, f"{self.root}/{table}/{v}/_SUCCESS")]
-        return max(found, default=0)
+        """The state that changed a table last, 0 if it isn't there."""
+        found = self.state().tables.get(table)
+        return found.changed if found else 0
 
     def versions(self) -> tuple[int, ...]:
         """The versions of all tables: changes with every load and refresh."""
-        return tuple(self.version(t) for m in MODALITIES for t in (m, f"{m}_exact", f"{m}_series"))
-
-    def _write(self, table: str, df: DataFrame) -> None:
-        df.write.parquet(f"{self.root}/{table}/v={self.version(table) + 1}")
+        at = self.state().tables
+        return tuple(at[t].changed if t in at else 0 for m in MODALITIES for t in (m, *(f"{m}_{k}" for k in KINDS)))
 
     def read(self, name: str) -> DataFrame:
         """A modality's rows; an empty table before the first load."""
-        spec, v = modality(name), self.version(name)
-        return self.spark.read.schema(spec.struct).parquet(f"{self.root}/{name}/v={v}") if v else self.spark.createDataFrame([], spec.struct)
+        return self.state().read(name, modality(name).struct)
 
     def snapshot(self, name: str, kind: str) -> DataFrame | None:
         """The stored representatives, None before the first refresh."""
-        spec, v = modality(name), self.version(f"{name}_{kind}")
-        return self.spark.read.schema(spec.struct).parquet(f"{self.root}/{name}_{kind}/v={v}") if v else None
+        state = self.state()
+        return state.read(f"{name}_{kind}", modality(name).struct) if f"{name}_{kind}" in state.tables else None
 
     def create(self) -> None:
-        """Write an empty first version of every table that has none."""
+        """Give every table that isn't there an empty first state."""
         for name in MODALITIES:
-            if not self.version(name):
-                self._write(name, self.spark.createDataFrame([], modality(name).struct))
+            self.tables.create(name)
         self.refresh()
 
     def refresh(self, names: list[str] | None = None) -> None:
-        """Store the representatives of the current rows, sorted so that time filters skip row groups."""
+        """Make the representatives of the current rows anew."""
         for name in names or list(MODALITIES):
-            spec = modality(name)
-            for kind in ("exact", "series"):
-                self._write(f"{name}_{kind}", representatives(self.read(name), spec, kind).sortWithinPartitions(spec.time_col))
+            self.tables.refresh(modality(name), modality(name).struct)
+
+    def vacuum(self, keep: int = 2, seconds: float = 86400.0) -> list[str]:
+        return self.tables.vacuum(keep, seconds)
 
     def staged(self, name: str, rows: DataFrame) -> DataFrame:
-        """rows, written once: parsing is done once, and later plans start from plain columns."""
+        """rows, written once: parsing is done once, and later plans start from plain columns. vacuum() deletes what's left."""
         path = f"{self.root}/_staged/{name}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def merge_rows(self, name: str, rows: DataFrame, last_wins: bool) -> tuple[int, int, int]:
+    def merge_rows(self, name: str, rows: DataFrame, last_wins: bool, refresh: bool = True) -> tuple[int, int, int]:
         """Bring parsed rows in; the numbers of rows, of new keys and of known ones."""
-        target = self.read(name)
         order = ["raw_payload_path", "item_index"] if last_wins else ["item_index"]
         one = merge.one_per_key(rows, KEY, [c for c in (["source_page", *order]) if c in rows.columns], last_wins)
-        first = (target.agg(F.max("id")).first()[0] or 0) + 1
-        one = merge.numbered(one, order, first).withColumn("inserted_at", F.current_timestamp())
-        one = self.staged(name, one)  # ids are given once, whatever reads them again
-        distinct = one.count()
-        known = merge.existing(one.select(KEY), target, KEY).count()
-        self._write(name, merge.conform(merge.upsert(target, one.select(*target.columns), KEY, ["id", "inserted_at"]) if last_wins else merge.insert_or_skip(target, one.select(*target.columns), KEY), target.schema).sortWithinPartitions(modality(name).time_col))
-        return rows.count(), distinct - known, known
+        one = merge.numbered(one, order, 0, "number__").withColumn("inserted_at", F.current_timestamp())
+        one = self.staged(name, one)  # numbers are given once, whatever reads them again
+        new, known = self.tables.merge_rows(modality(name), modality(name).struct, one, last_wins=last_wins, keep=("id", "inserted_at") if last_wins else (), number="number__", views=refresh)
+        return rows.count(), new, known
 
     def load_run(self, run_root: str, names: list[str] | None = None, *, quarantine: bool = False, refresh: bool = True) -> LoadSummary:
         """Load a run's page files; a known observation is replaced by the new one."""
@@ -107,10 +109,8 @@ class Store:
             if items is None:
                 continue
             rows, bad = validated(self.staged(name, parse(items, name)), modality(name), quarantine=quarantine)
-            n, new, known = self.merge_rows(name, rows, last_wins=True)
+            n, new, known = self.merge_rows(name, rows, last_wins=True, refresh=refresh)
             out.modalities[name] = ModalitySummary(items.select("raw_payload_path").distinct().count(), n, new, n - new, bad.count() if bad is not None else 0)
-        if refresh:
-            self.refresh(list(out.modalities))
         return out
 
     def load_dump(self, dump_root: str, names: list[str] | None = None, *, quarantine: bool = False, refresh: bool = True) -> LoadSummary:
@@ -121,8 +121,6 @@ class Store:
                 continue
             done = merge.resume_index(self.read(name), path).first()[0]
             rows, bad = validated(self.staged(name, parse(dump.read_items(self.spark, path, done), name)), modality(name), quarantine=quarantine)
-            n, new, known = self.merge_rows(name, rows, last_wins=False)
+            n, new, known = self.merge_rows(name, rows, last_wins=False, refresh=refresh)
             out.modalities[name] = ModalitySummary(1, n + done, new, n - new + done, bad.count() if bad is not None else 0)
-        if refresh:
-            self.refresh(list(out.modalities))
         return out

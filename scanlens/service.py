@@ -77,14 +77,19 @@ class Profiler:
         stored = self.store.snapshot(name, view) if self.snapshots and view in ("exact", "series") else None
         return views.view(self.store.read(name), modality(name), view, filters, filter_first=self.filter_first, snapshot=stored)
 
+    def pinned(self) -> Profiler:
+        """The same questions about one state of the store."""
+        return Profiler(self.store.pinned(), snapshots=self.snapshots, filter_first=self.filter_first)
+
     def overview(self, filters: ObservationFilters = NO_FILTERS) -> dict:
-        return {"generated_at": datetime.now(UTC).isoformat(), "filters": filters.echo(), "modalities": [self.modality_overview(m, filters) for m in MODALITIES]}
+        now = self.pinned()
+        return {"generated_at": datetime.now(UTC).isoformat(), "filters": filters.echo(), "modalities": [now.modality_overview(m, filters) for m in MODALITIES]}
 
     def modality_overview(self, name: str, filters: ObservationFilters = NO_FILTERS) -> dict:
-        spec = modality(name)
-        kept = {k: self.view(name, k, filters) for k in ("exact", "series")}
-        counts = {r["view"]: r["row_count"] for r in rows(profile.overview(apply_filters(self.store.read(name), spec, filters), spec, kept))}
-        span = rows(profile.view_summary(self.view(name, "raw", filters), spec))[0]
+        spec, now = modality(name), self.pinned()
+        kept = {k: now.view(name, k, filters) for k in ("exact", "series")}
+        counts = {r["view"]: r["row_count"] for r in rows(profile.overview(apply_filters(now.store.read(name), spec, filters), spec, kept))}
+        span = rows(profile.view_summary(now.view(name, "raw", filters), spec))[0]
         return {"modality": name, "row_counts": counts, "source_created_at_range": {"min": span["first_created_at"], "max": span["last_created_at"]}}
 
     def missingness(self, name: str, view: str = "raw", filters: ObservationFilters = NO_FILTERS) -> list[dict]:
@@ -120,14 +125,14 @@ class Profiler:
         return {"kind": kind, **rows(duplicates.totals(found))[0], "histogram": rows(duplicates.size_histogram(found)), "sample_groups": top}
 
     def modality_profile(self, name: str, view: str = "raw", filters: ObservationFilters = NO_FILTERS, *, top_n: int = 10, group_limit: int = 10, member_limit: int = 5, key_limit: int = 25) -> dict:
-        """Everything about a modality. overview and duplicates are about all rows, whatever the view."""
-        spec = modality(name)
+        """Everything about a modality, in one state of the store. overview and duplicates are about all rows, whatever the view."""
+        spec, now = modality(name), self.pinned()
         return {
-            "modality": name, "view": view, "filters": filters.echo(), "overview": self.modality_overview(name, filters), "view_summary": rows(profile.view_summary(self.view(name, view, filters), spec))[0],
-            "missingness": self.missingness(name, view, filters), "metrics": self.metric_summaries(name, view, filters),
-            "top_values": {c: self.distribution(name, c, view, filters, top_n) for c in spec.category_fields},
-            "extras": {c: self.extra_key_counts(name, c, view, filters, key_limit) for c in spec.extra_fields},
-            "duplicates": {k: self.duplicate_summary(name, k, filters, group_limit, member_limit) for k in ("exact", "series")},
+            "modality": name, "view": view, "filters": filters.echo(), "overview": now.modality_overview(name, filters), "view_summary": rows(profile.view_summary(now.view(name, view, filters), spec))[0],
+            "missingness": now.missingness(name, view, filters), "metrics": now.metric_summaries(name, view, filters),
+            "top_values": {c: now.distribution(name, c, view, filters, top_n) for c in spec.category_fields},
+            "extras": {c: now.extra_key_counts(name, c, view, filters, key_limit) for c in spec.extra_fields},
+            "duplicates": {k: now.duplicate_summary(name, k, filters, group_limit, member_limit) for k in ("exact", "series")},
         }
 
     def modalities(self) -> list[dict]:

@@ -14,7 +14,7 @@ from ..spec import modality
 
 
 def ingest(store: Store, run_root: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Take every page file of a run's modality once, as it appears; a known observation is replaced. A batch that is done again brings the same rows in again, which changes nothing but the version."""
+    """Take every page file of a run's modality once, as it appears; a known observation is replaced. A batch that is done again brings the same rows in again, which changes nothing but the version. Only buckets and groups that a batch touches are written again."""
     spark = store.spark
     files = spark.readStream.schema("value string").option("wholetext", True).text(f"{run_root}/raw/{name}")
 
@@ -25,6 +25,5 @@ def ingest(store: Store, run_root: str, name: str, checkpoint: str) -> Streaming
         rows, _bad = validated(store.staged(name, parse(items, name)), modality(name))
         if not rows.isEmpty():
             store.merge_rows(name, rows, last_wins=True)
-            store.refresh([name])
 
     return files.withColumn("path", F.col("_metadata.file_path")).writeStream.foreachBatch(bring).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
