@@ -7,6 +7,7 @@ rows until a refresh.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import dump, pages
+from ..sources.folders import exists, put, status, text_of
 from ..spec import MODALITIES, modality
 from . import merge
 from .parse import parse, validated
@@ -101,6 +103,20 @@ class Store:
         new, known = self.tables.merge_rows(modality(name), modality(name).struct, one, last_wins=last_wins, keep=("id", "inserted_at") if last_wins else (), number="number__", views=refresh)
         return rows.count(), new, known
 
+    def dump_index(self, path: str) -> dump.Index:
+        """A dump file's index, which is made once for each state of the file and kept beside the tables."""
+        kept = f"{self.root}/_index/{hashlib.sha256(path.encode()).hexdigest()}.json"
+        if exists(self.spark, kept):
+            try:
+                found = dump.Index.of_json(text_of(self.spark, kept))
+                if (found.size, found.modified) == status(self.spark, path):
+                    return found
+            except (ValueError, KeyError, TypeError):
+                pass  # a load that broke off has left part of it
+        found = dump.index(self.spark, path)
+        put(self.spark, kept, found.as_json())
+        return found
+
     def load_run(self, run_root: str, names: list[str] | None = None, *, quarantine: bool = False, refresh: bool = True) -> LoadSummary:
         """Load a run's page files; a known observation is replaced by the new one."""
         out = LoadSummary()
@@ -120,7 +136,8 @@ class Store:
             if names and name not in names:
                 continue
             done = merge.resume_index(self.read(name), path).first()[0]
-            rows, bad = validated(self.staged(name, parse(dump.read_items(self.spark, path, done), name)), modality(name), quarantine=quarantine)
+            items = dump.read_items(self.spark, path, done, known=self.dump_index(path))
+            rows, bad = validated(self.staged(name, parse(items, name)), modality(name), quarantine=quarantine)
             n, new, known = self.merge_rows(name, rows, last_wins=False, refresh=refresh)
             out.modalities[name] = ModalitySummary(1, n + done, new, n - new + done, bad.count() if bad is not None else 0)
         return out

@@ -44,6 +44,21 @@ def text_of(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def status(spark: SparkSession, path: str) -> tuple[int, int]:
+    """A file's size, and when it was changed (milliseconds)."""
+    system, at = _at(spark, path)
+    found = system.getFileStatus(at)
+    return found.getLen(), found.getModificationTime()
+
+
+def put(spark: SparkSession, path: str, text: str) -> None:
+    """Make a small file anew."""
+    system, at = _at(spark, path)
+    stream = system.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def age(spark: SparkSession, path: str) -> float:
     """Seconds since a file or folder was changed, by the driver's clock."""
     system, at = _at(spark, path)
