@@ -122,7 +122,7 @@ def test_profile_of_a_modality(loaded):
     twins = got["duplicates"]["exact"]
     assert (twins["duplicate_group_count"], twins["duplicate_row_count"], twins["histogram"]) == (1, 2, [{"group_size": 2, "group_count": 1}])
     assert [s["source_api_id"] for s in twins["sample_groups"][0]["samples"]] == ["def", "abc"]
-    assert p.distribution("bold", "task_id") == [{"value": "nback", "count": 1}, {"value": "rest", "count": 1}]
+    assert p.distribution("bold", "task_id") == [{"value": "flanker", "count": 1}, {"value": "rest", "count": 1}]
 
 
 def test_metric_distribution(loaded):
@@ -166,7 +166,7 @@ def test_dump(spark, tmp_path):
     s = store.load_dump(str(root)).modalities["T1w"]
     assert (s.page_count, s.inserted_count, s.updated_count) == (1, 2, 0)
     r = store.read("T1w").where("source_api_id = 'a'").first()
-    assert (r.flip_angle, r.cnr, r.source_page) == (7, 0.01, None) and r.raw_payload_path.endswith("archive.T1w.json#item=1")
+    assert (r.flip_angle, r.cnr, r.source_page) == (12, 0.375, None) and r.raw_payload_path.endswith("archive.T1w.json#item=1")
     assert r.source_created_at == r.source_updated_at == datetime(2021, 3, 14, 5, 12, 5) and json.loads(r.payload_extra["nested"]) == [{"deep": 42}]
     s = store.load_dump(str(root)).modalities["T1w"]
     assert (s.inserted_count, s.updated_count) == (0, 2) and store.read("T1w").count() == 2
