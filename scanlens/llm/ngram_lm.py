@@ -8,9 +8,9 @@ order: the least count of the n-gram's level over the largest count of its conte
 count), and below that the exact add-one unigram probability. So the probabilities after a context add up to 1
 at most; what quantisation leaves of 1 is given to no word.
 
-Filter and unigram counts are made in buckets (by hash) on the executors. A model of up to BROADCAST_BYTES is
-broadcast. A larger one stays where it is: the distinct words and n-grams of each pack of texts go to the
-buckets, and the counts come back to the pack.
+Filter and unigram counts are made in buckets (by hash) on the executors, and stay there: filters of any size
+are too large for each worker in the end. Routes of buckets are sent to the tasks that need them, and the
+distinct words and n-grams of each pack of texts come to them; counts and levels go back to the pack.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .words import NOT_BLANK, spans
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Words of the longest n-grams, probes for their first level (a missing n-gram is found with probability 2**-PROBES; further levels take half as many), the share of each order in a probability.
 ORDER, PROBES, WEIGHT = 2, 12, 0.4
-#: Bytes of text for each bucket, bytes of text that are counted together, bytes of a model that's broadcast, bytes of texts or model that are looked up in one place, bytes of text that ask together.
-BUCKET_BYTES, PACK_BYTES, BROADCAST_BYTES, ROUTE_BYTES, ASK_BYTES = 8 << 20, 16 << 20, 160 << 20, 64 << 20, 8 << 20
+#: Bytes of text for each bucket, bytes of text that are counted together, bytes of texts or model that are looked up in one place, bytes of text that ask together.
+BUCKET_BYTES, PACK_BYTES, ROUTE_BYTES, ASK_BYTES = 8 << 20, 16 << 20, 64 << 20, 8 << 20
 MODEL = "bucket int, buckets int, tokens long, distinct long, words binary, counts binary, bits long, filter binary"
 MADE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -72,6 +72,38 @@ def low_bits(pairs: np.ndarray) -> np.ndarray:
     return pairs & np.uint64(0xFFFFFFFFFF)
 
 
+class Groups:
+    """Values group by group: `order` are their places, in the order in which they were within a group; groups are those that have values."""
+
+    def __init__(self, group: np.ndarray):
+        narrow = group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group  # these are sorted by counting
+        self.order = np.argsort(narrow, kind="stable")
+        self.sorted = group[self.order]
+        self.groups = self.sorted[np.flatnonzero(np.append(True, self.sorted[1:] != self.sorted[:-1]))] if len(group) else group
+
+    def ends(self, some: np.ndarray) -> np.ndarray:
+        """Where each of some groups begins, and where the last ends; some holds all groups that have values."""
+        return np.append(np.searchsorted(self.sorted, some), len(self.sorted))
+
+
+def low_bytes(values: np.ndarray, width: int) -> np.ndarray:
+    """The `width` low bytes of each value, a row each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def from_low_bytes(data: bytes, width: int) -> np.ndarray:
+    rows = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :width] = rows
+    return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of values[ends[i] : ends[i + 1]] as the i-th value of a binary column."""
+    offsets = (ends * (values.nbytes // max(len(values), 1))).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
 def probes_of(level: int, probes: int) -> int:
     return probes if level == 1 else max(1, probes // 2)
 
@@ -100,19 +132,17 @@ def build(train: DataFrame, *, text: str = "text", order: int = ORDER, probes: i
 
     def count(batches):
         def pack(found):
-            tokens, pairs = (np.concatenate(x) for x in zip(*found, strict=True))
+            """A row for each bucket that has something of these texts."""
             own = []
-            for values in (tokens, pairs):
+            for values in (np.concatenate(x) for x in zip(*found, strict=True)):
                 values, n = np.unique(values, return_counts=True)
-                bucket = bucket_of(values, buckets)
-                order = np.argsort(bucket, kind="stable")
-                own.append((values[order], n[order].astype("<u4"), np.searchsorted(bucket[order], np.arange(buckets + 1))))
-            for b in range(buckets):
-                (w, c, e), (p, q, f) = own
-                w, c, p, q = w[e[b] : e[b + 1]], c[e[b] : e[b + 1]], low_bits(p[f[b] : f[b + 1]]), q[f[b] : f[b + 1]]
-                if len(w) or len(p):
-                    packed = p.astype("<u4").tobytes() + (p >> np.uint64(32)).astype("u1").tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (w.astype("<u8").tobytes(), c.tobytes(), packed, q.tobytes()))], ["bucket", "words", "counts", "pairs", "times"])
+                own.append((values, Groups(bucket_of(values, buckets)), n.astype("<u4")))
+            (w, at_w, c), (p, at_p, q) = own
+            some = np.union1d(at_w.groups, at_p.groups)
+            ends_w, ends_p = at_w.ends(some), at_p.ends(some)
+            packed = low_bytes(p[at_p.order], 5)
+            columns = [pa.array(some, pa.int32()), binaries(w[at_w.order].astype("<u8"), ends_w), binaries(c[at_w.order], ends_w), binaries(packed, ends_p), binaries(q[at_p.order], ends_p)]
+            return pa.RecordBatch.from_arrays(columns, ["bucket", "words", "counts", "pairs", "times"])
 
         found, held = [], 0
         for part in pieces(batches, "body"):
@@ -120,10 +150,10 @@ def build(train: DataFrame, *, text: str = "text", order: int = ORDER, probes: i
             found.append((tokens, np.concatenate([END[None][:0], *grams_of(tokens, starts, order)])))
             held += part.nbytes
             if held >= PACK_BYTES:
-                yield from pack(found)
+                yield pack(found)
                 found, held = [], 0
         if found:
-            yield from pack(found)
+            yield pack(found)
 
     def total(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         keys, times = np.concatenate(keys), np.concatenate(times).astype(np.int64)
@@ -134,11 +164,7 @@ def build(train: DataFrame, *, text: str = "text", order: int = ORDER, probes: i
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         words, counts = total([np.frombuffer(x, "<u8") for x in rows["words"]], [np.frombuffer(x, "<u4") for x in rows["counts"]])
-        keys = []
-        for x in rows["pairs"]:
-            n = len(x) // 5
-            keys.append(np.frombuffer(x, "<u4", n).astype(np.uint64) | np.frombuffer(x, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32))
-        pairs, times = total(keys, [np.frombuffer(x, "<u4") for x in rows["times"]])
+        pairs, times = total([from_low_bytes(x, 5) for x in rows["pairs"]], [np.frombuffer(x, "<u4") for x in rows["times"]])
         level = np.frexp(times.astype(np.float64))[1]  # 1 + floor(log2)
         bits = filter_bits(level, probes)
         on = np.zeros(bits, np.uint8)
@@ -153,17 +179,17 @@ def build(train: DataFrame, *, text: str = "text", order: int = ORDER, probes: i
 
 
 class Slice:
-    """Some buckets of a model in memory."""
+    """The buckets of a route in memory, by their numbers within it (bucket // routes)."""
 
     def __init__(self, rows, buckets: int, probes: int):
-        self.buckets, self.probes = buckets, probes
+        self.probes = probes
         words, counts, held = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], bytearray(1)
         self.bits, self.first, self.here = np.ones(buckets, np.uint64), np.zeros(buckets, np.int64), np.zeros(buckets, bool)
         for r in rows:  # one at a time: only their contents stay
-            words.append(np.frombuffer(r.words, "<u8"))
-            counts.append(np.frombuffer(r.counts, "<i8"))
-            self.bits[r.bucket], self.first[r.bucket], self.here[r.bucket] = r.bits, len(held), True
-            held += r.filter
+            words.append(np.frombuffer(r["words"], "<u8"))
+            counts.append(np.frombuffer(r["counts"], "<i8"))
+            self.bits[r["bucket"]], self.first[r["bucket"]], self.here[r["bucket"]] = r["bits"], len(held), True
+            held += r["filter"]
         self.filter = np.frombuffer(held, np.uint8)
         words, counts = np.concatenate(words), np.concatenate(counts)
         order = np.argsort(words)
@@ -230,15 +256,18 @@ def scored(part: pa.RecordBatch | pa.Table, tokens: np.ndarray, starts: np.ndarr
     return [pa.array(np.diff(starts)), pa.array(known), pa.array(np.full(part.num_rows, total, np.int64)), pa.array(add(np.log10(one)).astype(np.float64)), pa.array(add(np.log10(p)).astype(np.float64))]
 
 
-def score(
-    docs: DataFrame, model: DataFrame, *, text: str = "text", order: int = ORDER, probes: int = PROBES, weight: float = WEIGHT, broadcast_bytes: int = BROADCAST_BYTES, route_bytes: int = ROUTE_BYTES
-) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, *, text: str = "text", order: int = ORDER, probes: int = PROBES, weight: float = WEIGHT, route_bytes: int = ROUTE_BYTES) -> DataFrame:
     """docs without the text, with n_tokens, n_known, train_tokens, base_score and score (log10).
 
     model: what build() gave, with the same order and probes. Null and empty texts are one token, the end. An
     empty model knows nothing: base_score is 0 and score too. Very long texts are scored as a whole. Repeated
-    rows and other columns stay (those of the names above are replaced); an empty table stays empty. A model
-    over broadcast_bytes isn't sent to the workers: texts ask for what they need, with the same results.
+    rows and other columns stay (those of the names above are replaced; rows that are equal in all columns are
+    looked up together); an empty table stays empty.
+
+    Texts ask in packs, and a row's hash says which pack it's in, so the packs are the same whenever they're
+    read. Routes are groups of buckets (bucket = route + routes * k, k under 256), each in memory in one task at
+    a time. A pack asks each route that it has something of once, for distinct words and n-grams, and gets
+    counts and levels in the order in which it asked. All of it grows with the number of tokens.
     """
     made = T.StructType.fromDDL(MADE).fields
     rows, fields, names = frames.carried(docs, text, [f.name for f in made], keep_text=False)
@@ -246,97 +275,63 @@ def score(
     size = F.octet_length("words") + F.octet_length("counts") + F.octet_length("filter")
     known = model.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.max("buckets").alias("b"), F.sum(size.cast("long")).alias("size")).first()
     total, distinct, buckets = known.n or 0, known.v or 0, known.b or 1
-    finish = lambda part, tokens, starts, counts, levels: [*(part.column(f.name) for f in fields), *scored(part, tokens, starts, counts, levels, total, distinct, weight)]
-    if (known.size or 0) > broadcast_bytes:
-        out = routed(rows, model, schema, finish, order, probes, buckets, int(known.size), route_bytes)
-        return out.toDF(*names, *[f.name for f in made])
-    sent = docs.sparkSession.sparkContext.broadcast(Slice(model.toLocalIterator(), buckets, probes))
-
-    def run(batches):
-        use = sent.value
-        for part in pieces(batches, "body"):
-            tokens, starts = tokens_of(part, "body")
-            counts = use.count(tokens)
-            levels = levels_of(grams_of(tokens, starts, order), starts, counts, lambda k, g, caps: use.level(low_bits(g), bucket_of(g, buckets), caps))
-            yield pa.RecordBatch.from_arrays(finish(part, tokens, starts, counts, levels), schema.names)
-
-    return rows.mapInArrow(run, schema).toDF(*names, *[f.name for f in made])
-
-
-def dealt(values: np.ndarray, buckets: int, routes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of values, route by route and in each by value, and where each route begins (one more)."""
-    by = np.argsort(values)
-    route = bucket_of(values[by], buckets) % routes
-    if routes <= 1 << 16:
-        route = route.astype(np.uint16)  # these are sorted by counting
-    order = np.argsort(route, kind="stable")
-    return by[order], np.searchsorted(route[order], np.arange(routes + 1))
-
-
-def six_bytes(values: np.ndarray) -> bytes:
-    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
-
-
-def from_six(data: bytes) -> np.ndarray:
-    n = len(data) // 6
-    return np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n)
-
-
-def routed(rows: DataFrame, model: DataFrame, schema: T.StructType, finish, order: int, probes: int, buckets: int, model_bytes: int, route_bytes: int) -> DataFrame:
-    """score() for a model that's too large to be broadcast.
-
-    A row's hash says which pack it's in, so the packs are the same whenever they're read. Routes are groups of
-    buckets (bucket = route + routes * k, k under 256). A pack asks each route once, and gets counts and levels
-    in the order in which it asked.
-    """
-    size = rows.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"))).first()[0] or 0
-    packs = int(size // ASK_BYTES) + 1
-    routes = min(buckets, max(int(max(size, model_bytes) // route_bytes) + 1, -(-buckets // 256)))
+    asking = rows.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)).cast("long"))).first()[0] or 0
+    packs = int(asking // ASK_BYTES) + 1
+    routes = min(buckets, max(int(max(asking, known.size or 0) // route_bytes) + 1, -(-buckets // 256)))
     plain = [F.col(f.name) for f in rows.schema.fields if not isinstance(f.dataType, T.MapType | T.ArrayType | T.StructType | T.VariantType)]
     texts = rows.withColumn("pack", F.pmod(F.xxhash64(*plain), F.lit(packs)))
-    every = lambda grams: np.concatenate([np.empty(0, np.uint64), *grams])
-    tokens_in = lambda table: tokens_of(table.select(["body"]).combine_chunks().to_batches()[0], "body")
+    route_of = lambda values: bucket_of(values, buckets) % routes
+
+    def asked_by(table: pa.Table):
+        """The tokens of a pack, where its texts begin, its n-grams; its distinct words and n-grams, and which of them each one is."""
+        tokens, starts = tokens_of(table.select(["body"]).combine_chunks().to_batches()[0], "body")
+        grams = grams_of(tokens, starts, order)
+        words, word = np.unique(tokens, return_inverse=True)
+        wanted, gram = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
+        return tokens, starts, grams, words, word, wanted, gram
 
     def ask(table: pa.Table) -> pa.Table:
-        tokens, starts = tokens_in(table)
-        words, grams = np.unique(tokens), every(grams_of(tokens, starts, order))
-        (i, a), (j, b) = dealt(words, buckets, routes), dealt(grams, buckets, routes)
-        words, grams = words[i], grams[j]
-        known = low_bits(grams) | (bucket_of(grams, buckets) // routes).astype(np.uint64) << np.uint64(40)
-        some = [r for r in range(routes) if a[r + 1] > a[r] or b[r + 1] > b[r]]
-        columns = [pa.array(some, pa.int32()), pa.array([table["pack"][0].as_py()] * len(some), pa.int64()), pa.array([words[a[r] : a[r + 1]].tobytes() for r in some], pa.binary()), pa.array([six_bytes(known[b[r] : b[r + 1]]) for r in some], pa.binary())]
+        _, _, _, words, _, wanted, _ = asked_by(table)
+        by_word, by_gram = Groups(route_of(words)), Groups(route_of(wanted))
+        some = np.union1d(by_word.groups, by_gram.groups)
+        local = (bucket_of(wanted, buckets) // routes).astype(np.uint64)
+        packed = low_bytes((low_bits(wanted) | local << np.uint64(40))[by_gram.order], 6)
+        columns = [pa.array(some, pa.int32()), pa.array(np.full(len(some), table["pack"][0].as_py(), np.int64)), binaries(words[by_word.order], by_word.ends(some)), binaries(packed, by_gram.ends(some))]
         return pa.Table.from_arrays(columns, ["route", "pack", "words", "grams"])
 
-    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        use, out = Slice(held.itertuples(), buckets, probes), []
-        for r in asked.itertuples():
-            g = from_six(r.grams)
-            bucket = (g >> np.uint64(40)).astype(np.int64) * routes + r.route
-            out.append((r.pack, r.route, use.count(np.frombuffer(r.words, np.uint64)).astype(np.int64).tobytes(), use.level(low_bits(g), bucket, np.full(len(g), 64)).tobytes()))
-        return pd.DataFrame(out, columns=["pack", "route", "counts", "levels"])
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        use = Slice(({**r, "bucket": r["bucket"] // routes} for b in held.to_batches(max_chunksize=1) for r in b.to_pylist()), -(-buckets // routes), probes)
+        out = []
+        for part in pieces(asked.to_batches(), "grams"):
+            words, grams = column(part, "words").to_pylist(), column(part, "grams").to_pylist()
+            g = from_low_bytes(b"".join(grams), 6)
+            counts = use.count(np.frombuffer(b"".join(words), np.uint64)).astype("<i8")
+            levels = use.level(low_bits(g), (g >> np.uint64(40)).astype(np.int64), np.full(len(g), 64))
+            ends = lambda values, width: np.append(0, np.cumsum([len(x) // width for x in values])).astype(np.int64)
+            out.append(pa.RecordBatch.from_arrays([column(part, "pack"), column(part, "route"), binaries(counts, ends(words, 8)), binaries(levels, ends(grams, 6))], ["pack", "route", "counts", "levels"]))
+        return pa.Table.from_batches(out, schema=pa.schema([("pack", pa.int64()), ("route", pa.int32()), ("counts", pa.binary()), ("levels", pa.binary())]))
 
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens, starts = tokens_in(left)
-        grams = grams_of(tokens, starts, order)
+        tokens, starts, grams, words, word, wanted, gram = asked_by(left)
+        right = right.sort_by("route")  # as it was asked
 
-        def found(values, name, kind):
-            places, edges = dealt(values, buckets, routes)
+        def found(values: np.ndarray, name: str, kind) -> np.ndarray:
             out = np.zeros(len(values), kind)
-            for r, x in zip(right["route"].to_pylist(), right[name].to_pylist(), strict=True):
-                out[places[edges[r] : edges[r + 1]]] = np.frombuffer(x, kind)
+            if right.num_rows:  # an empty model answers nothing
+                out[Groups(route_of(values)).order] = np.frombuffer(b"".join(right[name].to_pylist()), kind)
             return out
 
-        words, word = np.unique(tokens, return_inverse=True)
         counts = found(words, "counts", np.int64)[word]
-        raw = np.split(found(every(grams), "levels", np.int8), len(grams)) if grams else []
+        raw = np.split(found(wanted, "levels", np.int8)[gram], len(grams)) if grams else []
         levels = levels_of(grams, starts, counts, lambda k, g, caps: raw[k])
-        return pa.Table.from_arrays(finish(left, tokens, starts, counts, levels), schema.names)
+        columns = [*(left.column(f.name) for f in fields), *scored(left, tokens, starts, counts, levels, total, distinct, weight)]
+        return pa.Table.from_arrays(columns, schema.names)
 
     asked = texts.select("pack", "body").groupBy("pack").applyInArrow(ask, "route int, pack long, words binary, grams binary")
     held = model.withColumn("route", F.col("bucket") % routes)
-    answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInPandas(answer, "pack long, route int, counts binary, levels binary")
+    answered = asked.groupBy("route").cogroup(held.groupBy("route")).applyInArrow(answer, "pack long, route int, counts binary, levels binary")
     answered = written(answered, "language-model-answers")
-    return texts.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema)
+    return texts.groupBy("pack").cogroup(answered.groupBy("pack")).applyInArrow(together, schema).toDF(*names, *[f.name for f in made])
 
 
 def held_out(id_col: str, n: int = 7, part: int = 2) -> Column:

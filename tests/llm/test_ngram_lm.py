@@ -59,18 +59,19 @@ DOCS = [(i, t) for i, t in enumerate(["a b c a b c", "A b C d", None, "", " \t "
 
 
 @pytest.mark.parametrize("order", [2, 3])
-@pytest.mark.parametrize("broadcast_bytes, bucket_bytes, route_bytes", [(1 << 30, 1 << 20, 1 << 20), (1 << 30, 700, 1 << 20), (0, 700, 5000), (0, 1 << 20, 1 << 20)])
-def test_op3_small(spark, broadcast_bytes, bucket_bytes, route_bytes, order):
-    """Broadcast models, and models that texts ask for what they need."""
+@pytest.mark.parametrize("ask_bytes, bucket_bytes, route_bytes", [(1 << 20, 1 << 20, 1 << 20), (1 << 20, 700, 1 << 20), (500, 700, 5000), (500, 100, 100)])
+def test_op3_small(spark, monkeypatch, ask_bytes, bucket_bytes, route_bytes, order):
+    """One bucket, many buckets on one route, and many packs that ask many routes."""
+    monkeypatch.setattr(ngram_lm, "ASK_BYTES", ask_bytes)
     df = spark.createDataFrame([(i, t, 1.0, "clash", 2, 3) for i, t in DOCS], "doc_id long, text string, score double, bucket string, `a.b` int, __text int").repartition(3)
     train = df.where("doc_id is null or doc_id < 8")
     model = ngram_lm.build(train, order=order, probes=30, bucket_bytes=bucket_bytes)
-    got = ngram_lm.score(df, model, order=order, probes=30, broadcast_bytes=broadcast_bytes, route_bytes=route_bytes)
+    got = ngram_lm.score(df, model, order=order, probes=30, route_bytes=route_bytes)
     assert got.columns == ["doc_id", "bucket", "a.b", "__text", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     compare(got.collect(), brute([r.text for r in train.collect()], DOCS, order=order))
     never_null = df.withColumn("flag", F.lit(True))
-    assert ngram_lm.score(never_null, model, order=order, probes=30, broadcast_bytes=broadcast_bytes, route_bytes=route_bytes).where("flag").count() == len(DOCS)
-    assert ngram_lm.score(df.limit(0), model, order=order, probes=30, broadcast_bytes=broadcast_bytes).count() == 0
+    assert ngram_lm.score(never_null, model, order=order, probes=30, route_bytes=route_bytes).where("flag").count() == len(DOCS)
+    assert ngram_lm.score(df.limit(0), model, order=order, probes=30).count() == 0
 
 
 def test_op3_without_training(spark):
