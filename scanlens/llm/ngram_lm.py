@@ -284,7 +284,9 @@ def score(docs: DataFrame, model: DataFrame, *, text: str = "text", order: int =
 
     def asked_by(table: pa.Table):
         """The tokens of a pack, where its texts begin, its n-grams; its distinct words and n-grams, and which of them each one is."""
-        tokens, starts = tokens_of(table.select(["body"]).combine_chunks().to_batches()[0], "body")
+        found = [tokens_of(part, "body") for part in pieces(table.select(["body"]).to_batches(), "body")]  # hashing takes many bytes for each byte of text
+        tokens, lengths = np.concatenate([t for t, _ in found]), np.concatenate([np.diff(s) for _, s in found])
+        starts = np.append(0, np.cumsum(lengths))
         grams = grams_of(tokens, starts, order)
         words, word = np.unique(tokens, return_inverse=True)
         wanted, gram = np.unique(np.concatenate([np.empty(0, np.uint64), *grams]), return_inverse=True)
