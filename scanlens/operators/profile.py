@@ -139,6 +139,57 @@ def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
     return every.join(F.broadcast(counted), "bin", "left").select("bin", start.alias("start"), end.alias("end"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
+def whole(df: DataFrame, spec: DatasetSpec, *, top_n: int = 10, key_limit: int = 25) -> DataFrame:
+    """Everything that a profile says about a view, by one scan and one aggregate.
+
+    Each row becomes narrow cells (part, field, value, number), whose groups are combined before the shuffle. The
+    parts: `view` (its rows, first and last time), `missing` (important fields), `metric`, `category` and `extra`.
+    Heads have no rank: row_count, known_count (rows with a value; of extras: rows whose object has a key),
+    distinct_count (values or keys), and min, max and mean of metrics. Ranked rows are the top_n values of each
+    category and the key_limit keys of each extra: rank, value, row_count (known_count: the same, 0 for keys);
+    equal counts in the values' order. No rows give no rows; a field without values has a head only.
+    """
+    kinds, at = dict(df.dtypes), df.schema[spec.time_col].dataType
+    null = F.lit(None)
+
+    def cell(part: str, i: int, name: str, known: Column, value: Column = null, number: Column = null, time: Column = null) -> Column:
+        named = {"part": F.lit(part), "position": F.lit(i), "field": F.lit(name), "value": value.cast("string"), "number": number.cast("double"), "known": known.cast("long"), "at": time.cast(at)}
+        return F.struct(*[c.alias(n) for n, c in named.items()])
+
+    def key_cell(i: int, name: str):
+        return lambda key: cell("extra", i, name, F.lit(False), key)
+
+    cells = [cell("view", 0, spec.name, F.lit(True), time=F.col(spec.time_col))]
+    cells += [cell("missing", i, n, ~missing(F.col(n), kinds[n])) for i, n in enumerate(spec.important_fields)]
+    for i, n in enumerate(spec.metric_fields):
+        number = finite_or_null(F.col(n))
+        cells.append(cell("metric", i, n, number.isNotNull(), number=number))
+    for i, n in enumerate(spec.category_fields):
+        value = F.col(n).cast("string")
+        cells.append(cell("category", i, n, F.coalesce(present(value), F.lit(False)), F.when(present(value), value)))
+    lists = []
+    for i, n in enumerate(spec.extra_fields):
+        keys = F.coalesce(keys_of(df, n), F.array().cast("array<string>"))
+        cells.append(cell("extra", i, n, F.size(keys) > 0))
+        lists.append(F.transform(F.array_distinct(keys), key_cell(i, n)))
+    rows = df.select(F.explode(F.concat(F.array(*cells), *lists)).alias("c")).select("c.*")
+    counted = rows.groupBy("part", "position", "field", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("known").alias("known"), F.count("value").alias("texts"), F.min("number").alias("min"), F.max("number").alias("max"), F.avg("number").alias("mean"), F.min("at").alias("first_at"), F.max("at").alias("last_at")
+    )
+    own = (F.col("part") == "category") | (F.col("texts") == 0)  # the keys of an extra are no rows
+    heads = counted.groupBy("part", "position", "field").agg(
+        F.sum(F.when(own, F.col("n"))).alias("row_count"), F.sum("known").alias("known_count"), F.count_if(F.col("texts") > 0).alias("distinct_count"),
+        *[F.max(c).alias(c) for c in ("min", "max", "mean", "first_at", "last_at")],
+    )
+    place = F.row_number().over(Window.partitionBy("part", "position", "field").orderBy(F.col("n").desc(), "value"))
+    # the whole aggregate is named in both branches, so that they share its exchange
+    ranked = counted.where(F.col("texts") > 0).withColumn("rank", place).where(F.col("rank") <= max(top_n, key_limit))
+    ranked = ranked.where(F.col("rank") <= F.when(F.col("part") == "category", top_n).otherwise(key_limit))
+    ranked = ranked.select("part", "position", "field", "rank", "value", F.col("n").alias("row_count"), F.col("known").alias("known_count"), null.cast("long").alias("distinct_count"), "min", "max", "mean", "first_at", "last_at")
+    heads = heads.select("part", "position", "field", null.cast("int").alias("rank"), null.cast("string").alias("value"), "row_count", "known_count", "distinct_count", "min", "max", "mean", "first_at", "last_at")
+    return heads.unionByName(ranked)
+
+
 def top_values(df: DataFrame, name: str, limit: int = 20) -> DataFrame:
     """The most frequent values that are neither null nor empty; equal counts in the values' order."""
     value = F.col(name).cast("string")

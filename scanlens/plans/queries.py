@@ -204,6 +204,45 @@ def duplicate_samples(spark, d):
     return duplicates.samples(documents(spark, d), DOCUMENTS, "exact")
 
 
+def head_sql(part: str, i: int, field: str, known: str, distinct: str = "0", number: str = "CAST(NULL AS DOUBLE)", time: str = "CAST(NULL AS TIMESTAMP)") -> str:
+    return f"""SELECT '{part}' AS part, CAST({i} AS INTEGER) AS position, '{field}' AS field, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS value, CAST(count(*) AS BIGINT) AS row_count,
+ CAST({known} AS BIGINT) AS known_count, CAST({distinct} AS BIGINT) AS distinct_count, round(min({number}), 6) AS min, round(max({number}), 6) AS max, round(avg({number}), 6) AS mean, min({time}) AS first_at, max({time}) AS last_at FROM s"""
+
+
+def ranked_sql(part: str, field: str, counts: str, known: str, limit: int) -> str:
+    return f"""SELECT '{part}', 0, '{field}', CAST(row_number() OVER (ORDER BY c DESC, v) AS INTEGER) AS rank, v, CAST(c AS BIGINT), CAST({known} AS BIGINT), NULL, NULL, NULL, NULL, NULL, NULL FROM ({counts}) QUALIFY rank <= {limit}"""
+
+
+PROFILE_SQL = " UNION ALL ".join([
+    head_sql("view", 0, "events", "count(*)", time="ts"),
+    *(head_sql("missing", i, n, f"count({n})" if n == "value" else f"count(nullif({n}, ''))") for i, n in enumerate(EVENTS.important_fields)),
+    *(head_sql("metric", i, n, f"count({n})", number=n) for i, n in enumerate(EVENTS.metric_fields)),
+    head_sql("category", 0, "event_type", "count(nullif(event_type, ''))", "count(DISTINCT nullif(event_type, ''))"),
+    head_sql("extra", 0, "props", "count(*) FILTER (len(json_keys(props)) > 0)", "(SELECT count(DISTINCT x) FROM (SELECT unnest(json_keys(props)) AS x FROM s))"),
+    ranked_sql("category", "event_type", "SELECT event_type AS v, count(*) AS c FROM s WHERE event_type <> '' GROUP BY 1", "c", 10),
+    ranked_sql("extra", "props", "SELECT v, count(*) AS c FROM (SELECT unnest(json_keys(props)) AS v FROM s) GROUP BY 1", "0", 25),
+])
+
+
+@query(f"{SERIES_SQL} {PROFILE_SQL}")
+def modality_profile(spark, d):
+    """Counts, missingness, metrics, top values and keys of the series view by one scan."""
+    found = profile.whole(views.view(events(spark, d), EVENTS, "series"), EVENTS)
+    return found.select("part", "position", "field", "rank", "value", "row_count", "known_count", "distinct_count", *r6("min", "max", "mean"), "first_at", "last_at")
+
+
+def bundle_sql(kind: str, key: str) -> str:
+    found = f"(SELECT coalesce({key}, CAST(event_id AS VARCHAR)) AS k, count(*) AS n, min(ts) AS a, max(ts) AS z FROM e GROUP BY 1)"
+    return f"""SELECT '{kind}' AS kind, 'size' AS part, CAST(NULL AS INTEGER) AS rank, CAST(NULL AS VARCHAR) AS group_key, CAST(n AS BIGINT) AS group_size, CAST(count(*) AS BIGINT) AS group_count, min(a) AS first_created_at, max(z) AS last_created_at FROM {found} GROUP BY n
+UNION ALL SELECT '{kind}', 'group', CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS rank, k, CAST(n AS BIGINT), NULL, a, z FROM {found} WHERE n > 1 QUALIFY rank <= 10"""
+
+
+@query(f"WITH {EVENTS_SQL} {bundle_sql('exact', 'exact_key')} UNION ALL {bundle_sql('series', 'series_key')}")
+def duplicate_bundle(spark, d):
+    """Sizes and largest groups of both kinds by one scan."""
+    return duplicates.bundle(events(spark, d), EVENTS)
+
+
 def source_and_target(spark, d) -> tuple[DataFrame, DataFrame]:
     base = table(spark, d, "events").select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
     return base.where("event_id % 5 < 3").withColumn("user_id", F.col("user_id") + 1).withColumn("event_type", F.lit("new")), base.where("event_id % 5 > 1")

@@ -115,24 +115,60 @@ class Profiler:
         return {"column": column, **rows(profile.extra_key_totals(df, column))[0], "keys": rows(profile.extra_key_counts(df, column, limit))}
 
     def duplicate_summary(self, name: str, kind: str, filters: ObservationFilters = NO_FILTERS, group_limit: int = 10, member_limit: int = 5) -> dict:
-        spec = modality(name)
-        df = apply_filters(self.store.read(name), spec, filters)
-        found = duplicates.groups(df, spec, kind)
-        members: dict[str, list] = {}
-        for r in sorted(rows(duplicates.samples(df, spec, kind, group_limit, member_limit)), key=lambda r: r["member"]):
-            members.setdefault(r["group_key"], []).append({k: v for k, v in r.items() if k not in ("group_key", "group_size", "member")})
-        top = [{**g, "samples": members.get(g["group_key"], [])} for g in rows(duplicates.top_groups(found, group_limit))]
-        return {"kind": kind, **rows(duplicates.totals(found))[0], "histogram": rows(duplicates.size_histogram(found)), "sample_groups": top}
+        return self.duplicate_summaries(name, (kind,), filters, group_limit, member_limit)[kind]
+
+    def duplicate_summaries(self, name: str, kinds: tuple[str, ...] = ("exact", "series"), filters: ObservationFilters = NO_FILTERS, group_limit: int = 10, member_limit: int = 5) -> dict[str, dict]:
+        """Two scans for all kinds: one for the groups, one for members of the largest."""
+        spec, now = modality(name), self.pinned()
+        df = apply_filters(now.store.read(name), spec, filters)
+        found = rows(duplicates.bundle(df, spec, kinds, group_limit))
+        largest = sorted((r for r in found if r["part"] == "group"), key=lambda r: r["rank"])
+        members: dict[tuple, list] = {}
+        if largest:
+            top = now.store.spark.createDataFrame([(r["kind"], r["group_key"]) for r in largest], "kind string, group_key string")
+            for r in sorted(rows(duplicates.samples_of(df, spec, top, kinds, member_limit)), key=lambda r: r["member"]):
+                members.setdefault((r["kind"], r["group_key"]), []).append({k: v for k, v in r.items() if k not in ("kind", "group_key", "member")})
+        out = {}
+        for kind in kinds:
+            bars = sorted(((r["group_size"], r["group_count"]) for r in found if r["kind"] == kind and r["part"] == "size" and r["group_size"] > 1), reverse=True)
+            groups = [{**{k: r[k] for k in ("group_key", "group_size", "first_created_at", "last_created_at")}, "samples": members.get((kind, r["group_key"]), [])} for r in largest if r["kind"] == kind]
+            out[kind] = {
+                "kind": kind, "duplicate_group_count": sum(n for _, n in bars), "duplicate_row_count": sum(size * n for size, n in bars),
+                "histogram": [{"group_size": size, "group_count": n} for size, n in bars], "sample_groups": groups,
+            }
+        return out
 
     def modality_profile(self, name: str, view: str = "raw", filters: ObservationFilters = NO_FILTERS, *, top_n: int = 10, group_limit: int = 10, member_limit: int = 5, key_limit: int = 25) -> dict:
-        """Everything about a modality, in one state of the store. overview and duplicates are about all rows, whatever the view."""
+        """Everything about a modality, in one state of the store. overview and duplicates are about all rows, whatever the view. The view is scanned once."""
         spec, now = modality(name), self.pinned()
+        found = rows(profile.whole(now.view(name, view, filters), spec, top_n=top_n, key_limit=key_limit))
+        heads = {(r["part"], r["field"]): r for r in found if r["rank"] is None}
+        nothing = {"row_count": 0, "known_count": 0, "distinct_count": 0, "min": None, "max": None, "mean": None, "first_at": None, "last_at": None}
+        head = lambda part, field: heads.get((part, field), nothing)
+        ranked: dict[tuple, list] = {}
+        for r in sorted((r for r in found if r["rank"] is not None), key=lambda r: r["rank"]):
+            ranked.setdefault((r["part"], r["field"]), []).append(r)
+
+        def gone(h: dict) -> dict:
+            n = h["row_count"] - h["known_count"]
+            return {"missing_count": n, "missing_fraction": n / h["row_count"] if h["row_count"] else 0.0}
+
+        def metric(field: str) -> dict:
+            h = head("metric", field)
+            return {"field": field, "value_count": h["known_count"], **gone(h), **{k: h[k] for k in ("min", "max", "mean")}}
+
+        def extra(field: str) -> dict:
+            h = head("extra", field)
+            return {"column": field, "nonempty_row_count": h["known_count"], "distinct_key_count": h["distinct_count"], "keys": [{"key": r["value"], "row_count": r["row_count"]} for r in ranked.get(("extra", field), [])]}
+
+        all_rows = head("view", name)
         return {
-            "modality": name, "view": view, "filters": filters.echo(), "overview": now.modality_overview(name, filters), "view_summary": rows(profile.view_summary(now.view(name, view, filters), spec))[0],
-            "missingness": now.missingness(name, view, filters), "metrics": now.metric_summaries(name, view, filters),
-            "top_values": {c: now.distribution(name, c, view, filters, top_n) for c in spec.category_fields},
-            "extras": {c: now.extra_key_counts(name, c, view, filters, key_limit) for c in spec.extra_fields},
-            "duplicates": {k: now.duplicate_summary(name, k, filters, group_limit, member_limit) for k in ("exact", "series")},
+            "modality": name, "view": view, "filters": filters.echo(), "overview": now.modality_overview(name, filters),
+            "view_summary": {"row_count": all_rows["row_count"], "first_created_at": all_rows["first_at"], "last_created_at": all_rows["last_at"]},
+            "missingness": [{"field": f, **gone(head("missing", f))} for f in spec.important_fields], "metrics": [metric(f) for f in spec.metric_fields],
+            "top_values": {c: [{"value": r["value"], "count": r["row_count"]} for r in ranked.get(("category", c), [])] for c in spec.category_fields},
+            "extras": {c: extra(c) for c in spec.extra_fields},
+            "duplicates": now.duplicate_summaries(name, filters=filters, group_limit=group_limit, member_limit=member_limit),
         }
 
     def modalities(self) -> list[dict]:
