@@ -10,6 +10,9 @@ Candidates are compared by bit sketches first (a bit for each shingle's hash; bi
 shingles that differ), then exactly: each line of a key with the key's least one, and, for keys whose lines are
 still of different components, all those with each other, in blocks. Connected components of the links keep one
 line each: the first one by document id and line number. Lines that are equal are one line from the start.
+
+The search for links knows lines by 64-bit hashes: of different lines with the same hash one is looked at for links.
+What goes is known by 128 bits: a line goes only if its second hash, too, is that of a linked line or of a repeat.
 """
 
 from __future__ import annotations
@@ -25,15 +28,30 @@ from .frames import BROADCAST_ROWS, Scratch, small
 
 #: Characters (UTF-16 units) of a shingle, similarity in percent.
 SHINGLE, PERCENT = 7, 80
-#: Values of a signature (the points of a plane of order 4), longs of a sketch, shingles of a chunk, lines of a key whose pairs are all listed, lines of a block of a larger key.
+#: Values of a signature (the points of a plane of order 4), longs of a sketch, shingles of a chunk, lines of a key whose pairs are all listed, most lines of a block of a larger key.
 MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 16, 20, 128
+#: Characters of a block's lines, in the mean; a longer line is a block of its own.
+BLOCK_CHARS = 1 << 20
+#: The seed of second hashes.
+SECOND = 1
 #: What a blank line is made of.
 BLANK = " \t\r\f\v"
 
 
 def row_key(id_col: str, text: str) -> Column:
-    """What a document is known by: rows of the same id and text are one document."""
-    return F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    """What a document is known by, of 128 bits: rows of the same id and text are one document."""
+    parts = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(SECOND), *parts).alias("b"))
+
+
+def line_hash(line: Column) -> Column:
+    """What the search for links knows a line by."""
+    return F.xxhash64(line)
+
+
+def second_hash(line: Column) -> Column:
+    """A hash from another seed (a seed comes first: put last, it would collide where line_hash does)."""
+    return F.xxhash64(F.lit(SECOND), line)
 
 
 def masks() -> list[int]:
@@ -72,7 +90,7 @@ def chunks(lines: DataFrame, size: int) -> DataFrame:
 
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
     """(line, h) of all documents."""
-    return docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).withColumn("h", F.xxhash64("line"))
+    return docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).withColumn("h", line_hash(F.col("line")))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -164,11 +182,13 @@ def few_pairs(mixed: DataFrame) -> DataFrame:
 def block_links(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
     """(key, a, b): links between lines of different components in keys of more than FEW lines, from mixed_members().
 
-    The lines of a key are taken in blocks, a row for each pair of blocks; a pair of lines is looked at in the
-    least of these keys that they share. An open line gives one link for each pair of blocks or, with everyone,
+    The lines of a key are taken in blocks of bounded sizes, a row for each pair of blocks; a pair of lines is looked
+    at in the least of these keys that they share. An open line gives one link for each pair of blocks or, with everyone,
     all.
     """
-    rows = mixed.where(F.col("many") > FEW).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    rows = mixed.where(F.col("many") > FEW)
+    blocks = F.ceil(F.greatest(F.max("many") / BLOCK, F.sum("n") / BLOCK_CHARS)).cast("int")
+    rows = rows.join(rows.join(nodes.select("h", "n"), "h").groupBy("key").agg(blocks.alias("blocks")), "key")
     keys = rows.groupBy("h").agg(F.collect_list("key").alias("keys"))
     line = F.struct("h", "root", "open", "keys", *[c for c in nodes.columns if c != "h"]).alias("line")
     full = rows.join(nodes.join(keys, "h"), "h").select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line)
@@ -192,6 +212,11 @@ def block_links(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame
 
 def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     """(a, b): links between distinct lines (by h) that make all components."""
+    return links_and_lines(docs, text, scratch)[0]
+
+
+def links_and_lines(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """line_links(), and (h, line, ...): the lines that have been looked at."""
     signed = scratch.written(signatures(lines_of(docs, text)), "signatures")
     shared = scratch.written(bands(signed).groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
     entries = scratch.written(bands(signed).join(small(shared), "key"), "entries")
@@ -218,19 +243,24 @@ def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
         more = block_links(mixed_members(rows, components(links)), nodes, True)
         links = links.unionByName(scratch.written(more.select("a", "b"), "links"))
     scratch.drop(stars, mixed, pairs)
-    return links
+    return links, nodes
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, drop): the numbers (from 0) of the lines that go, for every document (`row_key`) with any."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    roots = scratch.written(components(line_links(docs, text, scratch)).where("node <> root").select(F.col("node").alias("h"), "root"), "roots")
+    links, nodes = links_and_lines(docs, text, scratch)
+    roots = components(links).where("node <> root").select(F.col("node").alias("h"), "root")
+    twins = nodes.select("h", second_hash(F.col("line")).alias("twin"))
+    roots = roots.join(twins, "h").join(twins.select(F.col("h").alias("root"), F.col("twin").alias("root_twin")), "root")
+    roots = scratch.written(roots.select("h", "twin", "root", "root_twin"), "roots")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
-    rows = rows.where(F.btrim("line", F.lit(BLANK)) != "").select("id", "row", "at", F.xxhash64("line").alias("h"))
-    places = scratch.written(rows.join(small(roots), "h", "left").select("id", "row", "at", F.coalesce("root", "h").alias("line")), "places")
-    kept = places.groupBy("line").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = scratch.written(kept.select("line", F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at")), "kept")
-    gone = places.join(small(kept), "line").where("row <> kept_row or at <> kept_at")
+    rows = rows.where(F.btrim("line", F.lit(BLANK)) != "").select("id", "row", "at", line_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("twin"))
+    places = rows.join(small(roots), ["h", "twin"], "left").select("id", "row", "at", F.coalesce("root", "h").alias("line"), F.coalesce("root_twin", "twin").alias("twin"))
+    places = scratch.written(places, "places")
+    kept = places.groupBy("line", "twin").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "at")).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = scratch.written(kept.select("line", "twin", F.col("kept.row").alias("kept_row"), F.col("kept.at").alias("kept_at")), "kept")
+    gone = places.join(small(kept), ["line", "twin"]).where("row <> kept_row or at <> kept_at")
     drops = scratch.written(gone.groupBy("row").agg(F.collect_set("at").alias("drop")), "drops")
     scratch.drop(roots, places, kept)
     return drops
@@ -243,7 +273,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text")
     Lines shorter than a shingle go if they're repeated exactly; blank ones always stay. Null texts stay null
     with 0 lines; an empty text has one empty line; rows of the same id and text are one document and get the
     same result; other columns stay (n_lines and n_kept are replaced); an empty table stays empty. Long lines
-    are sets of all their shingles. Lines are known by 64-bit hashes. Of ties (lines of one id and number, in
+    are sets of all their shingles. What goes is known by 128-bit hashes. Of ties (lines of one id and number, in
     texts that differ) the one of the smaller hash of its document counts as first.
     """
     drops = dropped_lines(docs, id_col=id_col, text=text)

@@ -278,6 +278,27 @@ def test_op6_edits_of_medium_lines(spark):
     assert 32 <= len(want) < 100 and len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ want) <= 1
 
 
+def test_op6_hashes_that_collide(spark, monkeypatch):
+    """Different lines of one first hash: none is taken for another; exact repeats go all the same."""
+    monkeypatch.setattr(line_dedup, "line_hash", lambda line: F.pmod(F.xxhash64(line), F.lit(23)))
+    rng = random.Random(31)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(80)) for _ in range(300)]
+    docs = [(i, "\n".join(lines[3 * i : 3 * i + 3])) for i in range(100)] + [(200, lines[5]), (201, f"{lines[7]}\nown line of this document")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_kept) for r in got.collect()), key=str) == brute_lines(docs)
+
+
+def test_op6_blocks_by_size(spark, monkeypatch):
+    """Lines too long for a common block are blocks of their own, with the same result."""
+    monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 900)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+    docs = list(enumerate(variants(rng, line, 3, 60)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    kept = lambda rows: {r[0] for r in rows if r[-1]}
+    assert len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ kept(brute_lines(docs))) <= 1
+
+
 def test_op6_recall(spark):
     """Links of an exact join of all lines whose ends come into one component."""
     docs = frames.table(spark, "/root/testdata/sf0.01", "documents")
