@@ -65,8 +65,8 @@ def whole_number(text: Column) -> Column:
 
 def strict_number(text: Column) -> Column:
     """The finite number that a CSV cell holds, null for blank cells and anything else (hexadecimal, 1d, NaN, Infinity)."""
-    cell = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    return F.when(cell.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), finite_or_null(cell.try_cast("double")))
+    x = text.try_cast("double")  # the cast trims by itself, and what matches is never NaN
+    return F.when(text.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$") & (F.abs(x) != float("inf")), x)
 
 
 def page_number(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import finite, fraction, strict_number
+from ..functions.values import fraction, strict_number
 from . import profile
 
 RANGES = ("full", "p01_p99", "p05_p95")
@@ -39,9 +39,9 @@ def report_bins(values: int) -> int:
 
 
 def report_histogram(report: DataFrame, metric: str) -> DataFrame:
-    """The histogram of a report's metric, with as many bins as its number of values asks for."""
-    rows = numbers(report, [metric])
-    return profile.histogram(rows, metric, report_bins(rows.where(finite(F.col(metric))).count()))
+    """The histogram of a report's metric, with as many bins as its number of values asks for (report_bins, as a column)."""
+    bins = lambda values: F.least(F.lit(REPORT_BINS), F.greatest(F.lit(1), F.floor(F.sqrt(values) + 0.5)))
+    return profile.histogram(numbers(report, [metric]), metric, bins)
 
 
 def display_range(distributions: list[dict], choice: str = "full") -> tuple[float, float] | None:

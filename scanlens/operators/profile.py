@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import finite, finite_or_null, fraction, missing, present
+from ..functions.values import finite_or_null, fraction, missing, present
 from ..spec import DatasetSpec
 from .views import group_key
 
@@ -123,16 +124,22 @@ def metric_stats(df: DataFrame, metric: str, by: list[str] | None = None, *, exa
     return out.select(*by, "row_count", "value_count", gone.alias("missing_count"), fraction(gone, F.col("row_count")).alias("missing_fraction"), "min", "max", "mean", "stddev", *quantiles)
 
 
-def histogram(df: DataFrame, metric: str, bins: int = 20) -> DataFrame:
-    """bin, start, end and count of equal-width bins over the finite values, empty bins too. The largest value is in the last bin, whose end it is. One distinct value gives the one bin [value, value]; no value, no bin."""
-    if bins < 1:
+def histogram(df: DataFrame, metric: str, bins: int | Callable[[Column], Column] = 20) -> DataFrame:
+    """bin, start, end and count of equal-width bins over the finite values, empty bins too. The largest value is in the last bin, whose end it is. One distinct value gives the one bin [value, value]; no value, no bin. bins may be a function of the number of values.
+
+    Two scans: one for the number of values and their range, one for the bins. Neither filters, as a filter would be pushed below
+    the metric's expression and make it again for each of its conditions; aggregates leave nulls out.
+    """
+    if not callable(bins) and bins < 1:
         raise ValueError("a histogram needs a bin")
-    rows = df.select(F.col(metric).cast("double").alias("v")).where(finite(F.col("v")))
-    edges = rows.agg(F.min("v").alias("low"), F.max("v").alias("high")).where(F.col("low").isNotNull())
-    edges = edges.withColumn("n", F.when(F.col("high") > F.col("low"), F.lit(bins)).otherwise(F.lit(1)))
+    rows = df.select(finite_or_null(F.col(metric)).alias("v"))
+    edges = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("values")).where("values > 0")
+    wanted = bins(F.col("values")) if callable(bins) else F.lit(bins)
+    edges = edges.withColumn("n", F.when(F.col("high") > F.col("low"), wanted).otherwise(F.lit(1)).cast("int"))
     edges = edges.withColumn("width", (F.col("high") - F.col("low")) / F.col("n"))
-    place = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.lit(bins - 1))).cast("int")
-    counted = rows.crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))  # edges is one row
+    place = F.when(F.col("n") == 1, F.lit(0)).otherwise(F.least(F.floor((F.col("v") - F.col("low")) / F.col("width")), F.col("n") - 1))
+    place = F.coalesce(F.when(F.col("v").isNotNull(), place).cast("int"), F.lit(-1))  # never null, or the join below would bring a filter
+    counted = rows.crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count("v").alias("count"))  # edges is one row
     every = edges.select("low", "high", "width", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bin"))
     start = F.col("low") + F.col("bin") * F.col("width")
     end = F.when(F.col("bin") == F.col("n") - 1, F.col("high")).otherwise(F.col("low") + (F.col("bin") + 1) * F.col("width"))

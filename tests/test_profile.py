@@ -88,3 +88,19 @@ def test_duplicates(spark, make, limit):
         own = duplicates.samples(df, spec, kind, limit, 3).drop("group_size").collect()
         key = lambda r: (r.group_key, r.member)
         assert [tuple(r)[1:] for r in sorted((m for m in members if m.kind == kind), key=key)] == [tuple(r) for r in sorted(own, key=key)]
+
+
+def test_report_histogram_parses_each_cell_once_a_scan(spark, tmp_path):
+    from scanlens.functions.values import strict_number
+    from scanlens.operators import compare
+
+    texts = [" 1", "2\t", "\n3.5\r", "+4.", ".5e1", "-0", "1e999", "-1e999", "0x10", "1d", "2f", "NaN", "Infinity", "", " ", None, "1 2", "7\u00a0", "\u00a07", "1\u0085", "1_0", "e5", ".", "8\n\n", "9" * 400]
+    want = [1.0, 2.0, 3.5, 4.0, 5.0, -0.0, *[None] * 17, 8.0, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, efc string")
+    got = df.select("i", strict_number(F.col("efc")).alias("x")).orderBy("i").collect()
+    assert len(texts) == len(want) and [r.x for r in got] == want
+    df.write.parquet(str(tmp_path / "report"))
+    out = compare.report_histogram(spark.read.parquet(str(tmp_path / "report")), "efc")
+    assert [(b.bin, b.start, b.end, b["count"]) for b in out.orderBy("bin").collect()] == [(0, 0.0, 2.6666666666666665, 3), (1, 2.6666666666666665, 5.333333333333333, 3), (2, 5.333333333333333, 8.0, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and not [line for line in plan.splitlines() if "Filter" in line and "RLIKE" in line]
