@@ -1,6 +1,6 @@
 """Operator 13: source divergence audit, how the words of each source differ from those of others in its language.
 
-Plain relational steps: terms are exploded from the texts and counted by language, source and term; a language
+Plain relational steps: terms are counted by language, source and term, within pieces of the texts first; a language
 keeps the terms of enough documents; its groups (sources) are crossed with these, so that terms that a group lacks
 stand there with zero; a join of that table with itself on language and term gives each two sources their
 divergence, and a ranked window the terms that set a source apart. All arithmetic is on whole numbers.
@@ -8,15 +8,20 @@ divergence, and a ranked window the terms that set a source apart. All arithmeti
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import frames
 from .frames import Scratch
+from .words import LOWER
 
-#: Fixed value: what stands between terms. (A split by it gives the matches of its complement; regexp_extract_all copies the whole text for each match.)
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed value: the bytes of terms, [^\x00-\x40\x5B-\x60\x7B-\x7F]. (Those from 0x80 on all belong to terms, so runs of bytes are runs of characters.)
+TERM = np.zeros(256, bool)
+TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Bytes of whole texts whose terms are counted together.
+PIECE_BYTES = 8 << 20
 #: Documents that a kept term needs, ranks of the terms of a group, parts into which a language's terms are dealt when they are crossed with its groups.
 LEAST_DOCS, TOP, DEALT = 10, 10, 64
 
@@ -30,13 +35,48 @@ def shares(count: str, size: str, kept: str) -> Column:
 APART = "(p - q) * (p - q) div (p + q)"
 
 
+def piece_counts(piece: pa.RecordBatch) -> pa.RecordBatch:
+    """term_counts() of some whole texts, by array operations: a number for each term and group, and one sort of the occurrences by group, term and row."""
+    data, offsets = frames.text_bytes(frames.column(piece, "text"))
+    starts, ends, before = term_spans(data, offsets)
+    places = np.concatenate([[0], np.cumsum(ends - starts)])
+    terms = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWER[data[TERM[data]]])]).dictionary_encode()
+    lang, source = (frames.column(piece, c).dictionary_encode() for c in ("lang", "source"))
+    groups = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    n_terms, n_rows = len(terms.dictionary), piece.num_rows
+    row = np.repeat(np.arange(n_rows), np.diff(before))
+    found = np.sort((groups[row] * n_terms + terms.indices.to_numpy()) * n_rows + row)
+    in_row = np.concatenate([[True], found[1:] != found[:-1]])[: len(found)]
+    found //= n_rows
+    at = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+    group, term = np.divmod(found[at], n_terms) if n_terms else (at, at)
+    n, docs = np.diff(np.append(at, len(found))), np.add.reduceat(in_row, at, dtype=np.int64) if len(at) else at
+    names = [x.dictionary.take(pa.array(i)).cast(pa.string()) for x, i in ((lang, group // len(source.dictionary)), (source, group % len(source.dictionary)), (terms, term))]
+    return pa.RecordBatch.from_arrays([*names, pa.array(n), pa.array(docs)], names=["lang", "source", "term", "n", "docs"])
+
+
+def term_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all terms, and the number of terms before each text (one more than texts)."""
+    inside = TERM[data]
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    tail[:-1] &= ~inside[1:]
+    some = offsets[1:] > offsets[:-1]  # terms don't go on from one text into the next
+    heads, tails = offsets[:-1][some], offsets[1:][some] - 1
+    head[heads], tail[tails] = inside[heads], inside[tails]
+    starts = np.flatnonzero(head)
+    return starts, np.flatnonzero(tail) + 1, np.searchsorted(starts, offsets)
+
+
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): the occurrences of each term in a group, and the group's documents with it. A row's terms are sorted, so that each one's first is known without another shuffle."""
-    body = F.translate("text", UPPER, LOWER)
-    found = rows.select("lang", "source", F.sort_array(F.split(body, BETWEEN)).alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (t != F.get(F.col("terms"), i - 1))).alias("first")))
-    each = found.select("lang", "source", F.explode(marked).alias("t")).select("lang", "source", "t.term", "t.first").where("term <> ''")  # a split leaves empty ends
-    return each.groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("docs"))
+    """(lang, source, term, n, docs): the occurrences of each term in a group, and the group's documents with it. What is shuffled has been summed over PIECE_BYTES of texts."""
+
+    def counted(batches):
+        for piece in frames.pieces(batches, "text", PIECE_BYTES):
+            yield piece_counts(piece)
+
+    sums = rows.select("text", "lang", "source").mapInArrow(counted, "lang string, source string, term string, n long, docs long")
+    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def crossed(groups: DataFrame, vocabulary: DataFrame) -> DataFrame:

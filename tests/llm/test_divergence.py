@@ -59,5 +59,14 @@ def test_odd_rows(spark, least):
     assert sorted(map(tuple, divergence.divergence(df, least_docs=least).collect())) == brute(rows, least)
 
 
+def test_terms_are_summed_before_rows_are_made(spark):
+    """No row for each occurrence of a term: only sums leave the step that reads texts."""
+    texts = [("Hot hot " * 50_000 + "é", "en", "s"), ("hot", "en", "s"), ("hot1HOT2\x00", "en", "t"), ("日本hot", "en", None), ("", "en", "s"), ("12 !", None, None)]
+    rows = spark.createDataFrame(texts, "text string, lang string, source string").na.fill("").coalesce(1)
+    counts = divergence.term_counts(rows)
+    assert sorted(map(tuple, counts.collect())) == [("en", "", "日本hot", 1, 1), ("en", "s", "hot", 100_001, 2), ("en", "s", "é", 1, 1), ("en", "t", "hot", 2, 1)]
+    assert "Generate" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(spark):
     assert divergence.divergence(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
