@@ -12,18 +12,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the least node of its component.
 
     Every round hands each node the least root among its own and its neighbours', hooks the old root to the
-    new one, and then shortens paths (root of root). A round is written to the shared folder, so lost executors
-    cost one round at most; older rounds are deleted. Links may repeat, go both ways, or lead from a node to
-    itself; no link is no row.
+    new one, and then shortens paths (root of root). Every node is linked with itself, too, so that one aggregate
+    has its own root beside its neighbours'. A round is written to the shared folder, so lost executors cost one
+    round at most; older rounds are deleted. Links may repeat, go both ways, or lead from a node to itself; no link
+    is no row.
     """
     scratch = Scratch(links.sparkSession, "components")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.written(both.distinct(), "links")
-    now = scratch.written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    ways = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"])
+    both = scratch.written(links.select(F.explode(ways).alias("l")).select("l.a", "l.b").distinct(), "links")
+    now = scratch.written(both.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root"), "roots")
     for _ in range(most_rounds):
         roots = now.select("node", "root")
-        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("near")).select(F.col("a").alias("node"), "near")
-        seen = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("best"))
+        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
+        seen = near.groupBy(F.col("a").alias("node")).agg(F.max(F.when(F.col("a") == F.col("b"), F.col("r"))).alias("root"), F.min("r").alias("best"))
         hooks = seen.where(F.col("best") < F.col("root")).groupBy("root").agg(F.min("best").alias("hook")).select(F.col("root").alias("node"), "hook")
         moved = seen.join(hooks, "node", "left").select("node", F.col("root").alias("was"), F.least("best", F.coalesce("hook", "best")).alias("to"))
         up = roots.select(F.col("node").alias("to"), F.col("root").alias("up"))

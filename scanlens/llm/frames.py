@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -80,6 +81,13 @@ class Scratch:
         for t in tables:
             path, _ = self.paths.pop(id(t))
             drop_folder(self.spark, path)
+        settle(self.spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver free what finished steps have left: plans, broadcast tables, generated classes. (Of hundreds of short queries in a row this fills its memory, as nothing is collected until the heap is full; spark.cleaner.periodicGC does the same by the clock.)"""
+    gc.collect()  # handles of Java objects in cycles of Python's
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -166,6 +166,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_dropped_tables_let_the_driver_collect(spark):
+    beans = list(spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    scratch = frames.Scratch(spark, "collected")
+    table = scratch.written(spark.range(3), "rows")
+    before = whole()
+    scratch.drop(table)
+    assert whole() > before
+
+
 def line_shingles(line):
     units, k = line.encode("utf-16-be"), line_dedup.SHINGLE
     return {units[2 * i : 2 * (i + k)] for i in range(len(units) // 2 - k + 1)}
