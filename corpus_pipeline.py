@@ -16,12 +16,13 @@ LEAST_SCORE = 0.5
 
 
 def wrapped(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text): the documents' own columns in one struct, so that no name of theirs clashes with an operator's."""
-    return docs.select(F.struct(*[frames.named(c).alias(c) for c in docs.columns]).alias("doc"), "doc_id", "text")
+    """(doc, doc_id, text): the documents' other columns in one struct, so that no name of theirs clashes with an operator's. The text isn't in it: each copy would go to the Python workers and back."""
+    return docs.select(F.struct(*[frames.named(c).alias(c) for c in docs.columns if c != "text"]).alias("doc"), "doc_id", "text")
 
 
 def unwrapped(rows: DataFrame, names: list[str], **changed: Column) -> DataFrame:
-    return rows.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in names])
+    changed = {"text": F.col("text")} | changed
+    return rows.select(*[changed[c] if c in changed else F.col("doc")[c] for c in names]).toDF(*names)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line resembles; documents of which nothing is left go. n_chars follows the text."""
     left = line_dedup.dedup_lines(wrapped(docs))
     left = left.where((F.col("n_kept") == F.col("n_lines")) | (F.btrim("text", F.lit(line_dedup.BLANK + "\n")) != ""))
-    return unwrapped(left, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
+    return unwrapped(left, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -224,7 +224,8 @@ def contamination(
     own = [f.name for f in fields]
     more = False
     for ids, texts, last in blocks(rows, item_bytes, scratch):
-        ends = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else f"body string, {STATE}").fields
+        body = "" if "body" in own else "body string, "
+        ends = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else body + STATE).fields
         schema = T.StructType([*fields, *ends, *([T.StructField("spans", T._parse_datatype_string(SPAN))] if with_spans else [])])
         sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
         out = out.mapInArrow(searcher(sent, own, window, with_spans, more, last), schema)
@@ -283,8 +284,9 @@ def searcher(sent, names: list[str], window: int, keep: bool, more: bool, last:
                 a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 by_doc = np.searchsorted(shard.doc[a], np.arange(docs + 1))
                 runs = pa.StructArray.from_arrays([pa.array((x).astype(np.int32)) for x in (a - shard.starts[shard.doc[a]] if docs else a, b - a)], ["at", "length"])
-                cols = [*own, column(part, "body"), pa.ListArray.from_arrays(pa.array(by_doc.astype(np.int32)), runs), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-                called = [*names, "body", "hits", "found"]
+                body = [] if "body" in names else ["body"]
+                cols = [*own, *(column(part, c) for c in body), pa.ListArray.from_arrays(pa.array(by_doc.astype(np.int32)), runs), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                called = [*names, *body, "hits", "found"]
             if keep:
                 text, item_word, place, length = shard.spans(items, words, low, n)
                 each = np.array([len(x) for x in items.ids], np.int64)[text] if len(text) else text

@@ -102,11 +102,13 @@ def named(name: str) -> Column:
 
 
 def carried(docs: DataFrame, text: str, made: list[str], *, keep_text: bool = True) -> tuple[DataFrame, list[T.StructField], list[str]]:
-    """docs as an operator on Arrow batches takes them: columns c0, c1, ... (all but those it makes, and the text unless keep_text) and `body`, the text; the fields of the first; their own names, which no inner name can clash with."""
+    """docs as an operator on Arrow batches takes them: columns c0, c1, ... (all but those it makes, and the text unless keep_text) and `body`, the text; the fields of the first; their own names, which no inner name can clash with. A text that is kept and a string goes once: its field is `body` itself."""
     own = [f for f in docs.schema.fields if f.name not in made and (keep_text or f.name != text)]
-    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(own)]
-    rows = docs.select(*[named(f.name).alias(c.name) for f, c in zip(own, fields, strict=True)], named(text).cast("string").alias("body"))
-    return rows, fields, [f.name for f in own]
+    fields = [T.StructField("body" if f.name == text and f.dataType == T.StringType() else f"c{i}", f.dataType) for i, f in enumerate(own)]
+    columns = [named(f.name).alias(c.name) for f, c in zip(own, fields, strict=True)]
+    if not any(c.name == "body" for c in fields):
+        columns.append(named(text).cast("string").alias("body"))
+    return docs.select(*columns), fields, [f.name for f in own]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

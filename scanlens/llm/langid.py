@@ -23,6 +23,8 @@ from .pretoken import LETTER, classes, mix, run_hashes
 
 #: Labelled rows of each language that a model is fitted on (about; picked by a hash of id and text, whole texts), and words that a worker remembers.
 SAMPLE_ROWS, MEMO_WORDS = 80, 500_000
+#: Bytes of text that are labelled at once (some 100 bytes of memory each); a longer text is a piece of its own.
+LABEL_BYTES = 1 << 20
 FEATURES = 1 << 17
 UNKNOWN = "und"
 
@@ -194,7 +196,7 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.hashes = np.empty(0, np.uint64)  # sorted; known has their scores
         self.known = np.empty((0, len(self.model.labels)))
 
     def label(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,16 +207,19 @@ class Labeller:
             return np.empty((0, k)), doc[:0], starts[:0], lengths[:0]
         first = np.cumsum(lengths) - lengths
         distinct, where, word = np.unique(run_hashes(letters, first, lengths), return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > MEMO_WORDS:
+        if len(self.hashes) + len(distinct) > MEMO_WORDS:
             self.clear()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.index]
-        if new:
-            at = where[new]
+        place = np.searchsorted(self.hashes, distinct)
+        inside = place < len(self.hashes)
+        fresh = np.ones(len(distinct), bool)
+        fresh[inside] = self.hashes[place[inside]] != distinct[inside]
+        if fresh.any():
+            at = where[fresh]
             n = lengths[at]
-            self.index.update(zip([keys[i] for i in new], range(len(self.index), len(self.index) + len(new)), strict=True))
-            self.known = np.concatenate([self.known, self.model.scores(letters[frames.ragged(first[at], n)], np.cumsum(n) - n, n)])
-        scores = self.known[[self.index[h] for h in keys]]
+            scores = self.model.scores(letters[frames.ragged(first[at], n)], np.cumsum(n) - n, n)
+            self.known = np.insert(self.known, place[fresh], scores, axis=0)
+            self.hashes = np.insert(self.hashes, place[fresh], distinct[fresh])
+        scores = self.known[np.searchsorted(self.hashes, distinct)]
         chain = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         a, b = forward_backward(potentials(scores)[word], np.exp(self.model.moves), chain, np.diff(np.append(chain, len(word))))
         posterior = a * b
@@ -271,7 +276,7 @@ def detect(docs: DataFrame, model: Model, *, text: str = "text", with_words: boo
     def run(batches):
         use = labeller(sent)
         labels = use.model.labels
-        for part in pieces(batches, "body"):
+        for part in pieces(batches, "body", LABEL_BYTES):
             texts = column(part, "body").fill_null("").to_pylist()
             posterior, doc, starts, lengths = use.label(texts)
             n = np.bincount(doc, minlength=len(texts))

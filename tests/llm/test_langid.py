@@ -102,3 +102,15 @@ def test_detect_against_enumeration(spark, model):
                 mass[j, x] += w
         mean = (mass / mass.sum(axis=1, keepdims=True)).mean(axis=0)
         assert got[i].lang_pred == model.labels[mean.argmax()] and got[i].score == pytest.approx(mean.max(), rel=1e-6)
+
+
+def test_remembered_words_keep_their_scores(model, monkeypatch):
+    texts = ["the cat and the dog\nle chien", "", "der Hund und the cat", "el perro y la casa", "la maison und das Haus", "the dog le perro"]
+    want = langid.Labeller(model).label(texts)[0]
+    for most in (500_000, 6, 1):
+        monkeypatch.setattr(langid, "MEMO_WORDS", most)
+        use = langid.Labeller(model)
+        for _ in range(2):
+            got = np.concatenate([use.label([t])[0] for t in texts])
+            assert np.allclose(got, want, rtol=1e-12, atol=0)
+        assert len(use.hashes) == len(use.known) and (use.hashes[1:] > use.hashes[:-1]).all()

@@ -75,3 +75,24 @@ def test_language_rejects_mixed_text(spark):
 @pytest.fixture(scope="module", autouse=True)
 def names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_duplicates", "benchmark", "tokens"]
+
+
+def test_texts_go_to_python_once(spark):
+    docs = frames.table(spark, SF, "documents")
+    for stage in (corpus_pipeline.language, corpus_pipeline.benchmark):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().optimizedPlan()
+        nodes = [plan]
+        for node in nodes:
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        (sent,) = [n.child().schema() for n in nodes if n.nodeName() == "MapInArrow"]
+        assert sent.fieldNames().count("body") == 1 and len(sent.fieldNames()) == 3
+        assert '"text"' not in sent.json()
+
+
+def test_texts_of_other_types_still_go(spark):
+    docs = spark.createDataFrame([(1, b"abc", "x")], "doc_id long, text binary, body string")
+    rows, fields, names = frames.carried(docs, "text", [])
+    assert rows.columns == ["c0", "c1", "c2", "body"] and names == docs.columns and rows.first().body == "abc"
+    rows, fields, names = frames.carried(docs.withColumn("text", F.lit("t")), "text", ["doc_id"])
+    assert rows.columns == ["body", "c1"] and tuple(rows.first()) == ("t", "x") and [f.name for f in fields] == ["body", "c1"] and names == ["text", "body"]
