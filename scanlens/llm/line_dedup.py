@@ -8,8 +8,10 @@ values are together in one band. Lines that share a band's key are candidates.
 
 Candidates are compared by bit sketches first (a bit for each shingle's hash; bits that differ are at most the
 shingles that differ), then exactly: each line of a key with the key's least one, and, for keys whose lines are
-still of different components, all those with each other, in blocks. Connected components of the links keep one
-line each: the first one by document id and line number. Lines that are equal are one line from the start.
+still of different components, all those with each other. In large keys that is done in blocks: first each line with
+the one of another component whose sketch is nearest, then all that are of different components still. Connected
+components of the links keep one line each: the first one by document id and line number. Lines that are equal are
+one line from the start.
 
 The search for links knows lines by 64-bit hashes: of different lines with the same hash one is looked at for links.
 What goes is known by 128 bits: a line goes only if its second hash, too, is that of a linked line or of a repeat.
@@ -29,8 +31,8 @@ from .frames import BROADCAST_ROWS, Scratch, small
 #: Characters (UTF-16 units) of a shingle, similarity in percent.
 SHINGLE, PERCENT = 7, 80
 #: Values of a signature (the points of a plane of order 4), longs of a sketch, shingles of a chunk, lines of a key whose pairs are all listed, most lines of a block of a larger key.
-MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 16, 20, 128
-#: Characters of a block's lines, in the mean; a longer line is a block of its own.
+MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 8, 20, 128
+#: Characters of a block's lines, in the mean; a longer line is a block of its own. It bounds what one pair of blocks hands on to the exact comparison.
 BLOCK_CHARS = 1 << 20
 #: The seed of second hashes.
 SECOND = 1
@@ -82,10 +84,10 @@ def shingle_at(u: Column, at: Column, last: Column) -> Column:
 
 
 def chunks(lines: DataFrame, size: int) -> DataFrame:
-    """(h, x0, x1, ...): the hashes of `size` shingles of a line (h, line) in each row; the last ones repeat at its end."""
+    """(h, n, x0, x1, ...): the hashes of `size` of the n shingles of a line (h, line) in each row; the last ones repeat at its end."""
     rows = lines.select("h", units(F.col("line")).alias("u")).withColumn("last", F.octet_length("u") - 2 * SHINGLE + 1).where("last > 0")
     rows = rows.select("h", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(2 * size))).alias("at"))
-    return rows.select("h", *[shingle_at(F.col("u"), F.col("at") + 2 * j, F.col("last")).alias(f"x{j}") for j in range(size)])
+    return rows.select("h", ((F.col("last") + 1) / 2).cast("int").alias("n"), *[shingle_at(F.col("u"), F.col("at") + 2 * j, F.col("last")).alias(f"x{j}") for j in range(size)])
 
 
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
@@ -94,11 +96,12 @@ def lines_of(docs: DataFrame, text: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """(h, m0, m1, ...) of the lines (h, line) that have a shingle."""
+    """(h, m0, m1, ...) of the lines (h, line) that have a shingle. (A chunk's minima are columns below the aggregate; more shingles a chunk make methods that Java compiles badly.)"""
     turned = [F.expr(f"shiftleft(x{j}, 32) | shiftrightunsigned(x{j}, 32)").alias(f"y{j}") for j in range(CHUNK)]
     rows = chunks(lines, CHUNK).select("h", *[f"x{j}" for j in range(CHUNK)], *turned)
-    near = lambda k, mask: F.min(F.least(*[F.col(f"{'xy'[k >= MINS // 2]}{j}").bitwiseXOR(F.lit(mask)) for j in range(CHUNK)]))
-    return rows.groupBy("h").agg(*[near(k, mask).alias(f"m{k}") for k, mask in enumerate(masks())])
+    near = lambda k, mask: F.least(*[F.col(f"{'xy'[k >= MINS // 2]}{j}").bitwiseXOR(F.lit(mask)) for j in range(CHUNK)])
+    rows = rows.select("h", *[near(k, mask).alias(f"m{k}") for k, mask in enumerate(masks())])
+    return rows.groupBy("h").agg(*[F.min(f"m{k}").alias(f"m{k}") for k in range(MINS)])
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -107,20 +110,28 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select(F.explode(keys).alias("key"), "h")
 
 
+def key_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, h): the lines of each key that several share; keys of the same lines are one key."""
+    shared = bands(signed).groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("h")).alias("same")).where("many > 1")
+    one = scratch.written(shared.groupBy("many", "same").agg(F.min("key").alias("key")).select("key"), "shared")
+    members = scratch.written(bands(signed).join(small(one), "key", "left_semi").select("key", "h"), "members")
+    scratch.drop(one)
+    return members
+
+
 def sketches(lines: DataFrame) -> DataFrame:
     """(h, n, w0, w1, ...): the number of shingles (repeated ones count) and the sketch of distinct lines (h, line)."""
-    size = CHUNK // 2
-    words = [F.col(f"x{j}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{j}") for j in range(size)]
-    bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x{j}, 8) & 63 AS int))").alias(f"b{j}") for j in range(size)]
-    rows = chunks(lines, size).select("h", *words, *bits)
+    words = [F.col(f"x{j}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{j}") for j in range(CHUNK)]
+    bits = [F.expr(f"cast(shiftrightunsigned(x{j}, 8) & 63 AS int)").alias(f"b{j}") for j in range(CHUNK)]
+    rows = chunks(lines, CHUNK).select("h", "n", *words, *bits)
 
     def word(k: int) -> Column:
-        out = F.when(F.col("w0") == k, F.col("b0")).otherwise(F.lit(0).cast("long"))
-        for j in range(1, size):
-            out = out.bitwiseOR(F.when(F.col(f"w{j}") == k, F.col(f"b{j}")).otherwise(F.lit(0).cast("long")))
+        out = F.lit(0).cast("long")
+        for j in range(CHUNK):
+            out = out.bitwiseOR(F.expr(f"shiftleft(cast(w{j} = {k} AS long), b{j})"))
         return F.bit_or(out)
 
-    return rows.groupBy("h").agg(*[word(k).alias(f"w{k}") for k in range(WORDS)])
+    return rows.groupBy("h").agg(F.max("n").alias("n"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
 
 
 def shingle_set(line: Column) -> Column:
@@ -130,32 +141,30 @@ def shingle_set(line: Column) -> Column:
     return F.get(F.transform(F.array(units(line)), hashes), F.lit(0))
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether two lines link: 100 * |A and B| >= PERCENT * |A or B| of their shingle sets. (Both sets are bound, and so made once.)"""
-
-    def decide(p: Column) -> Column:
-        common = F.size(F.array_intersect(p["x"], p["y"]))
-        return 100 * common >= PERCENT * (F.size(F.array_distinct(p["x"])) + F.size(F.array_distinct(p["y"])) - common)
-
-    return F.get(F.transform(F.array(F.struct(shingle_set(a).alias("x"), shingle_set(b).alias("y"))), decide), F.lit(0))
+def apart(a, b) -> Column:
+    """How many bits of the sketches (fields w0, w1, ...) of two lines differ."""
+    out = F.lit(0)
+    for k in range(WORDS):
+        out = out + F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}")))
+    return out
 
 
-def near(a, b) -> Column:
-    """Whether the sketches of two lines (fields n, w0, w1, ...) don't rule a link out: linked sets differ in (100 - PERCENT) / (100 + PERCENT) of their sizes at most."""
-    apart = F.lit(0)
-    for k in range(WORDS):
-        apart = apart + F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}")))
-    return (100 + PERCENT) * apart <= (100 - PERCENT) * (a("n") + b("n"))
+def most_apart(n: Column, m: Column) -> Column:
+    """Bits that differ at most in sketches of lines of n and m shingles that link: linked sets differ in (100 - PERCENT) / (100 + PERCENT) of their sizes at most."""
+    return F.floor((100 - PERCENT) * (n + m) / F.lit(100 + PERCENT))
 
 
-def linked_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of lines, a written table, that link."""
+def linked_pairs(pairs: DataFrame, nodes: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those pairs (a, b) of lines, a written table, that link: by sketches first, texts are fetched for what is left."""
     named = lambda side: nodes.select(F.col("h").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "h"])
     one = named("b").join(small(pairs), "b")
     two = named("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
-    close = one.join(two, "a").where(near(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
+    close = one.join(two, "a").where(apart(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) <= most_apart(F.col("a_n"), F.col("b_n")))
+    close = scratch.written(close.select("a", "b"), "close")
+    texts = lambda side: lines.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line"))
+    both = texts("b").join(small(close), "b").join(texts("a").join(small(close.select("a").distinct()), "a", "left_semi"), "a")
     # the sets go through explode() so that each is made once, and compared by generated code
-    both = close.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("a_line")).alias("x"), shingle_set(F.col("b_line")).alias("y")))).alias("p"))
+    both = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("a_line")).alias("x"), shingle_set(F.col("b_line")).alias("y")))).alias("p"))
     return both.where(100 * F.size(F.array_intersect("p.x", "p.y")) >= PERCENT * F.size(F.array_union("p.x", "p.y"))).select("a", "b")
 
 
@@ -166,10 +175,10 @@ def star_pairs(members: DataFrame) -> DataFrame:
 
 
 def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, h, root, open, many): the members (key, h, open) of keys that have lines of different components, open ones among them."""
-    rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s"), F.max("open").alias("some")).where("r <> s and some")
-    return rows.join(mixed.select("key", "many"), "key").select("key", "h", "root", "open", "many")
+    """(key, h, root, many): the members (key, h) of keys that have lines of different components."""
+    rows = members.select("key", "h").join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    return rows.join(mixed.select("key", "many"), "key").select("key", "h", "root", "many")
 
 
 def few_pairs(mixed: DataFrame) -> DataFrame:
@@ -179,35 +188,29 @@ def few_pairs(mixed: DataFrame) -> DataFrame:
     return both.where("a < b and r <> s").select("a", "b").distinct()
 
 
-def block_links(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
-    """(key, a, b): links between lines of different components in keys of more than FEW lines, from mixed_members().
+def block_pairs(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
+    """(a, b): pairs of lines of different components, in keys of more than FEW lines, whose sketches don't rule a link out.
 
-    The lines of a key are taken in blocks of bounded sizes, a row for each pair of blocks; a pair of lines is looked
-    at in the least of these keys that they share. An open line gives one link for each pair of blocks or, with everyone,
-    all.
+    The lines of a key are taken in blocks of bounded sizes, a row for each pair of blocks, with sketches only. A line
+    gives its nearest one of each pair of blocks or, with everyone, all.
     """
-    rows = mixed.where(F.col("many") > FEW)
+    rows = mixed.where(F.col("many") > FEW).join(nodes, "h")
     blocks = F.ceil(F.greatest(F.max("many") / BLOCK, F.sum("n") / BLOCK_CHARS)).cast("int")
-    rows = rows.join(rows.join(nodes.select("h", "n"), "h").groupBy("key").agg(blocks.alias("blocks")), "key")
-    keys = rows.groupBy("h").agg(F.collect_list("key").alias("keys"))
-    line = F.struct("h", "root", "open", "keys", *[c for c in nodes.columns if c != "h"]).alias("line")
-    full = rows.join(nodes.join(keys, "h"), "h").select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line)
+    rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key")
+    # no field is null, so that generated code needs no tests for nulls in its loop
+    line = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("h", "root", "n", *[f"w{k}" for k in range(WORDS)])])
+    full = rows.select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line.alias("line"))
     block = full.groupBy("key", "block").agg(F.collect_list("line").alias("lines"), F.max("blocks").alias("blocks"))
     # (i, j) and (j, i) are one pair, i of the one side and j of the other
     left = block.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("lines").alias("one"))
     both = left.join(block.select("key", F.col("block").alias("j"), F.col("lines").alias("two")), ["key", "j"])
-
-    def linked(a: Column, b: Column) -> Column:
-        apart = (a["root"] != b["root"]) & (a["open"] | b["open"]) & ((F.col("i") != F.col("j")) | (a["h"] < b["h"]))
-        return apart & near(lambda c: a[c], lambda c: b[c]) & (F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key")) & similar(a["line"], b["line"])
-
-    if everyone:
-        links = lambda a: F.transform(F.filter("two", lambda b: linked(a, b)), lambda b: F.struct(a["h"].alias("a"), b["h"].alias("b")))
-        found = F.flatten(F.transform("one", links))
-    else:
-        first = lambda a: F.aggregate("two", F.lit(None).cast("long"), lambda got, b: F.when(got.isNotNull(), got).when(linked(a, b), b["h"]))
-        found = F.filter(F.transform("one", lambda a: F.struct(a["h"].alias("a"), first(a).alias("b"))), lambda p: p["b"].isNotNull())
-    return both.select("key", F.explode(found).alias("p")).select("key", "p.a", "p.b")
+    # two explode() make a loop in a loop of generated code, which functions with lambdas don't
+    both = both.select("key", "i", "j", "two", F.explode("one").alias("x")).select("key", "i", "j", "x", F.explode("two").alias("y"))
+    both = both.where("x.root <> y.root and (i <> j or x.h < y.h)").withColumn("apart", apart(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    both = both.where(F.col("apart") <= most_apart(F.col("x.n"), F.col("y.n"))).select("key", "i", "j", "apart", F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    if not everyone:
+        both = both.groupBy("key", "i", "j", "a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", "first.b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
@@ -216,42 +219,36 @@ def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
 
 
 def links_and_lines(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """line_links(), and (h, line, ...): the lines that have been looked at."""
+    """line_links(), and (h, line): the lines that have been looked at."""
     signed = scratch.written(signatures(lines_of(docs, text)), "signatures")
-    shared = scratch.written(bands(signed).groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "shared")
-    entries = scratch.written(bands(signed).join(small(shared), "key"), "entries")
-    scratch.drop(signed, shared)
-    # keys of the same lines are one key
-    one = entries.groupBy("key").agg(F.max("many").alias("many"), F.bit_xor(F.xxhash64("h")).alias("same")).groupBy("many", "same").agg(F.min("key").alias("key"))
-    members = scratch.written(entries.select("key", "h").join(one.select("key"), "key", "left_semi"), "members")
-    scratch.drop(entries)
+    members = key_members(signed, scratch)
+    scratch.drop(signed)
     wanted = scratch.written(members.select("h").distinct(), "wanted")
     lines = scratch.written(lines_of(docs, text).join(small(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
-    n = ((F.octet_length(units(F.col("line"))) / 2).cast("int") - SHINGLE + 1).alias("n")
-    nodes = scratch.written(lines.select("h", "line", n).join(sketches(lines), "h"), "nodes")
-    scratch.drop(wanted, lines)
+    nodes = scratch.written(sketches(lines), "nodes")
+    scratch.drop(wanted)
     stars = scratch.written(star_pairs(members), "stars")
-    links = scratch.written(linked_pairs(stars, nodes), "links")
-    # keys with lines of different components: all pairs of small ones, blocks of large ones
-    mixed = scratch.written(mixed_members(members.withColumn("open", F.lit(True)), components(links)), "mixed")
-    pairs = scratch.written(few_pairs(mixed).join(stars, ["a", "b"], "left_anti"), "pairs")
-    found = scratch.written(block_links(mixed, nodes, False), "found")
-    links = links.unionByName(scratch.written(linked_pairs(pairs, nodes), "links")).unionByName(found.select("a", "b"))
-    if found.limit(1).count():  # a line that gave one link may have others, to other components
-        gave = found.select("key", F.col("a").alias("h")).distinct().withColumn("gave", F.lit(True))
-        rows = members.join(found.select("key").distinct(), "key", "left_semi").join(gave, ["key", "h"], "left").select("key", "h", F.coalesce("gave", F.lit(False)).alias("open"))
-        more = block_links(mixed_members(rows, components(links)), nodes, True)
-        links = links.unionByName(scratch.written(more.select("a", "b"), "links"))
-    scratch.drop(stars, mixed, pairs)
-    return links, nodes
+    links = scratch.written(linked_pairs(stars, nodes, lines, scratch), "links")
+    # keys with lines of different components: all pairs of small ones, nearest ones in blocks of large ones
+    mixed = scratch.written(mixed_members(members, components(links)), "mixed")
+    pairs = few_pairs(mixed).unionByName(block_pairs(mixed, nodes, False)).distinct()
+    pairs = scratch.written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(scratch.written(linked_pairs(pairs, nodes, lines, scratch), "links"))
+    large = mixed.where(F.col("many") > FEW)
+    if large.limit(1).count():  # what large keys have of different components still: all pairs
+        rest = block_pairs(mixed_members(large, components(links)), nodes, True)
+        rest = scratch.written(rest.join(stars.unionByName(pairs), ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(scratch.written(linked_pairs(rest, nodes, lines, scratch), "links"))
+    scratch.drop(members, stars, mixed, pairs, nodes)
+    return links, lines
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, drop): the numbers (from 0) of the lines that go, for every document (`row_key`) with any."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    links, nodes = links_and_lines(docs, text, scratch)
+    links, lines = links_and_lines(docs, text, scratch)
     roots = components(links).where("node <> root").select(F.col("node").alias("h"), "root")
-    twins = nodes.select("h", second_hash(F.col("line")).alias("twin"))
+    twins = lines.select("h", second_hash(F.col("line")).alias("twin"))
     roots = roots.join(twins, "h").join(twins.select(F.col("h").alias("root"), F.col("twin").alias("root_twin")), "root")
     roots = scratch.written(roots.select("h", "twin", "root", "root_twin"), "roots")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))

@@ -309,6 +309,21 @@ def test_op6_blocks_by_size(spark, monkeypatch):
     assert len(kept((r.doc_id, r.n_kept) for r in got.collect()) ^ kept(brute_lines(docs))) <= 1
 
 
+def test_op6_blocks_are_compared_by_generated_code(spark):
+    """Large keys: no function with a lambda (Spark interprets those for each pair of lines), no texts in the blocks; all links are among the pairs."""
+    rng = random.Random(17)
+    names = variants(rng, "".join(rng.choice("abcdefghijklmnop ") for _ in range(400)), 5, 40)
+    lines = spark.createDataFrame(list(enumerate(names)), "h long, line string")
+    mixed = spark.createDataFrame([(key, i, i, len(names)) for key in (5, 6) for i in range(len(names))], "key long, h long, root long, many long")
+    nodes = line_dedup.sketches(lines)
+    every, first = (line_dedup.block_pairs(mixed, nodes, everyone) for everyone in (True, False))
+    assert "line" not in nodes.columns and "lambda" not in every._jdf.queryExecution().executedPlan().toString()
+    got = [(names[r.a], names[r.b]) for r in every.collect()]
+    assert len(set(got)) == len(got) and set(map(frozenset, line_pairs(names))) <= set(map(frozenset, got))
+    near = {(names[r.a], names[r.b]) for r in first.collect()}
+    assert near <= set(got) and {p[0] for p in near} == {p[0] for p in got}
+
+
 def test_op6_recall(spark):
     """Links of an exact join of all lines whose ends come into one component."""
     docs = frames.table(spark, "/root/testdata/sf0.01", "documents")
