@@ -9,7 +9,6 @@ merged side by side (a tree per column of an array); a long match has a tree to
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 
 import numpy as np
@@ -29,10 +28,9 @@ SHORT = 64
 NONE = np.int32(2**31 - 1)
 
 
-@functools.lru_cache(2)
 def coder(path: str) -> Coder:
-    """The coder of a rank file, made once for each Python worker."""
-    return Coder(path)
+    """The coder of a rank file, kept by the worker for its next task."""
+    return frames.remembered("bpe", path, lambda: Coder(path))
 
 
 class Coder:
@@ -256,6 +254,7 @@ def round_trip(docs: DataFrame, *, ranks_path: str = RANKS, id_col: str = "doc_i
                 ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    frames.bounded_batches(docs.sparkSession)
     rows = docs.select(frames.named(id_col).alias("id"), frames.named(text).cast("string").alias("body"))
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 

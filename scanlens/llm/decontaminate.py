@@ -12,6 +12,7 @@ a document and before its partner in an item differ, and end where those after t
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -227,22 +228,17 @@ def contamination(
         body = "" if "body" in own else "body string, "
         ends = T.StructType.fromDDL("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" if last else body + STATE).fields
         schema = T.StructType([*fields, *ends, *([T.StructField("spans", T._parse_datatype_string(SPAN))] if with_spans else [])])
-        sent = docs.sparkSession.sparkContext.broadcast((ids, texts))
+        sent = docs.sparkSession.sparkContext.broadcast((ids, texts, uuid.uuid4().hex))
         out = out.mapInArrow(searcher(sent, own, window, with_spans, more, last), schema)
         if not last:
             out, more = frames.written(out, "contamination"), True
     return out.toDF(*names, *schema.names[len(fields) :])
 
 
-#: A worker's items: of the block that it looked at last.
-HELD: list = []
-
-
 def held_items(sent, window: int) -> Items:
-    """The arrays of a block of items, made once for each worker and block."""
-    if not HELD or HELD[0][0] is not sent.value or HELD[0][1] != window:
-        HELD[:] = [(sent.value, window, Items(*sent.value, window))]
-    return HELD[0][2]
+    """The arrays of a block of items, kept by the worker for its next task."""
+    ids, texts, name = sent.value
+    return frames.remembered("items", (name, window), lambda: Items(ids, texts, window))
 
 
 def searcher(sent, names: list[str], window: int, keep: bool, more: bool, last: bool):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,8 @@ from pyspark.sql import types as T
 PIECE_BYTES = 2 << 20
 #: Rows (16 bytes or so) up to which a table whose rows have been counted is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Documents that Spark hands to a Python worker at once, at most, and its setting for that (10000 texts of some KB, on both sides and for each task, are a good part of an executor's memory).
+ARROW_ROWS, ARROW_SETTING = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Spark's setting that deletes the shuffle files of a query at its end.
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -101,8 +106,37 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: What this Python worker remembers: the operator, a key, the value.
+REMEMBERED: list[tuple[str, Any, Any]] = []
+
+
+def remembered(owner: str, key: Any, make: Callable[[], Any]) -> Any:
+    """make(), kept by the worker for its next task: of one operator and key at a time, or what one stage remembers would stay while the next ones run in the same workers."""
+    if not REMEMBERED or REMEMBERED[0][:2] != (owner, key):
+        REMEMBERED.clear()
+        give_back()
+        REMEMBERED.append((owner, key, make()))
+    return REMEMBERED[0][2]
+
+
+def give_back() -> None:
+    """Hand memory that Python, Arrow and the C library hold, but don't use, back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most ARROW_ROWS rows to a Python worker at once; a smaller setting stays."""
+    now = int(spark.conf.get(ARROW_SETTING))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+
+
 def carried(docs: DataFrame, text: str, made: list[str], *, keep_text: bool = True) -> tuple[DataFrame, list[T.StructField], list[str]]:
     """docs as an operator on Arrow batches takes them: columns c0, c1, ... (all but those it makes, and the text unless keep_text) and `body`, the text; the fields of the first; their own names, which no inner name can clash with. A text that is kept and a string goes once: its field is `body` itself."""
+    bounded_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in made and (keep_text or f.name != text)]
     fields = [T.StructField("body" if f.name == text and f.dataType == T.StringType() else f"c{i}", f.dataType) for i, f in enumerate(own)]
     columns = [named(f.name).alias(c.name) for f, c in zip(own, fields, strict=True)]

@@ -226,16 +226,10 @@ class Labeller:
         return posterior / posterior.sum(axis=1, keepdims=True), doc, starts, lengths
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def labeller(sent) -> Labeller:
     """The labeller of a broadcast model, kept by the worker for its next task."""
     model, name = sent.value
-    if name not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[name] = Labeller(model)
-    return _LABELLERS[name]
+    return frames.remembered("langid", name, lambda: Labeller(model))
 
 
 def threshold(count: int, wanted: int) -> int:

@@ -6,20 +6,19 @@ kept in a Memo. Any other file, and any text that holds a special string of the
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
 
 import numpy as np
 
+from . import frames
 from .pretoken import Memo
 
 
-@functools.lru_cache(2)
 def encoder(path: str) -> LibraryEncoder:
-    """The encoder of a file, made once for each Python worker."""
-    return LibraryEncoder(path)
+    """The encoder of a file, kept by the worker for its next task."""
+    return frames.remembered("library", path, lambda: LibraryEncoder(path))
 
 
 def file_digest(path: str) -> str:

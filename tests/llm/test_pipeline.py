@@ -96,3 +96,37 @@ def test_texts_of_other_types_still_go(spark):
     assert rows.columns == ["c0", "c1", "c2", "body"] and names == docs.columns and rows.first().body == "abc"
     rows, fields, names = frames.carried(docs.withColumn("text", F.lit("t")), "text", ["doc_id"])
     assert rows.columns == ["body", "c1"] and tuple(rows.first()) == ("t", "x") and [f.name for f in fields] == ["body", "c1"] and names == ["text", "body"]
+
+
+def test_worker_remembers_one_operator_at_a_time():
+    import gc
+    import weakref
+
+    from scanlens.llm import bpe, frames, langid
+
+    class Sent:
+        value = (langid.train(["one two three four", "eins zwei drei vier"], ["en", "de"]), "model")
+
+    coder = bpe.coder(bpe.RANKS)
+    assert bpe.coder(bpe.RANKS) is coder
+    gone = weakref.ref(coder)
+    del coder
+    use = langid.labeller(Sent)
+    assert langid.labeller(Sent) is use
+    gc.collect()
+    assert gone() is None
+    assert [owner for owner, _, _ in frames.REMEMBERED] == ["langid"]
+
+
+def test_documents_go_to_python_in_bounded_batches(spark):
+    from scanlens.llm import bpe, frames
+
+    before = spark.conf.get(frames.ARROW_SETTING)
+    try:
+        for set_to, then in (("10000", str(frames.ARROW_ROWS)), ("0", str(frames.ARROW_ROWS)), ("7", "7")):
+            spark.conf.set(frames.ARROW_SETTING, set_to)
+            docs = spark.createDataFrame([(1, "one"), (2, None)], "doc_id long, text string")
+            assert bpe.round_trip(docs).count() == 2
+            assert spark.conf.get(frames.ARROW_SETTING) == then
+    finally:
+        spark.conf.set(frames.ARROW_SETTING, before)
