@@ -36,3 +36,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             scratch.drop(both)
             return now.select("node", "root")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of the links that made `roots` (node, root) and more links (a, b): only roots are linked anew."""
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    up = components(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b"))
+    more = up.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = roots.join(more, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    alone = up.join(roots.select("node"), "node", "left_anti")
+    return Scratch(links.sparkSession, "components").written(old.unionByName(alone), "joined")

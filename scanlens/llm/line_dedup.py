@@ -8,8 +8,8 @@ values are together in one band. Lines that share a band's key are candidates.
 
 Candidates are compared by bit sketches first (a bit for each shingle's hash; bits that differ are at most the
 shingles that differ), then exactly: each line of a key with the key's least one, and, for keys whose lines are
-still of different components, all those with each other. In large keys that is done in blocks: first each line with
-the one of another component whose sketch is nearest, then all that are of different components still. Connected
+still of different components, all those with each other. Large keys are joined with themselves in blocks, by sketches:
+first each line is compared with the nearest one of another component, then all that are of different components still. Connected
 components of the links keep one line each: the first one by document id and line number. Lines that are equal are
 one line from the start.
 
@@ -19,19 +19,24 @@ What goes is known by 128 bits: a line goes only if its second hash, too, is tha
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
-from .components import components
+from .components import components, joined_components
 from .frames import BROADCAST_ROWS, Scratch, small
 
 #: Characters (UTF-16 units) of a shingle, similarity in percent.
 SHINGLE, PERCENT = 7, 80
+#: Longs of the sketches that lines of large keys are compared by.
+FINE = 64
+#: Numbers that a band's own can be, in the last bits of its keys.
+BANDS = 32
 #: Values of a signature (the points of a plane of order 4), longs of a sketch, shingles of a chunk, lines of a key whose pairs are all listed, most lines of a block of a larger key.
-MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 8, 20, 128
+MINS, WORDS, CHUNK, FEW, BLOCK = 16, 32, 8, 20, 512
 #: Characters of a block's lines, in the mean; a longer line is a block of its own. It bounds what one pair of blocks hands on to the exact comparison.
 BLOCK_CHARS = 1 << 20
 #: The seed of second hashes.
@@ -105,23 +110,25 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """(key, h): a key for each band of a line."""
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in points]) for b, points in enumerate(plane())])
+    """(key, h): a key for each band of a line; its last bits are the band's number."""
+    own = lambda b, points: F.xxhash64(F.lit(b), *[F.col(f"m{k}") for k in points])
+    keys = F.array(*[own(b, points).bitwiseAND(F.lit(-BANDS)).bitwiseOR(F.lit(b)) for b, points in enumerate(plane())])
     return signed.select(F.explode(keys).alias("key"), "h")
 
 
 def key_members(signed: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, h): the lines of each key that several share; keys of the same lines are one key."""
+    """(key, h): the lines of each key that several share; keys of the same lines are one key, that of the first band."""
     shared = bands(signed).groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("h")).alias("same")).where("many > 1")
-    one = scratch.written(shared.groupBy("many", "same").agg(F.min("key").alias("key")).select("key"), "shared")
+    one = scratch.written(shared.groupBy("many", "same").agg(F.min(F.struct(F.col("key").bitwiseAND(F.lit(BANDS - 1)).alias("band"), "key")).alias("first")).select("first.key"), "shared")
     members = scratch.written(bands(signed).join(small(one), "key", "left_semi").select("key", "h"), "members")
     scratch.drop(one)
     return members
 
 
-def sketches(lines: DataFrame) -> DataFrame:
-    """(h, n, w0, w1, ...): the number of shingles (repeated ones count) and the sketch of distinct lines (h, line)."""
-    words = [F.col(f"x{j}").bitwiseAND(F.lit(WORDS - 1)).alias(f"w{j}") for j in range(CHUNK)]
+def sketches(lines: DataFrame, words: int = WORDS, first: int = 0) -> DataFrame:
+    """(h, n, w0, w1, ...): the number of shingles (repeated ones count) and the sketch of distinct lines (h, line); of a sketch of more words, WORDS from the first."""
+    numbers = range(first, first + WORDS)
+    words = [F.col(f"x{j}").bitwiseAND(F.lit(words - 1)).alias(f"w{j}") for j in range(CHUNK)]
     bits = [F.expr(f"cast(shiftrightunsigned(x{j}, 8) & 63 AS int)").alias(f"b{j}") for j in range(CHUNK)]
     rows = chunks(lines, CHUNK).select("h", "n", *words, *bits)
 
@@ -131,7 +138,15 @@ def sketches(lines: DataFrame) -> DataFrame:
             out = out.bitwiseOR(F.expr(f"shiftleft(cast(w{j} = {k} AS long), b{j})"))
         return F.bit_or(out)
 
-    return rows.groupBy("h").agg(F.max("n").alias("n"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
+    return rows.groupBy("h").agg(F.max("n").alias("n"), *[word(k).alias(f"w{k}") for k in numbers])
+
+
+def fine_nodes(lines: DataFrame, signed: DataFrame) -> DataFrame:
+    """(h, n, w0, w1, ..., m0, m1, ...) of lines of large keys: the number of distinct shingles, a sketch of FINE words, and the minima (h, m0, m1, ...)."""
+    out = lines.select("h", F.size(F.array_distinct(shingle_set(F.col("line")))).alias("n"))
+    for first in range(0, FINE, WORDS):  # in one aggregate they would make a method that Java doesn't compile
+        out = out.join(sketches(lines, FINE, first).drop("n"), "h")
+    return out.join(signed, "h")
 
 
 def shingle_set(line: Column) -> Column:
@@ -141,10 +156,10 @@ def shingle_set(line: Column) -> Column:
     return F.get(F.transform(F.array(units(line)), hashes), F.lit(0))
 
 
-def apart(a, b) -> Column:
+def apart(a, b, words: int = WORDS) -> Column:
     """How many bits of the sketches (fields w0, w1, ...) of two lines differ."""
     out = F.lit(0)
-    for k in range(WORDS):
+    for k in range(words):
         out = out + F.bit_count(a(f"w{k}").bitwiseXOR(b(f"w{k}")))
     return out
 
@@ -154,13 +169,17 @@ def most_apart(n: Column, m: Column) -> Column:
     return F.floor((100 - PERCENT) * (n + m) / F.lit(100 + PERCENT))
 
 
-def linked_pairs(pairs: DataFrame, nodes: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Those pairs (a, b) of lines, a written table, that link: by sketches first, texts are fetched for what is left."""
+def close_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines, a written table, whose sketches don't rule a link out."""
     named = lambda side: nodes.select(F.col("h").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in nodes.columns if c != "h"])
     one = named("b").join(small(pairs), "b")
     two = named("a").join(small(pairs.select("a").distinct()), "a", "left_semi")
     close = one.join(two, "a").where(apart(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")) <= most_apart(F.col("a_n"), F.col("b_n")))
-    close = scratch.written(close.select("a", "b"), "close")
+    return close.select("a", "b")
+
+
+def linked_pairs(close: DataFrame, lines: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of lines, a written table, that link: texts are fetched for them."""
     texts = lambda side: lines.select(F.col("h").alias(side), F.col("line").alias(f"{side}_line"))
     both = texts("b").join(small(close), "b").join(texts("a").join(small(close.select("a").distinct()), "a", "left_semi"), "a")
     # the sets go through explode() so that each is made once, and compared by generated code
@@ -188,29 +207,59 @@ def few_pairs(mixed: DataFrame) -> DataFrame:
     return both.where("a < b and r <> s").select("a", "b").distinct()
 
 
-def block_pairs(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
-    """(a, b): pairs of lines of different components, in keys of more than FEW lines, whose sketches don't rule a link out.
+def met_before(band: Column, x, y) -> Column:
+    """Whether two lines (fields m0, m1, ...) share a band before this one."""
+    return F.greatest(*[F.when((band > b) & _all(x(f"m{k}") == y(f"m{k}") for k in points), 1).otherwise(0) for b, points in enumerate(plane())]) == 1
+
+
+def _all(conditions) -> Column:
+    return functools.reduce(lambda p, q: p & q, conditions)
+
 
-    The lines of a key are taken in blocks of bounded sizes, a row for each pair of blocks, with sketches only. A line
-    gives its nearest one of each pair of blocks or, with everyone, all.
+def block_close(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, apart): pairs of lines of different components, in keys of more than FEW lines, whose sketches don't rule a link out.
+
+    The lines of a key are joined with each other in blocks of bounded sizes, with sketches only; what the join
+    makes is such pairs. Where nodes have minima (m0, m1, ...) too, lines that share several keys come from one of
+    them: the first band that they share.
     """
     rows = mixed.where(F.col("many") > FEW).join(nodes, "h")
     blocks = F.ceil(F.greatest(F.max("many") / BLOCK, F.sum("n") / BLOCK_CHARS)).cast("int")
     rows = rows.join(rows.groupBy("key").agg(blocks.alias("blocks")), "key")
+    fields = ["root", *nodes.columns]
+    at = F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")
     # no field is null, so that generated code needs no tests for nulls in its loop
-    line = F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("h", "root", "n", *[f"w{k}" for k in range(WORDS)])])
-    full = rows.select("key", "blocks", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int").alias("block"), line.alias("line"))
-    block = full.groupBy("key", "block").agg(F.collect_list("line").alias("lines"), F.max("blocks").alias("blocks"))
+    rows = rows.select("key", at.alias("block"), "blocks", *[F.coalesce(c, F.lit(0)).alias(c) for c in fields])
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in fields]
     # (i, j) and (j, i) are one pair, i of the one side and j of the other
-    left = block.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.col("lines").alias("one"))
-    both = left.join(block.select("key", F.col("block").alias("j"), F.col("lines").alias("two")), ["key", "j"])
-    # two explode() make a loop in a loop of generated code, which functions with lambdas don't
-    both = both.select("key", "i", "j", "two", F.explode("one").alias("x")).select("key", "i", "j", "x", F.explode("two").alias("y"))
-    both = both.where("x.root <> y.root and (i <> j or x.h < y.h)").withColumn("apart", apart(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    both = both.where(F.col("apart") <= most_apart(F.col("x.n"), F.col("y.n"))).select("key", "i", "j", "apart", F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    if not everyone:
-        both = both.groupBy("key", "i", "j", "a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", "first.b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), *side("x"))
+    two = rows.select(F.col("key").alias("y_key"), F.col("block").alias("y_j"), *side("y"))
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    on = (F.col("key") == F.col("y_key")) & (F.col("j") == F.col("y_j")) & (x("root") != y("root")) & ((F.col("i") != F.col("j")) | (x("h") < y("h")))
+    bits = apart(x, y, sum(c[0] == "w" for c in nodes.columns))
+    on = on & (bits <= most_apart(x("n"), y("n")))
+    if "m0" in fields:
+        on = on & ~met_before(F.col("key").bitwiseAND(F.lit(BANDS - 1)), x, y)
+    both = one.join(two, on).select(F.least(x("h"), y("h")).alias("a"), F.greatest(x("h"), y("h")).alias("b"), bits.alias("apart"))
+    return both.distinct()
+
+
+def nearest(close: DataFrame) -> DataFrame:
+    """(a, b): the nearest b of each a among the pairs (a, b, apart)."""
+    return close.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("first")).select("a", "first.b")
+
+
+def block_pairs(mixed: DataFrame, nodes: DataFrame, everyone: bool) -> DataFrame:
+    """(a, b) of block_close(): all, or each line's nearest one."""
+    close = block_close(mixed, nodes)
+    return close.select("a", "b") if everyone else nearest(close)
+
+
+def still_apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose lines are of different components."""
+    of = lambda side: small(roots).select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
@@ -218,40 +267,49 @@ def line_links(docs: DataFrame, text: str, scratch: Scratch) -> DataFrame:
     return links_and_lines(docs, text, scratch)[0]
 
 
-def links_and_lines(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """line_links(), and (h, line): the lines that have been looked at."""
+def links_and_lines(docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """line_links(), their components (node, root), and (h, line): the lines that have been looked at."""
     signed = scratch.written(signatures(lines_of(docs, text)), "signatures")
     members = key_members(signed, scratch)
-    scratch.drop(signed)
     wanted = scratch.written(members.select("h").distinct(), "wanted")
     lines = scratch.written(lines_of(docs, text).join(small(wanted), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")), "lines")
     nodes = scratch.written(sketches(lines), "nodes")
     scratch.drop(wanted)
     stars = scratch.written(star_pairs(members), "stars")
-    links = scratch.written(linked_pairs(stars, nodes, lines, scratch), "links")
-    # keys with lines of different components: all pairs of small ones, nearest ones in blocks of large ones
-    mixed = scratch.written(mixed_members(members, components(links)), "mixed")
-    pairs = few_pairs(mixed).unionByName(block_pairs(mixed, nodes, False)).distinct()
-    pairs = scratch.written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(scratch.written(linked_pairs(pairs, nodes, lines, scratch), "links"))
-    large = mixed.where(F.col("many") > FEW)
-    if large.limit(1).count():  # what large keys have of different components still: all pairs
-        rest = block_pairs(mixed_members(large, components(links)), nodes, True)
-        rest = scratch.written(rest.join(stars.unionByName(pairs), ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(scratch.written(linked_pairs(rest, nodes, lines, scratch), "links"))
-    scratch.drop(members, stars, mixed, pairs, nodes)
-    return links, lines
+    links = scratch.written(linked_pairs(scratch.written(close_pairs(stars, nodes), "close"), lines), "links")
+    roots = components(links)
+    # keys with lines of different components: all pairs of small ones, nearest ones of large ones
+    mixed = scratch.written(mixed_members(members, roots), "mixed")
+    large = scratch.written(mixed.where(F.col("many") > FEW).select("h").distinct(), "large")
+    theirs = scratch.written(lines.join(small(large), "h", "left_semi"), "theirs")
+    fine = scratch.written(fine_nodes(theirs, signed.join(small(large), "h", "left_semi")), "fine")
+    within = scratch.written(block_close(mixed, fine), "within")
+    few = scratch.written(few_pairs(mixed).join(stars, ["a", "b"], "left_anti"), "pairs")
+    first = nearest(within).join(stars, ["a", "b"], "left_anti")
+    close = scratch.written(close_pairs(few, nodes).unionByName(first).distinct(), "close")
+    more = scratch.written(linked_pairs(close, lines), "links")
+    links, roots = links.unionByName(more), joined_components(roots, more)
+    # what large keys have of different components still: all pairs
+    rest = still_apart(within.select("a", "b"), roots).join(stars.unionByName(close), ["a", "b"], "left_anti")
+    rest = scratch.written(rest, "rest")
+    if rest.limit(1).count():
+        more = scratch.written(linked_pairs(rest, lines), "links")
+        links, roots = links.unionByName(more), joined_components(roots, more)
+    scratch.drop(signed, members, stars, mixed, large, theirs, fine, within, few, nodes)
+    return links, roots, lines
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, drop): the numbers (from 0) of the lines that go, for every document (`row_key`) with any."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    links, lines = links_and_lines(docs, text, scratch)
-    roots = components(links).where("node <> root").select(F.col("node").alias("h"), "root")
+    _, roots, lines = links_and_lines(docs, text, scratch)
+    roots = roots.where("node <> root").select(F.col("node").alias("h"), "root")
     twins = lines.select("h", second_hash(F.col("line")).alias("twin"))
     roots = roots.join(twins, "h").join(twins.select(F.col("h").alias("root"), F.col("twin").alias("root_twin")), "root")
     roots = scratch.written(roots.select("h", "twin", "root", "root_twin"), "roots")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("at", "line"))
+    # the document's key is made below the explode(), or each line would hash the whole text
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text).alias("row"), F.split(F.col(f"`{text}`"), "\n").alias("lines"))
+    rows = rows.select("id", "row", F.posexplode("lines").alias("at", "line"))
     rows = rows.where(F.btrim("line", F.lit(BLANK)) != "").select("id", "row", "at", line_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("twin"))
     places = rows.join(small(roots), ["h", "twin"], "left").select("id", "row", "at", F.coalesce("root", "h").alias("line"), F.coalesce("root_twin", "twin").alias("twin"))
     places = scratch.written(places, "places")

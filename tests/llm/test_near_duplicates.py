@@ -324,6 +324,25 @@ def test_op6_blocks_are_compared_by_generated_code(spark):
     assert near <= set(got) and {p[0] for p in near} == {p[0] for p in got}
 
 
+def test_op6_pairs_of_large_keys_come_once(spark):
+    """The rows made for large keys are near pairs, each from one of its keys; none is lost by that."""
+    rng = random.Random(23)
+    names = variants(rng, "".join(rng.choice("abcdefghijklmnop ") for _ in range(400)), 5, 60)
+    scratch = frames.Scratch(spark, "once")
+    lines = scratch.written(spark.createDataFrame(list(enumerate(names)), "h long, line string"), "lines")
+    signed = scratch.written(line_dedup.signatures(lines), "signed")
+    mixed = scratch.written(line_dedup.mixed_members(line_dedup.key_members(signed, scratch), spark.createDataFrame([], "node long, root long")), "mixed")
+    nodes = scratch.written(line_dedup.fine_nodes(lines, signed), "nodes")
+    pairs = lambda df: [(r.a, r.b) for r in df.select("a", "b").collect()]
+    close = line_dedup.block_close(mixed, nodes)
+    every, once, few = pairs(line_dedup.block_close(mixed, nodes.drop(*[f"m{k}" for k in range(line_dedup.MINS)]))), pairs(close), set(pairs(line_dedup.few_pairs(mixed)))
+    assert len(every) > 30 and set(once) <= set(every) and set(every) - set(once) <= few
+    plan = close._jdf.queryExecution().executedPlan().toString()
+    assert "explode(two" not in plan and plan.count("Generate explode") == 1  # a line's blocks
+    size = {r.h: r.n for r in nodes.select("h", "n").collect()}
+    assert all(size[i] == len({x[k : k + line_dedup.SHINGLE] for k in range(len(x) - line_dedup.SHINGLE + 1)}) for i, x in enumerate(names))
+
+
 def test_op6_recall(spark):
     """Links of an exact join of all lines whose ends come into one component."""
     docs = frames.table(spark, "/root/testdata/sf0.01", "documents")
